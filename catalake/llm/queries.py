@@ -20,8 +20,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

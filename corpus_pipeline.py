@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalake.llm import decontaminate, minhash, packing, pii, quality
-from catalake.llm.queries import table, tokenizer
+from catalake.llm.queries import bound_batches, table, tokenizer
 from catalake.session import checkpointed
 
 
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five words a shingle, similarity 0.8 or more."""
-    table(spark, sf_dir, "labels")
+    bound_batches(spark)
     return minhash.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
@@ -38,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their places in sequences."""
-    table(spark, sf_dir, "labels")
+    bound_batches(spark)
     pieces = packing.tokenize(docs, tokenizer("word_bpe_49k.json"))
     return packing.pack(checkpointed(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")))
 
