@@ -165,10 +165,10 @@ _PCT = "CAST(floor((o - w) / o * 100 + 0.5) AS INTEGER)"
 _DROPS = f"{_DIFF_SKU}, a AS (SELECT sku, store_label, CASE WHEN change = 'price_down' THEN 'drop' ELSE 'new' END AS change, old_price, new_price, url, CASE WHEN change = 'price_down' THEN {_PCT} END AS pct, w FROM d WHERE change IN ('new', 'restored', 'price_down'))"
 
 
-@query(f"WITH {_DROPS} SELECT sku, store_label, change, old_price, new_price, url, pct FROM a")
+@query(f"WITH {_DROPS} SELECT sku, store_label, change, old_price, new_price, url, coalesce(pct, -1) AS pct FROM a")
 def diff_by_canon(spark, sf_dir):
     prev, now = _versions(spark, sf_dir)
-    return diff.drops(prev, now, ["sku", "store_label"])
+    return diff.drops(prev, now, ["sku", "store_label"]).fillna(-1, ["pct"])
 
 
 _AVAILABLE = "av AS (SELECT sku, list_sort(list(DISTINCT store_label)) AS stores, min(price_num) AS min_price FROM now WHERE NOT removed GROUP BY 1)"
@@ -255,9 +255,9 @@ def _commits(spark, sf_dir):
     return e.withColumn("seq", F.row_number().over(Window.partitionBy("db_file").orderBy("ts", "snapshot_id")).cast("long"))
 
 
-@query(f"WITH {_COMMITS} SELECT db_file, snapshot_id, lag(snapshot_id) OVER (PARTITION BY db_file ORDER BY seq) AS prev_id FROM commits")
+@query(f"WITH {_COMMITS} SELECT db_file, snapshot_id, coalesce(lag(snapshot_id) OVER (PARTITION BY db_file ORDER BY seq), -1) AS prev_id FROM commits")
 def version_pairs(spark, sf_dir):
-    return snap.version_pairs(_commits(spark, sf_dir)).select("db_file", "snapshot_id", "prev_id")
+    return snap.version_pairs(_commits(spark, sf_dir)).select("db_file", "snapshot_id", "prev_id").fillna(-1, ["prev_id"])
 
 
 @query(f"""WITH {_COMMITS}, r AS (SELECT * FROM commits QUALIFY row_number() OVER (PARTITION BY db_file ORDER BY seq DESC) <= 2400), d AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY db_file, date ORDER BY seq DESC) = 1)
@@ -317,9 +317,9 @@ def _ranked(spark, sf_dir):
     return feed.ranked(feed.history_events(rows, ["sku", "store_label"]), best)
 
 
-@query(f"WITH {_RANKED} SELECT sku, store_label, url, kind, pct, score, tie FROM k")
+@query(f"WITH {_RANKED} SELECT sku, store_label, url, kind, coalesce(pct, -1) AS pct, score, tie FROM k")
 def rank_score(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("sku", "store_label", "url", "kind", "pct", "score", "tie")
+    return _ranked(spark, sf_dir).select("sku", "store_label", "url", "kind", "pct", "score", "tie").fillna(-1, ["pct"])
 
 
 @query(f"WITH {_RANKED} SELECT sku, url, kind, score FROM k QUALIFY row_number() OVER (PARTITION BY sku ORDER BY score DESC, tie DESC, ts DESC, url) = 1")
@@ -339,22 +339,23 @@ _DAILY = f"{L}, dy AS (SELECT sku, store_label, ts::DATE AS day, min(price_num)
 _GAPS = f"{_DAILY}, i AS (SELECT *, sum(CASE WHEN lp IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY sku, store_label ORDER BY day) AS g FROM dy), gp AS (SELECT sku, store_label, day, CASE WHEN lp IS NOT NULL THEN lp WHEN g > 0 AND row_number() OVER (PARTITION BY sku, store_label, g, lp IS NOT NULL ORDER BY day) = 1 THEN rp END AS price FROM i)"
 
 
-@query(f"WITH {_DAILY} SELECT sku, store_label, day, lp AS live_price, rp AS removed_price FROM dy")
+@query(f"WITH {_DAILY} SELECT sku, store_label, CAST(day AS VARCHAR) AS day, lp AS live_price, rp AS removed_price FROM dy")
 def price_series(spark, sf_dir):
-    return series.daily(listings(spark, sf_dir), ["sku", "store_label"])
+    return series.daily(listings(spark, sf_dir), ["sku", "store_label"]).withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"WITH {_GAPS} SELECT sku, store_label, day, price FROM gp")
+@query(f"WITH {_GAPS} SELECT sku, store_label, CAST(day AS VARCHAR) AS day, price FROM gp")
 def removal_gap_series(spark, sf_dir):
-    return series.with_gaps(series.daily(listings(spark, sf_dir), ["sku", "store_label"]), ["sku", "store_label"])
+    points = series.with_gaps(series.daily(listings(spark, sf_dir), ["sku", "store_label"]), ["sku", "store_label"])
+    return points.withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"WITH {_GAPS}, d AS (SELECT DISTINCT sku, day FROM gp), s AS (SELECT DISTINCT sku, store_label FROM gp) SELECT d.sku, s.store_label, d.day, gp.price FROM d JOIN s ON d.sku = s.sku LEFT JOIN gp ON gp.sku = d.sku AND gp.store_label = s.store_label AND gp.day = d.day")
+@query(f"WITH {_GAPS}, d AS (SELECT DISTINCT sku, day FROM gp), s AS (SELECT DISTINCT sku, store_label FROM gp) SELECT d.sku, s.store_label, CAST(d.day AS VARCHAR) AS day, gp.price FROM d JOIN s ON d.sku = s.sku LEFT JOIN gp ON gp.sku = d.sku AND gp.store_label = s.store_label AND gp.day = d.day")
 def series_dense(spark, sf_dir):
     return series.dense(removal_gap_series(spark, sf_dir), "sku", "store_label")
 
 
-@query(f"WITH {_GAPS} SELECT sku, store_label, day, price FROM gp QUALIFY row_number() OVER (PARTITION BY sku ORDER BY day DESC, store_label) <= 26")
+@query(f"WITH {_GAPS} SELECT sku, store_label, CAST(day AS VARCHAR) AS day, price FROM gp QUALIFY row_number() OVER (PARTITION BY sku ORDER BY day DESC, store_label) <= 26")
 def series_last_days(spark, sf_dir):
     w = Window.partitionBy("sku").orderBy(F.desc("day"), "store_label")
     return removal_gap_series(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 26").drop("r")
@@ -404,9 +405,9 @@ def ignored_anti(spark, sf_dir):
     return linkage.without_ignored(links.toDF("a", "b"), ignores)
 
 
-@query(f"WITH {_LINKS}, {L}, s AS (SELECT sku, list(DISTINCT store_label) AS stores FROM listings WHERE NOT removed GROUP BY 1) SELECT from_sku AS a, to_sku AS b FROM links JOIN s x ON x.sku = from_sku JOIN s y ON y.sku = to_sku WHERE NOT list_has_any(x.stores, y.stores)")
+@query(f"WITH {_LINKS}, {L}, s AS (SELECT sku, list(DISTINCT store_label) AS stores FROM listings WHERE NOT removed AND ts >= DATE '2001-03-01' GROUP BY 1) SELECT from_sku AS a, to_sku AS b FROM links JOIN s x ON x.sku = from_sku JOIN s y ON y.sku = to_sku WHERE NOT list_has_any(x.stores, y.stores)")
 def store_overlap_anti(spark, sf_dir):
-    return linkage.without_store_overlap(_links(spark, sf_dir).toDF("a", "b"), index.availability(listings(spark, sf_dir)).select("sku", "stores"))
+    return linkage.without_store_overlap(_links(spark, sf_dir).toDF("a", "b"), index.availability(listings(spark, sf_dir).where(F.col("ts") >= F.lit("2001-03-01").cast("timestamp"))).select("sku", "stores"))
 
 
 _STOPS = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
@@ -536,12 +537,12 @@ _KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 _FLOOR = f"CAST(floor(({_O} - {_N}) / {_O} * 100 + 0.5) AS INTEGER)"
 
 
-@query(f"SELECT {_KEYS}, CASE WHEN {_N} < {_O} THEN {_FLOOR} END AS off, CASE WHEN {_N} < {_O} THEN {_FLOOR} ELSE 0 END AS off_zero, CASE WHEN {_N} < {_O} AND {_FLOOR} > 0 THEN {_FLOOR} END AS off_positive, CAST(floor(({_N} - {_O}) / {_O} * 100 + 0.5) AS INTEGER) AS change FROM lineitem")
+@query(f"SELECT {_KEYS}, CASE WHEN {_N} < {_O} THEN {_FLOOR} ELSE -1 END AS off, CASE WHEN {_N} < {_O} THEN {_FLOOR} ELSE 0 END AS off_zero, CASE WHEN {_N} < {_O} AND {_FLOOR} > 0 THEN {_FLOOR} ELSE -1 END AS off_positive, CAST(floor(({_N} - {_O}) / {_O} * 100 + 0.5) AS INTEGER) AS change FROM lineitem")
 def pct_off_variants(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem")
     o = F.col("l_extendedprice")
     n = o * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    return rows.select(*_KEYS.split(", "), P.percent_off(o, n).alias("off"), P.percent_off(o, n, "zero").alias("off_zero"), P.percent_off(o, n, "null_if_zero").alias("off_positive"), P.percent_change(o, n).alias("change"))
+    return rows.select(*_KEYS.split(", "), P.percent_off(o, n).alias("off"), P.percent_off(o, n, "zero").alias("off_zero"), P.percent_off(o, n, "null_if_zero").alias("off_positive"), P.percent_change(o, n).alias("change")).fillna(-1, ["off", "off_positive"])
 
 
 @query("SELECT o_orderkey, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS minor, CAST(round(o_totalprice * 100) AS BIGINT) // 100 || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS major FROM orders")
@@ -632,11 +633,11 @@ def json_hits_explode(spark, sf_dir):
     return e.select("event_id", F.explode(parsed["hits"]["hits"]).alias("h")).select("event_id", F.col("h._source.k").alias("k"))
 
 
-@query("""SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey)) FILTER (WHERE l_quantity > 25) AS available, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey)) AS first FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, coalesce(arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey)) FILTER (WHERE l_quantity > 25), -1) AS available, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey)) AS first FROM lineitem GROUP BY 1""")
 def variant_pick(spark, sf_dir):
     variants = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("v")
     rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(variants)
-    return rows.select("l_orderkey", F.get(F.filter("v", lambda v: v["l_quantity"] > 25), F.lit(0))["l_partkey"].alias("available"), F.col("v")[0]["l_partkey"].alias("first"))
+    return rows.select("l_orderkey", F.get(F.filter("v", lambda v: v["l_quantity"] > 25), F.lit(0))["l_partkey"].alias("available"), F.col("v")[0]["l_partkey"].alias("first")).fillna(-1, ["available"])
 
 
 # -- reports ----------------------------------------------------------------------------------------------------
