@@ -27,9 +27,12 @@ from .quality import labelled_sample
 #: At most so many labelled rows are fitted, those with the smallest hash of doc_id.
 TRAIN_ROWS = 8000
 BUCKETS = 1 << 18
-#: Terms of fewer fitted documents carry no weight.
-LEAST_DOCS = 6
+#: Terms of fewer fitted documents, or whose share of toxic documents exceeds that of
+#: others by fewer standard errors, carry no weight: labels are noisy and terms many.
+LEAST_DOCS, LEAST_Z = 5, 4.0
 TOXIC_AT = 0.3
+#: The score of a sentence without telling terms, in log odds; the weight that telling terms start from; least gradient steps.
+BIAS, START, STEPS = -8.0, 6.0, 400
 SENTENCE_END = np.isin(np.arange(256), list(b".!?\n"))
 
 
@@ -58,7 +61,7 @@ def _terms(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 @dataclass
 class Model:
     weights: np.ndarray | None = None
-    bias: float = -20.0
+    bias: float = BIAS
 
     def sentences(self, chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score, document and byte start of every sentence with a term."""
@@ -85,6 +88,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(idx, pa.list_(pa.int32())), pa.array(sen, pa.list_(pa.int32()))], names=["label", "idx", "sentence"])
 
 
+def _telling(total: np.ndarray, toxic: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Buckets that enough documents have and whose shares of the two kinds of documents differ clearly."""
+    share = (total + 1) / (n_toxic + n_other + 2)
+    gap = toxic / n_toxic - (total - toxic) / n_other
+    return (total >= LEAST_DOCS) & (gap >= LEAST_Z * np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other)))
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows: int = TRAIN_ROWS, epochs: int = 15, seed: int = 5) -> Model:
     """Fit on at most ``rows`` rows of labels that satisfy ``where``. Rows without a label or an id are left out."""
     wanted = labelled_sample(labels, "toxic", rows, where)
@@ -98,18 +108,18 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows:
     flat, inner = np.asarray(idx.flatten(), np.int64), np.asarray(sen.flatten(), np.int64)
     doc = np.repeat(np.arange(len(y)), np.diff(offsets))
     pairs = np.unique(doc * BUCKETS + flat)
-    frequency = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    useful = frequency >= LEAST_DOCS
+    useful = _telling(np.bincount(pairs % BUCKETS, minlength=BUCKETS), np.bincount(pairs[y[pairs // BUCKETS] == 1] % BUCKETS, minlength=BUCKETS), (y == 1).sum(), (y != 1).sum())
     sizes = np.zeros(len(y), np.int64)
     np.maximum.at(sizes, doc, inner + 1)
     base = np.concatenate(([0], np.cumsum(sizes)))
     sentence = base[doc] + inner
     owner = np.repeat(np.arange(len(y)), sizes)
-    w, grad2, bias, bias2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3), -6.0, 1e-3
+    # The bias is set, not learnt: mislabelled documents without any telling term would raise it, and long clean documents with it.
+    w, grad2, bias = np.where(useful, START, 0.0), np.full(BUCKETS, 1e-3), BIAS
     rng = np.random.default_rng(seed)
     order = np.arange(len(y))
     heavier = min(4.0, (y == 0).sum() / max((y == 1).sum(), 1))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * 128 // len(order)))):
         rng.shuffle(order)
         for k in range(0, len(order), 128):
             pick = order[k : k + 128]
@@ -129,9 +139,6 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows:
             touched = grad != 0
             grad2[touched] += grad[touched] ** 2
             w[touched] -= 0.5 * grad[touched] / np.sqrt(grad2[touched])
-            gb = g.sum()
-            bias2 += gb * gb
-            bias -= 0.1 * gb / np.sqrt(bias2)
     w[~useful] = 0
     return Model(w, float(bias))
 
