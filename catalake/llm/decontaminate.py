@@ -2,7 +2,7 @@
 
 Word n-grams of the benchmark are looked up in every document in one pass. How many
 passages of the corpus hold each n-gram decides which of an item's n-grams are its
-seeds: the rarer half. Passages around seeds are aligned with their items by words;
+seeds: those that aren't far more frequent than the item's usual one. Passages around seeds are aligned with their items by words;
 an alignment that reaches ``LEAST_SCORE`` of the item's own score is a leak, so
 edited copies are found too.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, checkpointed
@@ -31,6 +31,8 @@ N = 4
 BLOCK_WORDS = 1_000_000
 LEAST_SCORE = 0.5
 MATCH, MISS, GAP = 2, -1, -1
+#: A seed's passages are at most so many, or so many times the median of the item's n-grams.
+RARE_AT_LEAST, RARE_TIMES = 50.0, 4.0
 #: Words of context beside a seed's own reach, for insertions.
 SLACK = 10
 
@@ -158,14 +160,18 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 
 def seeds(hits: DataFrame, bench: Benchmark) -> set[tuple[int, int]]:
-    """(item index, n-gram) of the rarer half of each item's n-grams by passages of the corpus that hold them; bounded by the block."""
+    """(item index, n-gram) of each item's rare n-grams, by the passages of the corpus that hold them; bounded by the block.
+
+    Copies of an item raise all its n-grams alike, so rare is relative to the item's
+    median; what far more passages hold is a common phrase and no seed.
+    """
     spark = hits.sparkSession
     seen = hits.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     own = spark.createDataFrame(list(zip(bench.item.tolist(), bench.grams.view(np.int64).tolist(), strict=True)), "item int, gram long").distinct()
-    counted = own.join(seen, "gram", "left").fillna(0, ["df"])
-    by_item = Window.partitionBy("item")
-    ranked = counted.withColumn("rank", F.row_number().over(by_item.orderBy("df", "gram"))).withColumn("of", F.count("*").over(by_item))
-    return {(r["item"], r["gram"]) for r in ranked.where("2 * (rank - 1) < of").select("item", "gram").collect()}
+    counted = own.join(seen, "gram")
+    usual = counted.groupBy("item").agg(F.median("df").alias("usual"))
+    rare = counted.join(usual, "item").where(F.col("df") <= F.greatest(F.lit(RARE_AT_LEAST), RARE_TIMES * F.col("usual")))
+    return {(r["item"], r["gram"]) for r in rare.select("item", "gram").collect()}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, n: int = N) -> DataFrame:
