@@ -2,12 +2,13 @@
 
 A document's sketch keeps the low ``BITS`` bits of each of ``BANDS * ROWS`` minima,
 packed into 64-bit words; bands of full minima give candidates. The similarity of a
-candidate pair is estimated from the equal lanes of two sketches, found with bit
-counts and corrected for chance collisions; pairs far below the threshold go, and
+candidate pair is estimated from the count of differing bits of two sketches,
+corrected for bits that agree by chance; pairs far below the threshold go, and
 the others are confirmed on their full sets.
 
 Documents with equal sets are one node from the start. A bucket never emits all its
-pairs: its nodes are first compared with the bucket's best connected node only.
+pairs: its nodes are first compared with the bucket's best connected node and
+``DRAWS`` others only.
 After these links are joined into components, only pairs of different components
 that share a bucket are compared, so no link that would join two components is lost
 beyond the bands' miss rate: (1 - s**ROWS)**BANDS, below 5e-8 for s = 0.8.
@@ -37,9 +38,13 @@ from . import kernels as K
 BANDS, ROWS, BITS = 32, 4, 8
 HASHES = BANDS * ROWS
 LANES = HASHES * BITS // 64
-#: Candidates are confirmed if their estimate is at most this much below the threshold: seven standard errors at 0.8.
-SLACK = 0.25
+#: Candidates are confirmed if their estimate is at most this much below the threshold: five standard errors at 0.8.
+SLACK = 0.19
 PERCENT = 80
+#: Nodes of a bucket drawn as hubs beside its best connected one.
+DRAWS = 3
+#: Pairs of a group that is confirmed together, and nodes of a part of a bucket.
+GROUP_PAIRS, BUCKET_PART = 10_000, 128
 
 _A = (K.splitmix(np.arange(HASHES, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)).astype(np.uint32)
 _B = K.splitmix(np.arange(HASHES, dtype=np.uint64) + np.uint64(7777)).astype(np.uint32)
@@ -117,45 +122,67 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def estimate(a: Column, b: Column) -> Column:
-    """Collision-corrected similarity of two packed sketches: equal lanes (of 8 bits) by bit counts."""
-    ones = F.lit(0x0101010101010101).cast("long")
-    equal = []
-    for k in range(LANES):
-        x = a[k].bitwiseXOR(b[k])
-        for shift in (4, 2, 1):  # folds each lane into its lowest bit, which is unset just for an equal lane
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        equal.append(F.lit(64 // BITS) - F.bit_count(x.bitwiseAND(ones)))
-    matched = reduce(add, equal) / F.lit(float(HASHES))
-    chance = 2.0**-BITS
-    return (matched - chance) / (1 - chance)
+    """Collision-corrected similarity of two packed sketches by bit counts.
+
+    Equal minima agree in all bits and others in half of them by chance, so the share
+    of differing bits is half the share of differing minima.
+    """
+    differing = reduce(add, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(LANES)])
+    return 1 - differing / F.lit(LANES * 32.0)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the threshold."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = checkpointed(docs.select("doc_id", "text").join(ids, "doc_id"))
-    left = pairs.join(texts.toDF("a", "text_a"), "a")
-    both = left.join(texts.toDF("b", "text_b"), "b")
+    """The pairs (a, b) of ids whose full shingle sets reach the threshold. pairs is stored.
+
+    Pairs are dealt by a into groups of bounded size; a text comes to a group once,
+    however many of the group's pairs have it, so a hub of many pairs comes to each
+    group once and a text of many hubs comes once.
+    """
+    spark = pairs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(2 * parts, -(-pairs.count() // GROUP_PAIRS))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(groups)).alias("g"))
+    needed = dealt.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = needed.join(docs.select("doc_id", "text"), "doc_id").select("g", F.col("doc_id").alias("a"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    # In each group the texts, which have a text, come before the pairs.
+    sorted_rows = rows.repartition(parts, "g").sortWithinPartitions("g", F.col("text").isNull(), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        group, sets = None, {}
         for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                tb = tb.as_py()
-                if last[0] != tb:  # rows of one b often follow each other
-                    last = (tb, _one_set(tb, shingle))
-                mine, other = _one_set(ta.as_py(), shingle), last[1]
-                common = np.intersect1d(mine, other, assume_unique=True).size
-                keep.append(100 * common >= percent * (len(mine) + len(other) - common) and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            ga, aa, ba, ta = (batch.column(c) for c in ("g", "a", "b", "text"))
+            n_texts = np.asarray(ta.is_valid())
+            gs, ids = ga.to_pylist(), aa.to_pylist()
+            made: dict[int, np.ndarray] = {}
+            at = np.flatnonzero(n_texts)
+            for chunk in K.chunks(ta.take(pa.array(at))):
+                for k, one in enumerate(shingle_sets(chunk, shingle)):
+                    made[int(at[chunk.first + k])] = one
+            others, keep = ba.to_pylist(), []
+            for i in range(batch.num_rows):
+                if gs[i] != group:
+                    group, sets = gs[i], {}
+                if i in made:
+                    # Rows that repeat an id may differ in text: each of them may link.
+                    sets.setdefault(ids[i], []).append(made[i])
+                    continue
+                if any(_linked(x, y, percent) for x in sets.get(ids[i], ()) for y in sets.get(others[i], ())):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     id_type = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    return sorted_rows.select("g", "a", "b", "text").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
-def _one_set(text: str | None, shingle: int) -> np.ndarray:
-    return shingle_sets(next(K.chunks(pa.array([text or ""], pa.string()))), shingle)[0]
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(x) + len(y)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return common > 0 and 100 * common >= percent * (both - common)
 
 
 def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -169,10 +196,13 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
 
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = checkpointed(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").distinct())
+    # Hubs of a bucket: its best connected node, which copies of one text have in common, and a few drawn by hash, which reach along chains of edits.
     degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
-    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
+    draws = [F.min_by("node", F.xxhash64("key", "node", F.lit(k))).alias(f"draw{k}") for k in range(DRAWS)]
+    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "node"))["node"].alias("top"), *draws)
+    hubs = hubs.select("key", F.array_distinct(F.array("top", *[f"draw{k}" for k in range(DRAWS)])).alias("hubs"))
     # b is the hub: the side whose set is kept while its rows pass.
-    spokes = shared.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = shared.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
     sketch = nodes.select("node", "sketch")
     least = percent / 100 - SLACK
     likely = spokes.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b")
@@ -181,22 +211,30 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
 
     # Pairs of different components that share a bucket are all that can still join components.
     found = checkpointed(connected_components(links.toDF("src", "dst")))
-    placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    apart = checkpointed(placed.join(mixed, "key").join(sketch, "node"))
-    one, two = apart.toDF("node_a", "key", "component_a", "sketch_a"), apart.toDF("node_b", "key", "component_b", "sketch_b")
+    placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "c")
+    # Of each bucket, the component with most nodes is only met by the others' nodes: its own pairs are never formed.
+    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
+    apart = checkpointed(placed.join(mixed, "key").join(sketch, "node").select("key", "node", "component", "sketch", "c", (F.col("component") == F.col("main")).alias("main")))
+    # Large buckets are cut on one side, which meets copies of the other side.
+    cuts = F.ceil(F.col("c") / BUCKET_PART).cast("int")
+    one = apart.where("not main").drop("main").withColumn("part", F.pmod(F.xxhash64("node"), cuts).cast("int")).drop("c").toDF("key_a", "node_a", "component_a", "sketch_a", "part_a")
+    two = apart.withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("c").toDF("key_b", "node_b", "component_b", "sketch_b", "main_b", "part_b")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, two = one.repartition(parts, "key_a", "part_a"), two.repartition(parts, "key_b", "part_b")
     cross = (
-        one.join(two, (one["key"] == two["key"]) & (one["component_a"] < two["component_b"]) & (estimate(one["sketch_a"], two["sketch_b"]) >= least))
+        one.join(two, (one["key_a"] == two["key_b"]) & (one["part_a"] == two["part_b"]) & (one["component_a"] != two["component_b"]) & (two["main_b"] | (one["component_a"] < two["component_b"])) & (estimate(one["sketch_a"], two["sketch_b"]) >= least))
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     )
     tried = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = checkpointed(cross.join(tried, ["a", "b"], "left_anti"))
-    more = confirm(cross, docs, shingle, percent)
+    more = confirm(cross, docs, shingle, percent).toDF("src", "dst")
 
     # Rows that repeat an id are one document, whichever sets they have.
     repeated = members.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("dst")).where("src <> dst").select("src", "dst")
-    edges = links.union(more).toDF("src", "dst").union(repeated)
-    final = connected_components(edges)
+    more = checkpointed(more.union(repeated))
+    # The first components are stars, so joining them takes few rounds, and none if nothing joins them.
+    final = found if more.isEmpty() else connected_components(found.toDF("src", "dst").union(more))
     placed = members.join(final, members["node"] == final["node"], "left").select(members["doc_id"], "n_shingles", F.coalesce("component", members["node"]).alias("component_id"))
     rest = all_rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(rest)
