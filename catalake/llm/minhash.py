@@ -44,7 +44,7 @@ PERCENT = 80
 #: Nodes of a bucket drawn as hubs beside its best connected one.
 DRAWS = 3
 #: Pairs of a group that is confirmed together, and nodes of a part of a bucket.
-GROUP_PAIRS, BUCKET_PART = 10_000, 128
+GROUP_PAIRS, BUCKET_PART = 10_000, 512
 
 _A = (K.splitmix(np.arange(HASHES, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)).astype(np.uint32)
 _B = K.splitmix(np.arange(HASHES, dtype=np.uint64) + np.uint64(7777)).astype(np.uint32)
@@ -185,6 +185,55 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (both - common)
 
 
+def confirm_in_buckets(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between the left and right nodes of each bucket part, on full sets; no table of candidate pairs is made.
+
+    A part's left nodes, of which there are about BUCKET_PART, are held while its right
+    nodes pass. A pair is looked at in the first bucket that it shares.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.join(texts, "node").repartition(parts, "key", "part").sortWithinPartitions("key", "part", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, left, arrays = None, [], None
+        for batch in batches:
+            n = batch.num_rows
+            key, part, side, node, component = (batch.column(c).to_pylist() for c in ("key", "part", "side", "node", "component"))
+            main = batch.column("main").to_pylist()
+            sketch = np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(n, LANES)
+            bands = np.asarray(batch.column("bands").flatten()).reshape(n, BANDS)
+            sets = [s for chunk in K.chunks(batch.column("text")) for s in shingle_sets(chunk, shingle)]
+            out_a, out_b = [], []
+            for i in range(n):
+                if (key[i], part[i]) != place:
+                    place, left, arrays = (key[i], part[i]), [], None
+                if side[i] == 0:
+                    left.append((node[i], component[i], sketch[i].copy(), bands[i].copy(), sets[i]))
+                    continue
+                if not left:
+                    continue
+                if arrays is None:
+                    arrays = (np.array([x[1] for x in left]), np.stack([x[2] for x in left]), np.stack([x[3] for x in left]))
+                differing = np.bitwise_count(arrays[1] ^ sketch[i]).sum(1, dtype=np.int64)
+                good = (1 - differing / (LANES * 32.0) >= least) & (arrays[0] != component[i])
+                if not main[i]:
+                    good &= arrays[0] < component[i]
+                at = np.flatnonzero(good)
+                if len(at):
+                    same = arrays[2][at] == bands[i]
+                    at = at[bands[i][same.argmax(1)] == key[i]]
+                for k in at.tolist():
+                    if _linked(left[k][4], sets[i], percent):
+                        out_a.append(left[k][0])
+                        out_b.append(node[i])
+            kind = batch.schema.field("node").type
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, kind), pa.array(out_b, kind)], names=["a", "b"])
+
+    id_type = rows.schema["node"].dataType.simpleString()
+    return dealt.select("key", "part", "side", "node", "component", "main", "sketch", "bands", "text").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+
+
 def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row."""
     docs = docs.select("doc_id", "text")
@@ -215,20 +264,20 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
     # Of each bucket, the component with most nodes is only met by the others' nodes: its own pairs are never formed.
     per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    apart = checkpointed(placed.join(mixed, "key").join(sketch, "node").select("key", "node", "component", "sketch", "c", (F.col("component") == F.col("main")).alias("main")))
+    apart = checkpointed(placed.join(mixed, "key").join(nodes, "node").select("key", "node", "component", "sketch", "bands", "c", (F.col("component") == F.col("main")).alias("main")))
     # Large buckets are cut on one side, which meets copies of the other side.
     cuts = F.ceil(F.col("c") / BUCKET_PART).cast("int")
-    one = apart.where("not main").drop("main").withColumn("part", F.pmod(F.xxhash64("node"), cuts).cast("int")).drop("c").toDF("key_a", "node_a", "component_a", "sketch_a", "part_a")
-    two = apart.withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("c").toDF("key_b", "node_b", "component_b", "sketch_b", "main_b", "part_b")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one, two = one.repartition(parts, "key_a", "part_a"), two.repartition(parts, "key_b", "part_b")
-    cross = (
-        one.join(two, (one["key_a"] == two["key_b"]) & (one["part_a"] == two["part_b"]) & (one["component_a"] != two["component_b"]) & (two["main_b"] | (one["component_a"] < two["component_b"])) & (estimate(one["sketch_a"], two["sketch_b"]) >= least))
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    one = apart.where("not main").withColumn("part", F.pmod(F.xxhash64("node"), cuts).cast("int")).drop("c").repartition(parts, "key", "part")
+    two = apart.withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("c").repartition(parts, "key", "part")
+    x, y = one.alias("x"), two.alias("y")
+    meets = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component"))
+        & (F.col("y.main") | (F.col("x.component") < F.col("y.component"))) & (estimate(F.col("x.sketch"), F.col("y.sketch")) >= least)
     )
-    tried = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = checkpointed(cross.join(tried, ["a", "b"], "left_anti"))
-    more = confirm(cross, docs, shingle, percent).toDF("src", "dst")
+    # Only nodes with a likely partner in the other side go on, by semi-joins, whose rows can't exceed their side's.
+    sides = x.join(y, meets, "left_semi").withColumn("side", F.lit(0)).unionByName(y.join(x, meets, "left_semi").withColumn("side", F.lit(1)))
+    more = confirm_in_buckets(checkpointed(sides), docs, shingle, percent, least).toDF("src", "dst")
 
     # Rows that repeat an id are one document, whichever sets they have.
     repeated = members.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("dst")).where("src <> dst").select("src", "dst")
