@@ -97,3 +97,20 @@ def preferred_key(group: DataFrame) -> DataFrame:
     real = ~F.col("sku").startswith("u:")
     score = F.when(real, 100).otherwise(-1000) + F.when(F.col("region") == "AB", 25).otherwise(0) - F.when(F.col("region") == "BC", 10).otherwise(0)
     return group.withColumn("score", score).groupBy("grp", "sku").agg(F.max("score").alias("score")).groupBy("grp").agg(F.min_by("sku", F.struct((-F.col("score")).alias("s"), "sku")).alias("sku"))
+
+
+def capped_pairs(pairs: DataFrame, uses: int = 6) -> DataFrame:
+    """Each anchor with at most ``uses`` partners and each partner once: a partner goes to its best anchor, an anchor keeps its best partners."""
+    once = pairs.withColumn("r_", F.row_number().over(Window.partitionBy("sku").orderBy(F.desc("score"), "anchor"))).where("r_ = 1")
+    return once.withColumn("r_", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "sku"))).where(F.col("r_") <= uses).drop("r_")
+
+
+def sampled(items: DataFrame, n: int = 5000) -> DataFrame:
+    """n items in hash order: the report's working set, the same on every run."""
+    return items.orderBy(F.xxhash64("sku"), "sku").limit(n)
+
+
+def region(label: Column) -> Column:
+    """The region of a store label. Fixed store lists."""
+    name = F.lower(F.coalesce(label, F.lit("")))
+    return F.when(name.rlike(r"\b(bcl|strath|gull|legacy|bc liquor)"), "BC").when(name.rlike(r"\b(kensington|kwm|craft cellars|sierra springs|co-op|willow park)"), "AB").otherwise("")

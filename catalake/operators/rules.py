@@ -35,3 +35,13 @@ def parse_edits(bodies: DataFrame, body: str = "body", schema_tag: str = "stviz-
 def edited_links(parsed: DataFrame) -> DataFrame:
     rows = parsed.select(F.explode("edit.links").alias("l")).select(F.trim("l.fromSku").alias("from_sku"), F.trim("l.toSku").alias("to_sku"))
     return rows.where(pair_key(F.col("from_sku"), F.col("to_sku"), True) != "").distinct()
+
+
+def submit(pending: DataFrame, submitted: DataFrame, a: str, b: str, ordered: bool) -> tuple[DataFrame, DataFrame]:
+    """Pending edits move to the submitted ones: what is pending afterwards (nothing) and what is submitted."""
+    return pending.limit(0), overlay(submitted, pending, a, b, ordered)
+
+
+def pending_counts(links: DataFrame, ignores: DataFrame) -> DataFrame:
+    both = links.select(F.lit(0).alias("k")).unionAll(ignores.select(F.lit(1).alias("k")))
+    return both.agg(F.count_if(F.col("k") == 0).alias("n_links"), F.count_if(F.col("k") == 1).alias("n_ignores"))

@@ -83,9 +83,10 @@ def newest_per_day(commits: DataFrame, days: int = 600, raw: int = 2400) -> Data
     return daily.withColumn("k", F.row_number().over(Window.partitionBy("db_file").orderBy(F.desc("date")))).where(F.col("k") <= days).drop("r", "d", "k")
 
 
-def shape(rows: DataFrame) -> DataFrame:
-    """Rows as they are saved: six columns, the sku as a stored key, no data images."""
+def shape(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows as they are saved: six columns and those to keep, the sku as a stored key, no data images."""
     return rows.select(
+        *keep,
         "name", "price", sku.stored_key(F.col("sku"), F.col("store_label"), F.col("url")).alias("sku"), "url",
         F.when(F.col("img").rlike("(?i)^data:"), "").otherwise(F.coalesce("img", F.lit(""))).alias("img"), F.coalesce("removed", F.lit(False)).alias("removed"),
     )
