@@ -1,17 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: gapped word pairs as seeds, then Smith-Waterman alignment.
 
-Word n-grams of the benchmark are looked up in every document in one pass. How many
-passages of the corpus hold each n-gram decides which of an item's n-grams are its
-seeds: those that aren't far more frequent than the item's usual one. Passages around seeds are aligned with their items by words;
-an alignment that reaches ``LEAST_SCORE`` of the item's own score is a leak, so
-edited copies are found too.
+Pairs of terms that stand at most one term apart, in an item and in a document, are
+seeds. Every one of them counts, whatever its frequency. Where enough of an item's
+pairs stand close together in a document, the passage around them is aligned with the
+item by words; an alignment that reaches ``LEAST_SCORE`` of the item's own score is a
+leak, so edited copies are found too.
+
+No such alignment is missed. It has m matches and costs at most 2m - 2tL for an item
+of L terms and a least score of t. Two matches that follow each other cost what stands
+between them, which is 2 or more unless they are a seed; so at least tL - 1 of the
+m - 1 are seeds, and all of it spans at most L(3 - 2t) terms of the document.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so what each task
 holds has a bound for a benchmark of any size; every block meets every document.
 
 Defined results: terms are lower-cased (A-Z) runs of ASCII letters and digits and of
 bytes beyond ASCII. Null and empty texts and items have no terms and leak nothing.
-Items shorter than an n-gram are one n-gram of their own length. Repeated rows and
+Items of one or two terms are found by that term or pair. Repeated rows and
 repeated items each have their leaks; a null id is an id like any other.
 """
 
@@ -24,17 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, checkpointed
+from ..session import broadcast_if_small
 from . import kernels as K
 
-N = 4
 BLOCK_WORDS = 1_000_000
 LEAST_SCORE = 0.5
 MATCH, MISS, GAP = 2, -1, -1
-#: A seed's passages are at most so many, or so many times the median of the item's n-grams.
-RARE_AT_LEAST, RARE_TIMES = 50.0, 4.0
-#: Words of context beside a seed's own reach, for insertions.
-SLACK = 10
+#: Terms from a pair's first to its second.
+REACH = (1, 2)
+#: Seeds that are held at once, and cells of a row of alignments.
+HELD, CELLS = 2_000_000, 60_000
 
 
 def terms_of(column: pa.Array) -> Iterator[tuple[K.Chunk, K.Words, np.ndarray]]:
@@ -44,36 +48,29 @@ def terms_of(column: pa.Array) -> Iterator[tuple[K.Chunk, K.Words, np.ndarray]]:
         yield lower, words, K.word_hashes(lower.data, words)
 
 
-def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams of one text's terms; of all terms together if they are fewer."""
-    size = min(n, len(hashes))
-    if not size:
-        return np.zeros(0, np.uint64)
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        out = np.full(len(hashes) - size + 1, size, np.uint64)
-        for i in range(size):
-            out = out * np.uint64(K._MULTIPLIER) + hashes[i : len(hashes) - size + 1 + i]
-    return K.splitmix(out)
+        return K.splitmix((left + np.uint64(2)) * np.uint64(K._MULTIPLIER) + right)
 
 
 class Benchmark:
-    """A block of items: their terms, and their n-grams by hash."""
+    """A block of items: their terms, and by the hash of a seed the items that have it."""
 
-    def __init__(self, ids: list, texts: list, n: int):
-        self.ids, self.terms, self.n = ids, [], n
+    def __init__(self, ids: list, texts: list):
+        self.ids, self.terms = ids, []
         for _, words, hashes in terms_of(pa.array([t or "" for t in texts], pa.string())):
             self.terms += [hashes[words.first[i] : words.first[i + 1]] for i in range(len(words.counts))]
-        grams = [_grams(t, n) for t in self.terms]
+        grams = [np.concatenate([_pairs(t[:-d], t[d:]) for d in REACH]) if len(t) > 1 else K.splitmix(t) for t in self.terms]
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         all_grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(all_grams, kind="stable")
-        self.grams, self.item, self.place = all_grams[order], item[order], place[order]
-        self.keys = np.unique(self.grams)
-        self.sizes = sorted({min(n, len(t)) for t in self.terms if len(t)})
+        self.item = item[order]
+        self.keys, self.first, self.counts = np.unique(all_grams[order], return_index=True, return_counts=True)
+        self.size = np.array([len(t) for t in self.terms], np.int64)
+        self.single = bool((self.size == 1).any())
 
 
-def benchmark_blocks(benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> Iterator[Benchmark]:
+def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Benchmark]:
     """The items in blocks of about ``block_words`` words: bounded, whatever the benchmark's size."""
     items = benchmark.select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
@@ -82,54 +79,59 @@ def benchmark_blocks(benchmark: DataFrame, n: int = N, block_words: int = BLOCK_
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)).collect()
         rows.sort(key=lambda r: (str(r["id"]), r["text"]))
         if rows:
-            yield Benchmark([r["id"] for r in rows], [r["text"] for r in rows], n)
-
+            yield Benchmark([r["id"] for r in rows], [r["text"] for r in rows])
 
-def passages(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """doc_id, terms, from (their place in the text), at and gram of hits, starts and ends (code points of terms): one row for each cluster of hits in a text."""
-    reach = max((len(t) for t in bench.terms), default=0) + SLACK
-    keys, sizes = bench.keys, bench.sizes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, cols = batch.column("doc_id"), [[] for _ in range(6)]
-            for chunk, words, hashes in terms_of(batch.column("text")):
-                hits, grams = [], []
-                for size in sizes:
-                    found, at = _window_grams(hashes, words, size)
-                    if len(found) and len(keys):
-                        k = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                        hit = keys[k] == found
-                        hits.append(at[hit])
-                        grams.append(found[hit])
-                at = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-                if not len(at):
-                    continue
-                gram = np.concatenate(grams)
-                order = np.argsort(at, kind="stable")
-                at, gram = at[order], gram[order]
-                doc = words.doc()[at]
-                points = K.code_points(chunk.data)
-                new = np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * reach)) + 1
-                for lo, hi in zip([0, *new], [*new, len(at)], strict=True):
-                    d = doc[lo]
-                    a, b = max(words.first[d], at[lo] - reach), min(words.first[d + 1], at[hi - 1] + reach + max(sizes))
-                    base = points[chunk.bounds[d]]
-                    for c, v in zip(cols, (chunk.first + d, hashes[a:b].view(np.int64), (at[lo:hi] - a).astype(np.int32), gram[lo:hi].view(np.int64), (points[words.start[a:b]] - base).astype(np.int32), (points[words.end[a:b]] - base).astype(np.int32)), strict=True):
-                        c.append(v)
-            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], (longs, ints, longs, ints, ints), strict=True)]], names=["doc_id", "terms", "at", "gram", "starts", "ends"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, terms array<long>, at array<int>, gram array<long>, starts array<int>, ends array<int>")
-
-
-def _window_grams(hashes: np.ndarray, words: K.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(hashes) < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def passages(words: K.Words, hashes: np.ndarray, bench: Benchmark, least_score: float) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first word, end word) of every passage that may reach the least score, over the documents of a chunk."""
     doc = words.doc()
-    at = np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :])
-    return _grams(hashes, size)[at], at
+    spots, keys = [], []
+    for d in REACH:
+        at = np.flatnonzero(doc[:-d] == doc[d:])
+        spots.append(at)
+        keys.append(_pairs(hashes[at], hashes[at + d]))
+    if bench.single:
+        spots.append(np.arange(len(hashes)))
+        keys.append(K.splitmix(hashes))
+    at, key = np.concatenate(spots), np.concatenate(keys)
+    if not len(at) or not len(bench.keys):
+        return
+    k = np.minimum(np.searchsorted(bench.keys, key), len(bench.keys) - 1)
+    hit = bench.keys[k] == key
+    at, k = at[hit], k[hit]
+    order = np.argsort(at, kind="stable")
+    at, k = at[order], k[order]
+    least = np.maximum(1, np.ceil(least_score * bench.size - 1 - 1e-9)).astype(np.int64)
+    span = np.maximum(np.ceil(bench.size * (3 - 2 * least_score)), bench.size).astype(np.int64) + max(REACH)
+    # Whole documents together, as many as have HELD seeds.
+    total = np.concatenate(([0], np.cumsum(bench.counts[k])))
+    bounds = np.searchsorted(at, words.first)
+    lo = 0
+    while lo < len(words.counts):
+        hi = max(lo + 1, int(np.searchsorted(total[bounds], total[bounds[lo]] + HELD, "right")) - 1)
+        part = slice(bounds[lo], bounds[hi])
+        lo = hi
+        n = bench.counts[k[part]]
+        if not len(n):
+            continue
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, spot = bench.item[np.repeat(bench.first[k[part]], n) + step], np.repeat(at[part], n)
+        order = np.argsort(item, kind="stable")
+        item, spot = item[order], spot[order]
+        # A seed from which enough seeds of its item follow in its document begins a passage.
+        last = np.arange(len(item)) + least[item] - 1
+        inside = np.minimum(last, len(item) - 1)
+        begins = np.flatnonzero((last < len(item)) & (item[inside] == item) & (doc[spot[inside]] == doc[spot]) & (spot[inside] - spot <= span[item]))
+        item, spot = item[begins], spot[begins]
+        if not len(item):
+            continue
+        new = np.flatnonzero((item[1:] != item[:-1]) | (doc[spot[1:]] != doc[spot[:-1]]) | (spot[1:] - spot[:-1] > 2 * span[item[1:]])) + 1
+        for i, j in zip([0, *new], [*new, len(item)], strict=True):
+            d, m = int(doc[spot[i]]), int(item[i])
+            a, b = max(int(words.first[d]), int(spot[i] - span[m])), min(int(words.first[d + 1]), int(spot[j - 1] + span[m]) + 1)
+            # A match is worth two, so so many of the item's terms must be there.
+            if np.isin(bench.terms[m], hashes[a:b]).sum() >= least_score * bench.size[m] - 1e-9:
+                yield d, m, a, b
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,25 +161,10 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
-def seeds(hits: DataFrame, bench: Benchmark) -> set[tuple[int, int]]:
-    """(item index, n-gram) of each item's rare n-grams, by the passages of the corpus that hold them; bounded by the block.
-
-    Copies of an item raise all its n-grams alike, so rare is relative to the item's
-    median; what far more passages hold is a common phrase and no seed.
-    """
-    spark = hits.sparkSession
-    seen = hits.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    own = spark.createDataFrame(list(zip(bench.item.tolist(), bench.grams.view(np.int64).tolist(), strict=True)), "item int, gram long").distinct()
-    counted = own.join(seen, "gram")
-    usual = counted.groupBy("item").agg(F.median("df").alias("usual"))
-    rare = counted.join(usual, "item").where(F.col("df") <= F.greatest(F.lit(RARE_AT_LEAST), RARE_TIMES * F.col("usual")))
-    return {(r["item"], r["gram"]) for r in rare.select("item", "gram").collect()}
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, n: int = N) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score (of the item's own), start and end (code points) of the best leak of each item in each document."""
     out = None
-    for bench in benchmark_blocks(benchmark, n):
+    for bench in benchmark_blocks(benchmark):
         found = _leaks_of(docs, bench, least_score, benchmark.schema["item_id"].dataType.simpleString())
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -188,62 +175,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCOR
 
 
 def _leaks_of(docs: DataFrame, bench: Benchmark, least_score: float, item_type: str) -> DataFrame:
-    hits = checkpointed(passages(docs, bench))
-    chosen = seeds(hits, bench)
-    index: dict[int, list[tuple[int, int]]] = {}
-    for gram, item, place in zip(bench.grams.view(np.int64).tolist(), bench.item.tolist(), bench.place.tolist(), strict=True):
-        if (item, gram) in chosen:
-            index.setdefault(gram, []).append((item, place))
-    terms, ids, grams_n = bench.terms, bench.ids, bench.n
+    terms, ids = bench.terms, bench.ids
+
+    def scored(hashes: np.ndarray, jobs: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, float, int, int]]:
+        """(document, item, score, first word, end word) of the passages that reach the least score, those of like length together."""
+        jobs.sort(key=lambda j: j[3] - j[2])
+        lo = 0
+        while lo < len(jobs):
+            hi = lo + 1
+            while hi < len(jobs) and (hi + 1 - lo) * (jobs[hi][3] - jobs[hi][2]) <= CELLS:
+                hi += 1
+            part, lo = jobs[lo:hi], hi
+            score, end = align([terms[m] for _, m, _, _ in part], [hashes[a:b] for _, _, a, b in part])
+            own = np.array([MATCH * len(terms[m]) for _, m, _, _ in part])
+            good = np.flatnonzero(score >= least_score * own - 1e-9).tolist()
+            if good:
+                _, back = align([terms[part[g][1]][::-1] for g in good], [hashes[part[g][2] : part[g][2] + end[g]][::-1] for g in good])
+                for g, r in zip(good, back.tolist(), strict=True):
+                    d, m, a, _ = part[g]
+                    yield d, m, float(score[g] / own[g]), a + int(end[g]) - r, a + int(end[g])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type)
         for batch in batches:
-            doc_ids, jobs, out = batch.column("doc_id"), [], []
-
-            def flush() -> None:
-                if not jobs:
-                    return
-                score, end = align([terms[j[1]] for j in jobs], [j[2] for j in jobs])
-                own = np.array([MATCH * len(terms[j[1]]) for j in jobs])
-                good = [k for k in np.flatnonzero(score >= least_score * own)]
-                if good:
-                    _, back = align([terms[jobs[k][1]][::-1] for k in good], [jobs[k][2][: end[k]][::-1] for k in good])
-                    for k, r in zip(good, back, strict=True):
-                        row, item, _, offset, starts, ends = jobs[k]
-                        first = offset + int(end[k] - r)
-                        out.append((row, ids[item], float(score[k] / own[k]), starts[first], ends[offset + int(end[k]) - 1]))
-                jobs.clear()
-
-            for row in range(batch.num_rows):
-                at, gram = batch.column("at")[row].values.to_numpy(), batch.column("gram")[row].values.to_numpy()
-                by_item: dict[int, list[tuple[int, int]]] = {}
-                for p, g in zip(at.tolist(), gram.tolist(), strict=True):
-                    for item, place in index.get(g, ()):
-                        by_item.setdefault(item, []).append((p - place, p))
-                if not by_item:
-                    continue
-                words = batch.column("terms")[row].values.to_numpy().view(np.uint64)
-                starts, ends = batch.column("starts")[row].values.to_pylist(), batch.column("ends")[row].values.to_pylist()
-                for item, spots in by_item.items():
-                    size = len(terms[item])
-                    spots.sort()
-                    lo, hi = spots[0][0], spots[0][0]
-                    for d, _ in [*spots[1:], (1 << 60, 0)]:
-                        if d - hi > 2 * (size + SLACK):
-                            a, b = max(0, lo - SLACK - size // 4), min(len(words), hi + size + SLACK + size // 4 + grams_n)
-                            if b > a:
-                                jobs.append((row, item, words[a:b], a, starts, ends))
-                            lo = d
-                        hi = d
-                if sum(len(j[2]) for j in jobs) > 30_000:
-                    flush()
-            flush()
+            doc_ids, out = batch.column("doc_id"), []
+            for chunk, words, hashes in terms_of(batch.column("text")):
+                found = list(scored(hashes, list(passages(words, hashes, bench, least_score))))
+                points = K.code_points(chunk.data) if found else None
+                for d, m, score, first, end in found:
+                    base = points[chunk.bounds[d]]
+                    out.append((chunk.first + d, ids[m], score, int(points[words.start[first]] - base), int(points[words.end[end - 1]] - base)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], kind), *[pa.array(c, t) for c, t in zip(cols[2:], (pa.float64(), pa.int64(), pa.int64()), strict=True)]], names=["doc_id", "item_id", "score", "start", "end"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return hits.mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, score double, start long, end long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, score double, start long, end long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:

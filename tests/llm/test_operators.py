@@ -240,6 +240,41 @@ def test_leaks(spark, docs):
     assert decontaminate.leaks(empty(spark), bench).count() == 0 and decontaminate.leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def _edited(words):
+    """Copies that score 0.5 or more: a word changed in every six or every four, and a word put in after each."""
+    six = [w if k % 6 else f"q{k}" for k, w in enumerate(words)]
+    four = [w if k % 4 else f"r{k}" for k, w in enumerate(words)]
+    return " ".join(six), " ".join(four), " ".join(f"{w} s{k}" for k, w in enumerate(words))
+
+
+def test_leaks_of_edited_copies_among_many(spark):
+    item, short = [f"w{k}" for k in range(40)], [f"v{k}" for k in range(16)]
+    six, _, _ = _edited(item)
+    kept = six.split()
+    rest = " ".join(w if w not in kept else f"{w} x" for w in item)
+    texts = [f"before {six} after"] * 300 + [" ".join(item), rest, *[f"a {x} b" for x in _edited(short)], " ".join(short[:4])]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(frame(spark, texts), bench).collect()}
+    assert {(i, 1) for i in range(301)} <= set(got) and {(i, 2) for i in (302, 303, 304)} <= set(got) and (305, 2) not in got
+    assert texts[0][got[0, 1]["start"] : got[0, 1]["end"]] == " ".join(kept[1:])
+
+
+def test_passages_miss_no_alignment():
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"t{x}" for x in rng.integers(0, 12, n)) for n in (3, 5, 8, 16, 25)]
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 14, n)) for n in rng.integers(0, 60, 200)]
+    bench = decontaminate.Benchmark(list(range(len(items))), items)
+    for _, words, hashes in decontaminate.terms_of(pa.array(texts)):
+        found = {}
+        for d, m, a, b in decontaminate.passages(words, hashes, bench, 0.5):
+            found[d, m] = max(found.get((d, m), 0), int(decontaminate.align([bench.terms[m]], [hashes[a:b]])[0][0]))
+        for d, text in enumerate(texts):
+            own = hashes[words.first[d] : words.first[d + 1]]
+            for m, item in enumerate(bench.terms):
+                score = int(decontaminate.align([item], [own])[0][0]) if len(own) else 0
+                assert score < len(item) or found.get((d, m)) == score
+
+
 # -- 5 and 8 --------------------------------------------------------------------------------------------------------
 
 PII = {
