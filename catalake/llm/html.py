@@ -12,7 +12,8 @@ without one, those outside menus, headers, footers, sidebars, notices, adverts,
 forms and comments are.
 
 Defined results: null and empty pages give empty text. Unclosed elements end with
-their parent; stray end tags are ignored. Repeated pages are extracted alike. A
+their parent; stray end tags are ignored. A self-closed svg or math is empty; of elements without an end tag only
+those of ``TO_END`` run to the page's end. Repeated pages are extracted alike. A
 host with fewer than ``LEAST_PAGES`` pages has no frame, so all its slots stay.
 Pages without a host share the empty host.
 """
@@ -39,6 +40,9 @@ FRAME_HOSTS = 5000
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+#: RAW elements that run to the page's end without an end tag, and those that may be self-closed.
+TO_END = frozenset("script style textarea title".split())
+FOREIGN = frozenset("svg math".split())
 SKIP = frozenset("nav footer aside form script style noscript template button select option input textarea head title svg math iframe object dialog menu".split())
 MAIN = frozenset("article main".split())
 HEADERS = frozenset("header".split())
@@ -49,6 +53,7 @@ SELF_CLOSERS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": fr
 LIST_SCOPE = frozenset("ul ol dl table tbody thead tfoot select".split())
 
 _PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|textarea|title|svg|math|iframe|object)\b[^>]*>|</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
+_NESTED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1(?:[\s/][^>]*)?>|\Z)|<(/?)(noscript|template|svg|math|iframe|object)\b[^>]*>", re.S | re.I)
 _ATTRS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _tags: dict[str, tuple] = {}
@@ -81,6 +86,22 @@ def _tag(raw: str) -> tuple[str, bool, str, int]:
     return t
 
 
+def _raw_ends(page: str) -> dict[int, int]:
+    """By the place after the start tag of a RAW element that isn't in TO_END: the place after its own end tag, where it has one."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in _NESTED.finditer(page):
+        if not m[3]:
+            continue
+        name = m[3].lower()
+        if not m[2]:
+            if not (name in FOREIGN and m[0].endswith("/>")):
+                open_.setdefault(name, []).append(m.end())
+        elif open_.get(name):
+            ends[open_[name].pop()] = m.end()
+    return ends
+
+
 def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
     """Blocks (path, in main, in skipped, text) in page order, and the tag tokens (path of each element)."""
     blocks: list[tuple[str, bool, bool, str]] = []
@@ -88,6 +109,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
     stack: list[tuple[str, str, int, int, bool]] = []  # name, path, skipped depth, main depth
     path, skipped, main = "", 0, 0
     text: list[str] = []
+    raw_ends: dict[int, int] | None = None
     at = 0
 
     def flush() -> None:
@@ -116,8 +138,12 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
             continue
         name, end, sign, kind = _tag(raw)
         if name in RAW and not end:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            if name in TO_END:
+                stop = re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?>", re.I).search(page, at)
+                at = stop.end() if stop else n
+            elif not (name in FOREIGN and raw.endswith("/>")):
+                raw_ends = _raw_ends(page) if raw_ends is None else raw_ends
+                at = raw_ends.get(at, at)
             if name != "textarea":
                 flush()
             continue

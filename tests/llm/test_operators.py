@@ -432,6 +432,14 @@ def test_html_templates_without_an_article(spark):
     assert {r["host"] for r in nested} == {"one.example"} and any(r["frame"] for r in nested)
 
 
+@pytest.mark.parametrize("raw", ["<svg viewBox='0'/>", "<math/>", "<object data='x'>", "<svg>", "<template>", "<svg><svg>x</svg>y</svg>", "<svg><!-- </svg> -->x</svg>", "<script>'<svg>'</script >", "<object><object></object>x</object>"])
+def test_html_raw_elements_cut_no_text(raw):
+    page = f"<article><p>one</p>{raw}<p>two</p><svg>x</svg><object>x</object><template>x</template><p>three</p></article>"
+    assert html.main_text(page, frozenset()) == "one two three"
+    assert html.main_text(f"<p>one</p>{raw}<p>two</p>", frozenset()) == "one two"
+    assert html.main_text("<p>one</p><script>x<p>two</p>", frozenset()) == "one"
+
+
 # -- 10 -----------------------------------------------------------------------------------------------------------
 
 
