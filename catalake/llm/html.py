@@ -4,17 +4,17 @@ Tokens of a page are its tags, told apart by their path, and its text blocks, to
 apart by path and wording. Tokens of a host whose occurrences are equal on every
 page form an equivalence class; occurrence vectors are compared by fingerprint sums,
 which partial aggregation adds up, so no host's pages meet in one task. A class is
-valid if enough pages have it and its tokens keep one order; valid classes nest by
-the span of their tokens. The class that every page has once is the template's
-frame: text in it is boilerplate, and the slots between its tokens hold the page's
-own text. Of the slots, those in an article (or main) element are the main text;
-without one, those outside menus, headers, footers, sidebars, notices, adverts,
-forms and comments are.
+valid if at least half of the host's pages that have tokens, and enough of them, have
+it. The valid classes of a host, in page order, are its template: text in it is
+boilerplate, and the slots between its tokens hold the page's own text. A page keeps
+the text of tokens that stand out of their class's order there. Of the slots, those in
+an article (or main) element are the main text; without one, those outside menus,
+headers, footers, sidebars, notices, adverts, forms and comments are.
 
 Defined results: null and empty pages give empty text. Unclosed elements end with
 their parent; stray end tags are ignored. A self-closed svg or math is empty; of elements without an end tag only
 those of ``TO_END`` run to the page's end. Repeated pages are extracted alike. A
-host with fewer than ``LEAST_PAGES`` pages has no frame, so all its slots stay.
+host with fewer than ``LEAST_PAGES`` pages with tokens has no template, so all its slots stay.
 Pages without a host share the empty host.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small
 
 LEAST_PAGES = 10
-#: Up to so many hosts with a frame, their frames are broadcast; beyond, pages and frames meet by host in a shuffle.
+#: Up to so many hosts with a template, their templates are broadcast; beyond, pages and templates meet by host in a shuffle.
 FRAME_HOSTS = 5000
 
 # Fixed element and attribute word lists.
@@ -103,7 +104,7 @@ def _raw_ends(page: str) -> dict[int, int]:
 
 
 def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
-    """Blocks (path, in main, in skipped, text) in page order, and the tag tokens (path of each element)."""
+    """Blocks (path, in main, in skipped, text), and the tokens of blocks and tags (path of each element), in page order."""
     blocks: list[tuple[str, bool, bool, str]] = []
     tokens: list[str] = []
     stack: list[tuple[str, str, int, int, bool]] = []  # name, path, skipped depth, main depth
@@ -118,6 +119,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
             text.clear()
             if clean:
                 blocks.append((path, main > 0, skipped > 0, clean))
+                tokens.append(f"{path}\0{clean}")
 
     def close(k: int) -> None:
         nonlocal path, skipped, main
@@ -208,16 +210,16 @@ def _host(url: str | None) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, token, pages, hits, mark1, mark2, rank: partial sums over the pages of a batch. The token 0 stands once on each page."""
+    """host, token, pages, hits, mark1, mark2, rank: partial sums over the pages of a batch. The token 0 stands once on each page that has tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple[str, int], list[int]] = {}
             for page, url, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html")], strict=True):
                 host = _host(url)
-                blocks, tags = parse(html or "")
-                seen: dict[int, list[int]] = {0: [1, 0]}
-                for k, token in enumerate([*(f"{b[0]}\0{b[3]}" for b in blocks), *tags]):
+                _, tokens = parse(html or "")
+                seen: dict[int, list[int]] = {0: [1, 0]} if tokens else {}
+                for k, token in enumerate(tokens):
                     key = _key(token)
                     if key in seen:
                         seen[key][0] += 1
@@ -263,19 +265,63 @@ def nest_classes(classes: DataFrame) -> DataFrame:
     return classes.withColumn("around", F.filter(spans, lambda s: s["last"] >= F.col("last"))).withColumn("parent_first", F.try_element_at(F.transform("around", lambda s: s["first"]), F.lit(-1))).drop("around")
 
 
-def frames(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """One row a host with a frame: host and its tokens."""
-    return deduce_classes(pages, least_pages).where("frame").groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("frame_tokens"))
-
-
-def main_text(page: str | None, frame: frozenset[int]) -> str:
-    blocks, _ = parse(page or "")
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """One row a host with valid classes: host, their tokens class by class, and how many each class has."""
+    each = F.array_sort(F.collect_list(F.struct("first", (-F.col("last")).alias("back"), "tokens")))
+    classes = deduce_classes(pages, least_pages).groupBy("host").agg(each.alias("c"))
+    return classes.select("host", F.flatten("c.tokens").alias("template"), F.transform("c", lambda c: F.size(c["tokens"])).alias("sizes"))
+
+
+def _in_order(places: list[int]) -> set[int]:
+    """Indices of a longest run of rising places."""
+    if all(a < b for a, b in zip(places, places[1:], strict=False)):
+        return set(range(len(places)))
+    ends: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(places)
+    for i, p in enumerate(places):
+        k = bisect_left(ends, p)
+        if k:
+            before[i] = at[k - 1]
+        ends[k:] = [p, *ends[k + 1 :]]
+        at[k:] = [i, *at[k + 1 :]]
+    keep, i = set(), at[-1]
+    while i >= 0:
+        keep.add(i)
+        i = before[i]
+    return keep
+
+
+def boilerplate(tokens: list[int], template: dict[int, tuple[int, int]]) -> set[int]:
+    """Tokens of a page that belong to a class of its host and stand in the class's order: once each, or in whole repetitions."""
+    on_page: dict[int, tuple[list[int], list[int]]] = {}
+    for token in tokens:
+        spot = template.get(token)
+        if spot:
+            places, keys = on_page.setdefault(spot[0], ([], []))
+            places.append(spot[1])
+            keys.append(token)
+    out: set[int] = set()
+    for places, keys in on_page.values():
+        n = len(set(places))
+        if n == len(places):
+            out.update(keys[i] for i in _in_order(places))
+        elif places == sorted(set(places)) * (len(places) // n):
+            out.update(keys)
+    return out
+
+
+def main_text(page: str | None, template: dict[int, tuple[int, int]]) -> str:
+    blocks, tokens = parse(page or "")
     if any(b[1] for b in blocks):
         slots = [b for b in blocks if b[1] and not b[2]]
     else:
         slots = [b for b in blocks if not b[2]]
-    own = [b for b in slots if _key(f"{b[0]}\0{b[3]}") not in frame] if frame else slots
-    # Pages that are all one copy have a frame that is the article itself.
+    own = slots
+    if template:
+        common = boilerplate([_key(t) for t in tokens], template)
+        own = [b for b in slots if _key(f"{b[0]}\0{b[3]}") not in common]
+    # Pages that are all one copy have a template that is the article itself.
     return " ".join(b[3] for b in (own or slots))
 
 
@@ -284,20 +330,22 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     id_type = pages.schema["page_id"].dataType.simpleString()
     pages = pages.select("page_id", "url", "html")
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), "^.*@", ""))
-    joined = pages.withColumn("host", host).join(broadcast_if_small(frames(pages, least_pages), FRAME_HOSTS), "host", "left")
+    joined = pages.withColumn("host", host).join(broadcast_if_small(templates(pages, least_pages), FRAME_HOSTS), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, frozenset[int]] = {}
+        known: dict[bytes, dict[int, tuple[int, int]]] = {}
         for batch in batches:
             texts = []
-            for page, tokens in zip(batch.column("html").to_pylist(), batch.column("frame_tokens").to_pylist(), strict=True):
-                key = np.array(tokens or [], np.int64).tobytes()
-                frame = known.get(key)
-                if frame is None:
+            for page, tokens, sizes in zip(batch.column("html").to_pylist(), batch.column("template"), batch.column("sizes"), strict=True):
+                flat, counts = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in (tokens, sizes))
+                key = flat.tobytes() + b"|" + counts.tobytes()
+                template = known.get(key)
+                if template is None:
                     if len(known) > 200:
                         known.clear()
-                    frame = known[key] = frozenset(tokens or [])
-                texts.append(main_text(page, frame))
+                    spots = [(c, k) for c, n in enumerate(counts.tolist()) for k in range(n)]
+                    template = known[key] = dict(zip(flat.tolist(), spots, strict=True))
+                texts.append(main_text(page, template))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "frame_tokens").mapInArrow(run, f"page_id {id_type}, url string, text string")
+    return joined.select("page_id", "url", "html", "template", "sizes").mapInArrow(run, f"page_id {id_type}, url string, text string")

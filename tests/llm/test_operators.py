@@ -435,9 +435,29 @@ def test_html_templates_without_an_article(spark):
 @pytest.mark.parametrize("raw", ["<svg viewBox='0'/>", "<math/>", "<object data='x'>", "<svg>", "<template>", "<svg><svg>x</svg>y</svg>", "<svg><!-- </svg> -->x</svg>", "<script>'<svg>'</script >", "<object><object></object>x</object>"])
 def test_html_raw_elements_cut_no_text(raw):
     page = f"<article><p>one</p>{raw}<p>two</p><svg>x</svg><object>x</object><template>x</template><p>three</p></article>"
-    assert html.main_text(page, frozenset()) == "one two three"
-    assert html.main_text(f"<p>one</p>{raw}<p>two</p>", frozenset()) == "one two"
-    assert html.main_text("<p>one</p><script>x<p>two</p>", frozenset()) == "one"
+    assert html.main_text(page, {}) == "one two three"
+    assert html.main_text(f"<p>one</p>{raw}<p>two</p>", {}) == "one two"
+    assert html.main_text("<p>one</p><script>x<p>two</p>", {}) == "one"
+
+
+def test_html_templates_survive_odd_pages_and_find_partial_notices(spark):
+    def page(k):
+        notice = "<p>Prices include tax</p>" if k % 5 else ""
+        return f"<body><div><p>Alpha line</p></div><article><h1>Title {k}</h1><p>Share this story</p><p>Own text {k}</p>{notice}</article><div><p>Omega line</p></div></body>"
+
+    def bare(k):
+        return page(k).replace("article", "section")
+
+    odd = [None, "", "<p>Error 500"]
+    table = spark.createDataFrame([(k, f"http://{h}.example/{k}", x) for h, f in (("one", page), ("two", bare)) for k, x in enumerate([*map(f, range(40)), *odd])], "page_id long, url string, html string")
+    got = {(r["url"][7:10], r["page_id"]): r["text"] for r in html.extract(table).collect()}
+    for k in range(40):
+        assert got["one", k] == f"Title {k} Own text {k}"
+        assert got["two", k] == f"Title {k} Own text {k}"
+    assert [got["one", k] for k in (40, 41, 42)] == ["", "", "Error 500"]
+    template = {10: (0, 0), 20: (0, 1), 30: (0, 2)}
+    assert html.boilerplate([10, 5, 20, 30], template) == {10, 20, 30} and html.boilerplate([20, 30, 10], template) == {20, 30}
+    assert html.boilerplate([10, 20, 30] * 2, template) == {10, 20, 30} and html.boilerplate([10, 20, 20, 30, 30, 10], template) == set()
 
 
 # -- 10 -----------------------------------------------------------------------------------------------------------
