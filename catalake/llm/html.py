@@ -9,7 +9,8 @@ it. The valid classes of a host, in page order, are its template: text in it is
 boilerplate, and the slots between its tokens hold the page's own text. A page keeps
 the text of tokens that stand out of their class's order there. Of the slots, those in
 an article (or main) element are the main text; without one, those outside menus,
-headers, footers, sidebars, notices, adverts, forms and comments are.
+headers, footers, sidebars, notices, adverts, forms and comments are. Words of a class or id skip no element that holds a main
+element, and nothing where they would skip all the text.
 
 Defined results: null and empty pages give empty text. Unclosed elements end with
 their parent; stray end tags are ignored. A self-closed svg or math is empty; of elements without an end tag only
@@ -61,7 +62,7 @@ _tags: dict[str, tuple] = {}
 
 
 def _tag(raw: str) -> tuple[str, bool, str, int]:
-    """Name, whether it ends, token, and kind (0 plain, 1 skipped, 2 main) of a tag as written."""
+    """Name, whether it ends, token, and kind (0 plain, 1 skipped, 2 main, 3 header, 4 skipped by its words only) of a tag as written."""
     t = _tags.get(raw)
     if t is None:
         if len(_tags) > 20_000:
@@ -80,7 +81,7 @@ def _tag(raw: str) -> tuple[str, bool, str, int]:
             elif name in MAIN or attrs.get("role", "").lower() == "main" or attrs.get("itemprop") == "articleBody":
                 kind = 2
             elif name not in ("html", "body") and words and HINTS.search(words):
-                kind = 1
+                kind = 4
             elif name in HEADERS:
                 kind = 3
         t = _tags[raw] = (name, end, sign, kind)
@@ -103,12 +104,14 @@ def _raw_ends(page: str) -> dict[int, int]:
     return ends
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
-    """Blocks (path, in main, in skipped, text), and the tokens of blocks and tags (path of each element), in page order."""
-    blocks: list[tuple[str, bool, bool, str]] = []
+def parse(page: str) -> tuple[list[tuple[str, bool, int, str]], list[str]]:
+    """Blocks (path, in main, skipped: 0 no, 1 by words of class or id only, 2 by an element or role; text), and the tokens of blocks and tags (path of each element), in page order."""
+    blocks: list[tuple[str, bool, int, tuple[int, ...], str]] = []
     tokens: list[str] = []
-    stack: list[tuple[str, str, int, int, bool]] = []  # name, path, skipped depth, main depth
+    stack: list[tuple[str, str, int, int, bool, tuple[int, ...]]] = []  # name, path, skipped depth, main depth, hinted elements
     path, skipped, main = "", 0, 0
+    hinted: tuple[int, ...] = ()
+    wraps: set[int] = set()  # hinted elements that hold a main element, which their hint can't mean
     text: list[str] = []
     raw_ends: dict[int, int] | None = None
     at = 0
@@ -118,14 +121,14 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
             clean = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if clean:
-                blocks.append((path, main > 0, skipped > 0, clean))
+                blocks.append((path, main > 0, skipped, hinted, clean))
                 tokens.append(f"{path}\0{clean}")
 
     def close(k: int) -> None:
-        nonlocal path, skipped, main
+        nonlocal path, skipped, main, hinted
         flush()
         del stack[k:]
-        path, skipped, main = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", 0, 0)
+        path, skipped, main, hinted = (*stack[-1][1:4], stack[-1][5]) if stack else ("", 0, 0, ())
 
     find, n = _PARTS.search, len(page)
     while at < n:
@@ -167,7 +170,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
             if not inline:
                 flush()
             continue
-        if inline and kind != 1:
+        if inline and kind not in (1, 4):
             continue
         if not inline:
             flush()
@@ -194,10 +197,15 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
         # A header inside the main element is its heading; elsewhere it is the site's.
         skipped += kind == 1 or (kind == 3 and not main)
         main += kind == 2
-        stack.append((name, path, skipped, main, True))
+        if kind == 4:
+            hinted = (*hinted, len(tokens))
+        # An article in an article is a comment or a teaser, and says nothing of what is around it.
+        elif kind == 2 and hinted and not (name == "article" and any(e[0] == "article" for e in stack)):
+            wraps.update(hinted)
+        stack.append((name, path, skipped, main, True, hinted))
         tokens.append(path)
     flush()
-    return blocks, tokens
+    return [(where, is_main, 2 if deep else int(any(h not in wraps for h in hints)), clean) for where, is_main, deep, hints, clean in blocks], tokens
 
 
 def _key(token: str) -> int:
@@ -314,9 +322,9 @@ def boilerplate(tokens: list[int], template: dict[int, tuple[int, int]]) -> set[
 def main_text(page: str | None, template: dict[int, tuple[int, int]]) -> str:
     blocks, tokens = parse(page or "")
     if any(b[1] for b in blocks):
-        slots = [b for b in blocks if b[1] and not b[2]]
-    else:
-        slots = [b for b in blocks if not b[2]]
+        blocks = [b for b in blocks if b[1]]
+    # Where words of class or id skip all there is, they don't count.
+    slots = [b for b in blocks if not b[2]] or [b for b in blocks if b[2] == 1]
     own = slots
     if template:
         common = boilerplate([_key(t) for t in tokens], template)

@@ -460,6 +460,15 @@ def test_html_templates_survive_odd_pages_and_find_partial_notices(spark):
     assert html.boilerplate([10, 20, 30] * 2, template) == {10, 20, 30} and html.boilerplate([10, 20, 20, 30, 30, 10], template) == set()
 
 
+def test_html_hints_around_the_main_element():
+    for wrap in ('<div class="content-sidebar-wrap">', '<div id="page" class="has-sidebar">', '<main><div class="x-nav">'):
+        assert html.main_text(f'<body>{wrap}<div class="menu">m</div><article><h1>T</h1><p>one</p><div class="share">s</div></article></div></body>', {}) == "T one"
+    assert html.main_text('<article><p>one</p><div class="comments"><article>reply</article></div></article>', {}) == "one"
+    assert html.main_text('<nav>x</nav><div class="has-sidebar"><p>one</p></div>', {}) == "one"
+    assert html.main_text('<div class="menu">x</div><div><p>one</p></div>', {}) == "one"
+    assert html.main_text('<nav><article>x</article></nav>', {}) == ""
+
+
 # -- 10 -----------------------------------------------------------------------------------------------------------
 
 
