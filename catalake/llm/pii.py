@@ -5,8 +5,9 @@ pattern. Patterns and instances form a bipartite graph with an edge for each
 occurrence: a pattern's score is the share of its mentions that are known, an
 instance's is the noisy-or of its patterns' scores, and both are recomputed in
 rounds, with patterns that reach ``CONFIDENT`` over at least ``SUPPORT`` distinct
-known instances making their identifier-like mentions known. What the last round
-knows beyond the seeds is found personal data.
+known instances, seeds or discovered, making their identifier-like mentions known.
+Scores only rise, and rounds end when none rises by more than ``STILL``. What is then
+known beyond the seeds is found personal data, wherever it stands.
 
 A regular expression's match positions come from splitting the text at it: the
 pieces between matches and the matches alternate. Patterns use possessive
@@ -28,7 +29,7 @@ BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "context"]
 SUPPORT = 5
 CONFIDENT = 0.8
-ROUNDS = 3
+STILL = 1e-6
 
 # Fixed patterns. The groups are unrolled and possessive, the language is that of the plain form.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -97,31 +98,34 @@ def mentions(docs: DataFrame) -> DataFrame:
     free = F.filter(words, lambda w: ~F.exists("seeds", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     strip = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     both = F.transform(F.concat("seeds", free), lambda s: F.struct((s["kind"] != "context").alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(s["left"]).alias("pattern")))
-    cut = rows.select("doc_id", F.transform("seeds", strip).alias("spans"), F.filter(both, lambda m: m["pattern"].isNotNull()).alias("mentions"))
+    cut = rows.select("doc_id", F.transform("seeds", strip).alias("spans"), F.filter(both, lambda m: m["pattern"].isNotNull() | ~m["seed"]).alias("mentions"))
     return checkpointed(cut.select(F.monotonically_increasing_id().alias("uid"), "*"))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+def bootstrap(found: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """Known instances beyond the seeds: value, pattern and score, from the mentions of all rows."""
-    edges = found.select(F.explode("mentions").alias("m")).select("m.pattern", "m.value", "m.seed")
+    edges = found.select(F.explode("mentions").alias("m")).select("m.pattern", "m.value", "m.seed").where("pattern is not null")
     edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    # Only patterns that enough distinct seeds share can become confident, in any round.
-    rich = edges.groupBy("pattern").agg(F.count_if("seed").alias("s")).where(F.col("s") >= support).select("pattern")
+    # A pattern's known instances are at most its distinct ones, so only patterns with enough of these can become confident.
+    rich = edges.groupBy("pattern").agg(F.count("*").alias("s")).where(F.col("s") >= support).select("pattern")
     edges = checkpointed(edges.join(rich, "pattern").withColumn("belief", F.col("seed").cast("double")))
-    for _ in range(rounds):
+    while True:
         patterns = edges.groupBy("pattern").agg((F.sum("belief") / F.count("*")).alias("score"), F.count_if(F.col("belief") >= confident).alias("known"))
-        scored = edges.drop("belief", "score").join(patterns.where((F.col("score") >= confident) & (F.col("known") >= support)).select("pattern", "score"), "pattern", "left")
+        sure = patterns.where((F.col("score") >= confident) & (F.col("known") >= support)).select("pattern", "score")
+        scored = edges.drop("was", "score").withColumnRenamed("belief", "was").join(sure, "pattern", "left")
         doubt = F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999999))))
         instances = scored.groupBy("value").agg(F.max("seed").alias("is_seed"), (1 - F.exp(doubt)).alias("belief_"))
-        edges = checkpointed(scored.join(instances, "value").select("pattern", "value", "seed", "n", "score", F.when(F.col("is_seed"), 1.0).otherwise(F.col("belief_")).alias("belief")))
+        edges = checkpointed(scored.join(instances, "value").select("pattern", "value", "seed", "n", "score", "was", F.when(F.col("is_seed"), 1.0).otherwise(F.col("belief_")).alias("belief")))
+        if edges.where(F.abs(F.col("belief") - F.col("was")) > STILL).isEmpty():
+            break
     return edges.where((~F.col("seed")) & F.col("score").isNotNull() & (F.col("belief") >= confident)).select("pattern", "value", F.col("belief").alias("score"))
 
 
 def _discovered(found: DataFrame) -> DataFrame:
     """uid and the spans and values that bootstrapping adds."""
-    known = bootstrap(found).select("pattern", "value")
+    known = bootstrap(found).select("value").distinct()
     each = found.select("uid", "doc_id", F.explode("mentions").alias("m")).where("not m.seed").select("uid", "doc_id", "m.*")
-    return each.join(known, ["pattern", "value"]).select("uid", "doc_id", "start", "end", "value")
+    return each.join(broadcast_if_small(known), "value").select("uid", "doc_id", "start", "end", "value")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

@@ -338,6 +338,16 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert red[len(red) - 2]["text"] is None and red[len(red) - 1]["text"] == "mail [EMAIL] or [PHONE]"
 
 
+def test_contexts_discover_through_discovered_identifiers(spark):
+    seeds = [f"text before employee number 4111 1111 1111 {n:04d} and after" for n in range(10_000) if luhn(f"411111111111{n:04d}")][:400]
+    first, second, third = ([f"ZX-{hop}0{n:02d}9-77" for n in range(size)] for hop, size in enumerate((40, 8, 1)))
+    contexts = {"employee number": first, "staff id": first + second, "member code": second + third}
+    texts = [*seeds, *[f"some words {c} {v} end" for c, values in contexts.items() for v in values], f"see page {third[0]} and {first[0]}", second[0]]
+    want = {k: {x for x in first + second + third if x in text} for k, text in enumerate(texts) if k >= len(seeds)}
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    assert {k: {texts[k][s["start"] : s["end"]] for s in got[k]} for k in want} == want
+
+
 def test_entropy_windows():
     def brute(text):
         best = 0
