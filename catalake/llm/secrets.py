@@ -105,21 +105,24 @@ def _runs(mask: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def suspects(chunk: K.Chunk) -> np.ndarray:
     """Whether each text can hold a span at all, from its bytes: a run long enough, or a sign of an assignment."""
     found = np.zeros(len(chunk), bool)
-    start, _ = _runs(_HEXISH[chunk.data], HEX_LENGTH)
+    start, stop = _runs(_HEXISH[chunk.data], HEX_LENGTH)
     keys, ends = _runs(_KEYISH[chunk.data], CANDIDATE_LENGTH)
     digits = np.zeros(len(chunk.data) + 1, np.int64)
     np.cumsum(_DIGIT[chunk.data], out=digits[1:])
-    keys = keys[digits[ends] > digits[keys]]
+    some = digits[ends] > digits[keys]
+    keys, ends = keys[some], ends[some]
     signs = np.flatnonzero((chunk.data == ord(":")) | (chunk.data == ord("=")))
     raw, akia, at = chunk.data.tobytes(), [], -1
     while (at := raw.find(b"AKIA", at + 1)) >= 0:
         akia.append(at)
-    # A run may reach over the end of a text; the text where it starts and the next ones up to its end are all looked at.
-    for p in (start, keys, signs, np.array(akia, np.int64), ends - 1):
+    for p in (signs, np.array(akia, np.int64)):
         found[np.searchsorted(chunk.bounds, p, "right") - 1] = True
-    if len(start):
-        for s, e in zip(*_runs(_HEXISH[chunk.data], HEX_LENGTH), strict=True):
-            found[np.searchsorted(chunk.bounds, s, "right") - 1 : np.searchsorted(chunk.bounds, e - 1, "right")] = True
+    # A run may reach over the end of a text; all texts from its start to its end are looked at.
+    step = np.zeros(len(chunk) + 1, np.int64)
+    for a, b in ((start, stop), (keys, ends)):
+        np.add.at(step, np.searchsorted(chunk.bounds, a, "right") - 1, 1)
+        np.add.at(step, np.searchsorted(chunk.bounds, b - 1, "right"), -1)
+    found |= np.cumsum(step[:-1]) > 0
     return found
 
 

@@ -363,6 +363,14 @@ def test_entropy_windows():
     assert not secrets.find("uuid 123e4567-e89b-12d3-a456-426614174000 and https example-of-long-words_with-parts 20240101-20250101-3000")
 
 
+def test_secrets_do_not_depend_on_neighbours():
+    key = "Zx9kQ2LmN8pR4tV7wY1bC3dE"
+    texts = ["see abc1", key, "", key, "end9 see", "plain words", key, "x", "0123456789abcdef" * 2, "f see"]
+    chunk = next(kernels.chunks(pa.array(texts)))
+    assert all(seen for text, seen in zip(texts, secrets.suspects(chunk).tolist(), strict=True) if secrets.find(text))
+    assert not secrets.suspects(next(kernels.chunks(pa.array(["plain words", "none here"])))).any()
+
+
 # -- 6 ------------------------------------------------------------------------------------------------------------
 
 
