@@ -361,6 +361,11 @@ def series_last_days(spark, sf_dir):
     return removal_gap_series(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 26").drop("r")
 
 
+@query(f"WITH {_GAPS} SELECT sku, store_label, CAST(day AS VARCHAR) AS day, price FROM gp QUALIFY row_number() OVER (PARTITION BY sku, store_label ORDER BY day DESC) <= 260")
+def series_last_days_whole(spark, sf_dir):
+    return series.last_days(removal_gap_series(spark, sf_dir), ["sku", "store_label"])
+
+
 @query(f"""WITH {_GAPS}, b AS (SELECT sku, min(price) AS lo, max(price) AS hi FROM gp WHERE price IS NOT NULL GROUP BY 1), c AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) * 0.08 ELSE greatest(1.0, abs(hi) * 0.05) END AS pad FROM b),
 d AS (SELECT sku, greatest(0.0, lo - pad) AS low, hi + pad AS high FROM c), e AS (SELECT *, greatest(6.0 - (high - low), 0.0) AS short FROM d)
 SELECT sku, round(greatest(0.0, low - short / 2), 6) AS y_min, round(greatest(0.0, low - short / 2) + greatest(6.0, high - low), 6) AS y_max FROM e""")
@@ -430,6 +435,14 @@ def token_block_pairs(spark, sf_dir):
     return linkage.token_blocks(_names(spark, sf_dir), bucket=60, candidates=25)
 
 
+_ALL_BLOCKS = _BLOCKS.replace("ORDER BY sku) <= 60", "ORDER BY sku) <= 500").replace("shared DESC, b) <= 25)", "shared DESC, b) <= 250)")
+
+
+@query(f"WITH {_ALL_BLOCKS} SELECT a, b, shared FROM bl")
+def token_block_pairs_whole(spark, sf_dir):
+    return linkage.token_blocks(_names(spark, sf_dir))
+
+
 _PEN = "CASE WHEN len(list_filter(ta, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 AND len(list_filter(tb, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 AND NOT list_has_any(list_filter(ta, lambda x: regexp_full_match(x, '[0-9]+')), list_filter(tb, lambda x: regexp_full_match(x, '[0-9]+'))) THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END"
 _TAIL = "CASE WHEN greatest(len(ta), len(tb)) - 1 > 0 THEN len(list_intersect(ta[2:], tb[2:]))::DOUBLE / (greatest(len(ta), len(tb)) - 1) ELSE 0.0::DOUBLE END"
 _SCORES = f"""sc AS (SELECT a, b, round({_PEN} * (2.4::DOUBLE * f + 2.0::DOUBLE * ({_TAIL}) * g + CASE WHEN na[1:10] = nb[1:10] THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END), 9) AS cheap,
@@ -443,6 +456,12 @@ def cheap_score_rerank(spark, sf_dir):
     return linkage.scored(linkage.token_blocks(names, bucket=60, candidates=25), names)
 
 
+@query(f"WITH {_ALL_BLOCKS}, j AS (SELECT a, b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM bl JOIN items x ON x.sku = a JOIN items y ON y.sku = b), {_SCORES} SELECT a, b, cheap, score FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY a ORDER BY cheap DESC, b) <= 10) WHERE score >= 0.6")
+def cheap_score_rerank_whole(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    return linkage.scored(linkage.token_blocks(names), names)
+
+
 @query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE sku IN ('k1', 'k7', 'k33')), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku AND list_has_any(x.t, y.t)), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
 def similarity_topk(spark, sf_dir):
     names = _names(spark, sf_dir)
@@ -451,7 +470,7 @@ def similarity_topk(spark, sf_dir):
 
 @query()
 def greedy_match(spark, sf_dir):
-    return linkage.greedy_match(cheap_score_rerank(spark, sf_dir))
+    return linkage.greedy_match(cheap_score_rerank_whole(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT p_partkey AS sku, (p_size || '.' || lpad(CAST(p_partkey % 7 AS VARCHAR), 2, '0')) AS code, p_retailprice FROM part WHERE p_partkey % 2 = 0), a AS (SELECT code, arg_max(sku, (p_retailprice, sku)) AS anchor FROM c GROUP BY 1)

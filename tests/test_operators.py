@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalake.operators import diff, index, linkage, merge, rules, series
 from catalake.operators.components import connected_components
+from catalake.plans import catalogue
 from catalake.sources import connectors as C
 from catalake.sources import snapshots
 from catalake.streaming import incremental
@@ -186,3 +187,16 @@ def test_catalogue_prefers_live_offers(spark):
     rows = spark.createDataFrame([("1", "S", "n", "$1", 1.0, "u1", True, 1), ("1", "T", "", "$9", 9.0, "u2", False, 2)], "sku string, store_label string, name string, price string, price_num double, url string, removed boolean, ts int")
     r = index.catalogue(rows).first()
     assert (r["cheapest_price"], r["stores"], r["stores_ever"], r["name"]) == ("$9", ["T"], ["S", "T"], "n")
+
+
+def test_whole_caps(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    pairs = catalogue.QUERIES["token_block_pairs_whole"](spark, sf).groupBy("a").count()
+    assert pairs.agg(F.max("count")).first()[0] > 25
+    for name in ("part", "supplier"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1).drop("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate").crossJoin(spark.range(300))
+    rows = rows.selectExpr("*", "id as l_orderkey", "1L as l_partkey", "1L as l_suppkey", "cast(date_add(date'1995-01-01', cast(id as int)) as timestamp) as l_shipdate")
+    rows.drop("id").write.parquet(str(tmp_path / "lineitem.parquet"))
+    days = [r["day"] for r in catalogue.QUERIES["series_last_days_whole"](spark, str(tmp_path)).collect()]
+    assert (len(days), min(days), max(days)) == (260, "1995-02-10", "1995-10-27")
