@@ -468,6 +468,12 @@ def similarity_topk(spark, sf_dir):
     return linkage.similar_to(names.where("sku in ('k1', 'k7', 'k33')"), names)
 
 
+@query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE CAST(sku[2:] AS BIGINT) % 20 = 0), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku AND list_has_any(x.t, y.t)), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
+def similarity_topk_whole(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    return linkage.similar_to(names.where("cast(substring(sku, 2) as bigint) % 20 = 0"), names)
+
+
 @query()
 def greedy_match(spark, sf_dir):
     return linkage.greedy_match(cheap_score_rerank_whole(spark, sf_dir))
@@ -639,6 +645,13 @@ def name_sanitize(spark, sf_dir):
     return pages.select("page_id", X.sanitize_name(F.col("t")).alias("name"))
 
 
+@query(r"""WITH h AS (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS t FROM pages), d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&laquo;', '«'), '&raquo;', '»') AS t FROM h)
+SELECT page_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '[^\p{L}\p{N}\s\-&().,/]', '', 'g'), '\s+', ' ', 'g')) AS name FROM d""")
+def name_sanitize_whole(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("t"))
+    return pages.select("page_id", X.sanitize_name(F.col("t")).alias("name"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, date_trunc('hour', ts + INTERVAL 30 MINUTE) AS hour FROM events")
 def time_functions(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", T.date_part(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"), F.date_trunc("hour", F.col("ts") + F.expr("interval 30 minutes")).alias("hour"))

@@ -200,3 +200,11 @@ def test_whole_caps(spark, tmp_path):
     rows.drop("id").write.parquet(str(tmp_path / "lineitem.parquet"))
     days = [r["day"] for r in catalogue.QUERIES["series_last_days_whole"](spark, str(tmp_path)).collect()]
     assert (len(days), min(days), max(days)) == (260, "1995-02-10", "1995-10-27")
+
+
+def test_whole_rows(spark, tmp_path):
+    sf, queries = "/root/testdata/sf0.001", catalogue.QUERIES
+    spark.createDataFrame([(1, "<h1>Salt &amp; Rye</h1>"), (2, "<h1>Gin</h1>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {tuple(r) for r in queries["name_sanitize_whole"](spark, str(tmp_path)).collect()} == {(1, "Salt & Rye"), (2, "Gin")}
+    asked = {r["a"] for r in queries["similarity_topk_whole"](spark, sf).select("a").distinct().collect()}
+    assert asked == {f"k{i}" for i in range(0, 200, 20)}
