@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating star operations: each node links its larger neighbours, then its
     smaller ones, to its smallest neighbour, until the graph is a set of stars. The
     number of rounds grows with the logarithm of the longest path. Rows with a null
-    end are left out; loops and repeated edges do no harm.
+    end are left out; loops and repeated edges do no harm. A graph that ``rounds`` don't
+    finish raises.
     """
     clean = edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s is not null and d is not null")
     loops = clean.where("s = d").select(F.col("s").alias("node"), F.col("s").alias("component"))
@@ -31,6 +32,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (row["n"], row["h"]) == mark:
             break
         mark = (row["n"], row["h"])
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     members = now.toDF("node", "component")
     roots = members.select(F.col("component").alias("node"), "component")
     return members.union(roots).union(loops).groupBy("node").agg(F.min("component").alias("component"))
