@@ -7,16 +7,19 @@ corrected for bits that agree by chance; pairs far below the threshold go, and
 the others are confirmed on their full sets.
 
 Documents with equal sets are one node from the start. A bucket never emits all its
-pairs: its nodes are first compared with the bucket's best connected node and
-``DRAWS`` others only.
-After these links are joined into components, only pairs of different components
-that share a bucket are compared, so no link that would join two components is lost
-beyond the bands' miss rate: (1 - s**ROWS)**BANDS, below 5e-8 for s = 0.8.
+pairs. In each of ``ROUNDS`` rounds a bucket names one hub, each node goes to the most
+similar hub of its buckets, and the links found are joined into components, so a round
+makes at most one row a node. Then only pairs of different components that share a
+bucket are compared, in tasks that hold a part of a bucket, so no link that would join
+two components is lost beyond the bands' miss rate: (1 - s**ROWS)**BANDS, below 5e-8
+for s = 0.8.
 
 Defined results: words are runs of other characters than 0x20 and 0x09-0x0D, with
 A-Z lower-cased. Fewer words than a shingle are one shingle; null and empty texts
 have no set and link with nothing. Rows that repeat a doc_id are linked. Rows
-without a doc_id link with nothing and are kept.
+without a doc_id link with nothing and are kept. Ties go to the smaller doc_id, of any
+ordered type. An empty table gives no row. Only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -41,10 +44,10 @@ LANES = HASHES * BITS // 64
 #: Candidates are confirmed if their estimate is at most this much below the threshold: five standard errors at 0.8.
 SLACK = 0.19
 PERCENT = 80
-#: Nodes of a bucket drawn as hubs beside its best connected one.
-DRAWS = 3
-#: Pairs of a group that is confirmed together, and nodes of a part of a bucket.
-GROUP_PAIRS, BUCKET_PART = 10_000, 512
+#: Rounds in which buckets name a hub.
+ROUNDS = 2
+#: Nodes that are checked against one copy of their hub; nodes of a bucket, and shingles of their sets, that a task holds at once.
+SPOKES, BUCKET_PART, HELD_SHINGLES = 500, 8192, 4_000_000
 
 _A = (K.splitmix(np.arange(HASHES, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)).astype(np.uint32)
 _B = K.splitmix(np.arange(HASHES, dtype=np.uint64) + np.uint64(7777)).astype(np.uint32)
@@ -131,107 +134,184 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 - differing / F.lit(LANES * 32.0)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(x) + len(y)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return common > 0 and 100 * common >= percent * (both - common)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted with the text of its node (all of them, where rows repeat an id)."""
+    return docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted), "node")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the threshold. pairs is stored.
+    """The pairs (a, b) of a node and its hub whose full shingle sets reach the threshold. Each node has one hub at most.
 
-    Pairs are dealt by a into groups of bounded size; a text comes to a group once,
-    however many of the group's pairs have it, so a hub of many pairs comes to each
-    group once and a text of many hubs comes once.
+    A node's text travels once. A hub's text comes once for every SPOKES of its nodes, so
+    the nodes of a large group are checked in many tasks.
     """
-    spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(2 * parts, -(-pairs.count() // GROUP_PAIRS))
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(groups)).alias("g"))
-    needed = dealt.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = needed.join(docs.select("doc_id", "text"), "doc_id").select("g", F.col("doc_id").alias("a"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
-    # In each group the texts, which have a text, come before the pairs.
-    sorted_rows = rows.repartition(parts, "g").sortWithinPartitions("g", F.col("text").isNull(), "a")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("cuts"))
+    salted = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), "cuts").cast("int").alias("salt"))
+    spokes = salted.select(F.col("a").alias("node"), F.col("b").alias("hub"), "salt", F.lit(1).alias("side"))
+    held = hubs.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"), F.lit(0).alias("side"))
+    rows = _texts(docs, spokes.unionByName(held)).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sets = None, {}
+        place, held = None, []
         for batch in batches:
-            ga, aa, ba, ta = (batch.column(c) for c in ("g", "a", "b", "text"))
-            n_texts = np.asarray(ta.is_valid())
-            gs, ids = ga.to_pylist(), aa.to_pylist()
-            made: dict[int, np.ndarray] = {}
-            at = np.flatnonzero(n_texts)
-            for chunk in K.chunks(ta.take(pa.array(at))):
-                for k, one in enumerate(shingle_sets(chunk, shingle)):
-                    made[int(at[chunk.first + k])] = one
-            others, keep = ba.to_pylist(), []
-            for i in range(batch.num_rows):
-                if gs[i] != group:
-                    group, sets = gs[i], {}
-                if i in made:
-                    # Rows that repeat an id may differ in text: each of them may link.
-                    sets.setdefault(ids[i], []).append(made[i])
-                    continue
-                if any(_linked(x, y, percent) for x in sets.get(ids[i], ()) for y in sets.get(others[i], ())):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            hubs, salts, sides = (batch.column(c).to_pylist() for c in ("hub", "salt", "side"))
+            keep, i = [], 0
+            for chunk in K.chunks(batch.column("text")):
+                for one in shingle_sets(chunk, shingle):
+                    if (hubs[i], salts[i]) != place:
+                        place, held = (hubs[i], salts[i]), []
+                    if sides[i] == 0:
+                        # Rows that repeat an id may differ in text: each of them may link.
+                        held.append(one)
+                    elif any(_linked(x, one, percent) for x in held):
+                        keep.append(i)
+                    i += 1
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "hub")], names=["a", "b"])
 
     id_type = pairs.schema["a"].dataType.simpleString()
-    return sorted_rows.select("g", "a", "b", "text").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    return rows.select("hub", "salt", "side", "node", "text").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(x) + len(y)
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    merged = np.concatenate((x, y))
-    merged.sort(kind="stable")
-    common = int((merged[1:] == merged[:-1]).sum())
-    return common > 0 and 100 * common >= percent * (both - common)
+class _Part:
+    """The held nodes of one part of a bucket, and which components its links have joined."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.arrays: tuple | None = None
+        self.parent: dict = {}
+
+    def root(self, x):
+        while self.parent.get(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def stacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Component number, sketch and bands of the held nodes."""
+        if self.arrays is None:
+            self.numbers = {c: k for k, c in enumerate(dict.fromkeys(r[1] for r in self.rows))}
+            self.arrays = (np.array([self.numbers[r[1]] for r in self.rows]), np.stack([r[2] for r in self.rows]), np.stack([r[3] for r in self.rows]))
+        return self.arrays
+
+    def likely(self, key: int, component, main: bool, sketch: np.ndarray, bands: np.ndarray, least: float) -> np.ndarray:
+        """Held nodes of other components that a right node may link with and meets in this bucket first."""
+        numbers, sketches_, bands_ = self.stacked()
+        differing = np.bitwise_count(sketches_ ^ sketch).sum(1, dtype=np.int64)
+        at = np.flatnonzero((1 - differing / (LANES * 32.0) >= least) & (numbers != self.numbers.get(component, -1)))
+        if not main:  # the main component is never held; of the others, each pair is met twice
+            at = at[[self.rows[k][1] < component for k in at.tolist()]] if len(at) else at
+        if len(at):
+            same = bands_[at] == bands
+            at = at[bands[same.argmax(1)] == key]
+        return at
+
+
+def _parts(batch: pa.RecordBatch) -> tuple[list, ...]:
+    n = batch.num_rows
+    sketch = np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(n, LANES)
+    bands = np.asarray(batch.column("bands").flatten()).reshape(n, BANDS)
+    return (*(batch.column(c).to_pylist() for c in ("key", "part", "side", "node", "component", "main", "n")), sketch, bands)
+
+
+BUCKET = "key long, part int, side int, node {id}, component {id}, main boolean, n long, sketch array<long>, bands array<long>"
+
+
+def likely_in_buckets(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of bucket parts that have a likely partner of another component there, by sketch: no table of pairs is made."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type = rows.schema["node"].dataType.simpleString()
+    dealt = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, found, schema = None, _Part(), set(), None
+
+        def left() -> pa.RecordBatch:
+            cols = [[place[0]] * len(found), [place[1]] * len(found), [0] * len(found)]
+            mine = [held.rows[k] for k in sorted(found)]
+            cols += [[r[0] for r in mine], [r[1] for r in mine], [False] * len(mine), [r[4] for r in mine], [r[2].view(np.int64) for r in mine], [r[3] for r in mine]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            keys, part, side, node, component, main, n, sketch, bands = _parts(batch)
+            keep = []
+            for i in range(batch.num_rows):
+                if (keys[i], part[i]) != place:
+                    if found:
+                        yield left()
+                    place, held, found = (keys[i], part[i]), _Part(), set()
+                if side[i] == 0:
+                    held.rows.append((node[i], component[i], sketch[i].copy(), bands[i].copy(), n[i]))
+                elif held.rows:
+                    at = held.likely(keys[i], component[i], main[i], sketch[i], bands[i], least)
+                    if len(at):
+                        keep.append(i)
+                        found.update(at.tolist())
+            if keep:
+                yield batch.take(pa.array(keep, pa.int64()))
+        if found:
+            yield left()
+
+    return dealt.mapInArrow(run, BUCKET.format(id=id_type))
 
 
 def confirm_in_buckets(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, least: float) -> DataFrame:
-    """Links (a, b) between the left and right nodes of each bucket part, on full sets; no table of candidate pairs is made.
+    """Links (a, b) that join components, between the held and the other nodes of each bucket part, on full sets.
 
-    A part's left nodes, of which there are about BUCKET_PART, are held while its right
-    nodes pass. A pair is looked at in the first bucket that it shares.
+    A part's held nodes have at most about HELD_SHINGLES shingles together. A link is
+    given only where it joins components that the part's links so far don't, so there are
+    fewer links than nodes.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.join(texts, "node").repartition(parts, "key", "part").sortWithinPartitions("key", "part", "side", "node")
+    id_type = rows.schema["node"].dataType.simpleString()
+    size = rows.where("side = 0").groupBy("key", "part").agg(F.ceil(F.sum("n") / HELD_SHINGLES).cast("int").alias("cuts"))
+    cut = rows.join(size, ["key", "part"])
+    mine = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("node"), "cuts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
+    dealt = _texts(docs, cut.withColumn("cut", F.explode(mine)).drop("cuts")).repartition(parts, "key", "part", "cut").sortWithinPartitions("key", "part", "cut", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, left, arrays = None, [], None
+        place, held = None, _Part()
         for batch in batches:
-            n = batch.num_rows
-            key, part, side, node, component = (batch.column(c).to_pylist() for c in ("key", "part", "side", "node", "component"))
-            main = batch.column("main").to_pylist()
-            sketch = np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(n, LANES)
-            bands = np.asarray(batch.column("bands").flatten()).reshape(n, BANDS)
-            sets = [s for chunk in K.chunks(batch.column("text")) for s in shingle_sets(chunk, shingle)]
-            out_a, out_b = [], []
-            for i in range(n):
-                if (key[i], part[i]) != place:
-                    place, left, arrays = (key[i], part[i]), [], None
-                if side[i] == 0:
-                    left.append((node[i], component[i], sketch[i].copy(), bands[i].copy(), sets[i]))
-                    continue
-                if not left:
-                    continue
-                if arrays is None:
-                    arrays = (np.array([x[1] for x in left]), np.stack([x[2] for x in left]), np.stack([x[3] for x in left]))
-                differing = np.bitwise_count(arrays[1] ^ sketch[i]).sum(1, dtype=np.int64)
-                good = (1 - differing / (LANES * 32.0) >= least) & (arrays[0] != component[i])
-                if not main[i]:
-                    good &= arrays[0] < component[i]
-                at = np.flatnonzero(good)
-                if len(at):
-                    same = arrays[2][at] == bands[i]
-                    at = at[bands[i][same.argmax(1)] == key[i]]
-                for k in at.tolist():
-                    if _linked(left[k][4], sets[i], percent):
-                        out_a.append(left[k][0])
-                        out_b.append(node[i])
+            keys, part, side, node, component, main, n, sketch, bands = _parts(batch)
+            cuts = batch.column("cut").to_pylist()
+            out_a, out_b, i = [], [], -1
+            for chunk in K.chunks(batch.column("text")):
+                for one in shingle_sets(chunk, shingle):
+                    i += 1
+                    if (keys[i], part[i], cuts[i]) != place:
+                        place, held = (keys[i], part[i], cuts[i]), _Part()
+                    if side[i] == 0:
+                        held.rows.append((node[i], component[i], sketch[i].copy(), bands[i].copy(), one))
+                        continue
+                    if not held.rows:
+                        continue
+                    for k in held.likely(keys[i], component[i], main[i], sketch[i], bands[i], least).tolist():
+                        x, y = held.root(held.rows[k][1]), held.root(component[i])
+                        if x != y and _linked(held.rows[k][4], one, percent):
+                            held.parent[x] = y
+                            out_a.append(held.rows[k][0])
+                            out_b.append(node[i])
             kind = batch.schema.field("node").type
             yield pa.RecordBatch.from_arrays([pa.array(out_a, kind), pa.array(out_b, kind)], names=["a", "b"])
 
-    id_type = rows.schema["node"].dataType.simpleString()
-    return dealt.select("key", "part", "side", "node", "component", "main", "sketch", "bands", "text").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    columns = ["key", "part", "cut", "side", "node", "component", "main", "n", "sketch", "bands", "text"]
+    return dealt.select(*columns).mapInArrow(run, f"a {id_type}, b {id_type}")
+
+
+def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Components after more links: the first ones are stars, so joining them takes few rounds."""
+    more = more.toDF("src", "dst")
+    return checkpointed(connected_components(more if links is None else links.toDF("src", "dst").union(more)))
 
 
 def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -240,53 +320,58 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
     all_rows = checkpointed(sketches(docs, shingle))
     have = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = have.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"))
-    members = have.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2"]).select("doc_id", "n_shingles", "node")
-    nodes = checkpointed(have.join(classes, ["set1", "set2"]).where("doc_id = node").select("node", "sketch", "bands").dropDuplicates(["node", "sketch"]))
-
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = checkpointed(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").distinct())
-    # Hubs of a bucket: its best connected node, which copies of one text have in common, and a few drawn by hash, which reach along chains of edits.
-    degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
-    draws = [F.min_by("node", F.xxhash64("key", "node", F.lit(k))).alias(f"draw{k}") for k in range(DRAWS)]
-    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "node"))["node"].alias("top"), *draws)
-    hubs = hubs.select("key", F.array_distinct(F.array("top", *[f"draw{k}" for k in range(DRAWS)])).alias("hubs"))
-    # b is the hub: the side whose set is kept while its rows pass.
-    spokes = shared.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
-    sketch = nodes.select("node", "sketch")
+    placed = have.join(classes, ["set1", "set2"])
+    members = placed.select("doc_id", "n_shingles", "node")
+    nodes = checkpointed(placed.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["node", "sketch"]))
+
+    rows = nodes.select("node", F.explode("bands").alias("key")).distinct()
+    shared = checkpointed(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("key", "node"))
     least = percent / 100 - SLACK
-    likely = spokes.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b")
-    likely = checkpointed(likely.distinct())
-    links = checkpointed(confirm(likely, docs, shingle, percent))
+    sketch = nodes.select("node", "sketch")
+
+    def now(found: DataFrame | None) -> DataFrame:
+        """The nodes of each bucket with their components."""
+        if found is None:
+            return shared.withColumn("component", F.col("node"))
+        return shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+    found = None
+    for k in range(ROUNDS):
+        placed = now(found)
+        # A node's order is the same in all buckets, so the buckets of a group of copies agree on few hubs.
+        hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(k))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        hubs = hubs.where("low <> high").select("key", F.col("hub.node").alias("b"), F.col("hub.component").alias("of"))
+        meet = placed.join(hubs, "key").where("component <> of").select(F.col("node").alias("a"), "b").distinct()
+        scored = meet.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b").withColumn("e", estimate(F.col("sketch_a"), F.col("sketch_b")))
+        best = scored.where(F.col("e") >= least).groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
+        links = checkpointed(confirm(checkpointed(best), docs, shingle, percent))
+        if links.isEmpty():
+            break
+        found = _joined(found, links)
 
     # Pairs of different components that share a bucket are all that can still join components.
-    found = checkpointed(connected_components(links.toDF("src", "dst")))
-    placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "c")
-    # Of each bucket, the component with most nodes is only met by the others' nodes: its own pairs are never formed.
+    placed = now(found)
     per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    apart = checkpointed(placed.join(mixed, "key").join(nodes, "node").select("key", "node", "component", "sketch", "bands", "c", (F.col("component") == F.col("main")).alias("main")))
-    # Large buckets are cut on one side, which meets copies of the other side.
-    cuts = F.ceil(F.col("c") / BUCKET_PART).cast("int")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = apart.where("not main").withColumn("part", F.pmod(F.xxhash64("node"), cuts).cast("int")).drop("c").repartition(parts, "key", "part")
-    two = apart.withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("c").repartition(parts, "key", "part")
-    x, y = one.alias("x"), two.alias("y")
-    meets = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component"))
-        & (F.col("y.main") | (F.col("x.component") < F.col("y.component"))) & (estimate(F.col("x.sketch"), F.col("y.sketch")) >= least)
-    )
-    # Only nodes with a likely partner in the other side go on, by semi-joins, whose rows can't exceed their side's.
-    sides = x.join(y, meets, "left_semi").withColumn("side", F.lit(0)).unionByName(y.join(x, meets, "left_semi").withColumn("side", F.lit(1)))
-    more = confirm_in_buckets(checkpointed(sides), docs, shingle, percent, least).toDF("src", "dst")
+    # Of each bucket, the component with most nodes is only met by the others' nodes: its own pairs are never formed.
+    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")).where("k > 1")
+    mixed = mixed.select("key", "largest", F.ceil((F.col("all") - F.col("most")) / BUCKET_PART).cast("int").alias("cuts"))
+    apart = placed.join(mixed, "key").withColumn("main", F.col("component") == F.col("largest"))
+    # Nodes of other components are held, in parts of a bounded size; all of a bucket's nodes pass each part.
+    held = apart.where("not main").select("key", "node", "component", "main", F.pmod(F.xxhash64("node"), "cuts").cast("int").alias("part"), F.lit(0).alias("side"))
+    passing = apart.select("key", "node", "component", "main", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), F.lit(1).alias("side"))
+    sides = held.unionByName(passing).join(nodes, "node").select("key", "part", "side", "node", "component", "main", "n", "sketch", "bands")
+    more = confirm_in_buckets(checkpointed(likely_in_buckets(sides, least)), docs, shingle, percent, least).toDF("src", "dst")
 
     # Rows that repeat an id are one document, whichever sets they have.
     repeated = members.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("dst")).where("src <> dst").select("src", "dst")
     more = checkpointed(more.union(repeated))
-    # The first components are stars, so joining them takes few rounds, and none if nothing joins them.
-    final = found if more.isEmpty() else connected_components(found.toDF("src", "dst").union(more))
-    placed = members.join(final, members["node"] == final["node"], "left").select(members["doc_id"], "n_shingles", F.coalesce("component", members["node"]).alias("component_id"))
+    if not more.isEmpty():
+        found = _joined(found, more)
+    final = members.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
+    if found is not None:
+        final = members.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     rest = all_rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.unionByName(rest)
+    return final.unionByName(rest)
 
 
 def mark_kept(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
