@@ -7,8 +7,10 @@ it in Arrow batches; ``rules`` compares with fixed thresholds.
 
 Defined results: a null or empty text has no words, fails the base rule and gets
 the classifier's score of the empty feature vector. Repeated rows are scored
-alike. Without labelled rows of both kinds the classifier gives 1 to every text,
-so that only the base rule rejects.
+alike, and so are rows without an id. A score equal to the threshold keeps. Without
+labelled rows of both kinds the classifier gives 1 to every text, so that only the base
+rule rejects. An empty table gives no row. ``assess`` reads doc_id and text only;
+``keep_good`` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
+from .fitting import Rows, fitted, labelled_sample, labelled_texts
 
 #: Hash space of word features and of character n-gram features, each.
 BUCKETS = 1 << 15
-#: At most so many labelled rows are used to fit, those with the smallest hash of doc_id.
-TRAIN_ROWS = 6000
+#: At most so many labelled rows are used to fit, those with the smallest hash of doc_id, and of them no more than have so many features together.
+TRAIN_ROWS, TRAIN_FEATURES = 6000, 30_000_000
 #: A text is kept if its calibrated probability of good quality is at least this.
 KEEP_AT = 0.3
 MIN_WORDS = 20
@@ -34,6 +36,8 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 DENSE = 6
 CHAR_N = 4
+#: Features of a row (with the bias), and what shares of n-grams are multiplied by.
+SIZE, SCALE = 2 * BUCKETS + DENSE + 1, 20.0
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -128,73 +132,64 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, wd, g, gd = _features(chunk, hashes, words)
             dense = _dense(metrics)
             idx, val = [], []
+            tail = np.arange(2 * BUCKETS, SIZE)
             for i in range(len(chunk)):
                 parts = []
                 for b, d in ((w, wd), (g, gd)):
                     mine = b[np.searchsorted(d, i) : np.searchsorted(d, i, "right")]
                     u, c = np.unique(mine, return_counts=True)
-                    parts.append((u, c / max(len(mine), 1)))
-                idx.append(np.concatenate([p[0] for p in parts]).astype(np.int32))
-                val.append(np.concatenate([p[1] for p in parts]).astype(np.float32))
+                    parts.append((u, SCALE * c / max(len(mine), 1)))
+                idx.append(np.concatenate([*(p[0] for p in parts), tail]).astype(np.int32))
+                val.append(np.concatenate([*(p[1] for p in parts), dense[i], [1.0]]).astype(np.float32))
             part = batch.slice(chunk.first, len(chunk))
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("fold"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())), pa.array(list(dense.astype(np.float32)), pa.list_(pa.float32()))], names=["label", "fold", "idx", "val", "dense"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("fold"), part.column("place"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["label", "fold", "place", "idx", "val"])
 
 
-def labelled_sample(labels: DataFrame, label: str, rows: int, where=None) -> DataFrame:
-    """doc_id, label and fold of the ``rows`` labelled rows whose id hashes lowest: a bounded table."""
-    named = labels.select(labels["doc_id"], labels[label].cast("int").alias("label")).where("label is not null and doc_id is not null")
-    if where is not None:
-        named = named.where(where)
-    return named.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).orderBy("fold", "doc_id", "label").limit(rows)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, features: int = TRAIN_FEATURES, epochs: int = 12, seed: int = 7) -> Model:
+    """Fit on at most ``rows`` labelled rows with at most ``features`` features together, in one task; one row in five calibrates and is not fitted on.
 
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, epochs: int = 12, seed: int = 7) -> Model:
-    """Fit on at most ``rows`` labelled rows; one in five calibrates and is not fitted on.
-
-    Rows without a label or an id are left out; of repeated rows each counts.
+    Rows without a label or an id are left out; of repeated rows each counts. The rows'
+    order, and so the model, doesn't depend on how docs is partitioned.
     """
-    wanted = labelled_sample(labels, label, rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    table = picked.select("text", "label", "fold").mapInArrow(_sparse_rows, "label int, fold long, idx array<int>, val array<float>, dense array<float>").toArrow()
-    y = np.asarray(table["label"].to_numpy(), float)
-    if len(set(y.tolist())) < 2:
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        x = Rows(batches, ["idx", "val"], ["label", "fold"], features)
+        y = np.asarray(x["label"], float)
+        if len(set(y.tolist())) < 2:
+            return np.zeros(0)
+        held = x["fold"] % 5 == 0
+        if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+            held = np.zeros(len(y), bool)
+        order = np.flatnonzero(~held)
+        rng = np.random.default_rng(seed)
+        theta, grad2 = np.zeros(SIZE), np.full(SIZE, 1e-6)
+        weight = np.where(y == 1, 0.5 / max(y[order].mean(), 1e-9), 0.5 / max(1 - y[order].mean(), 1e-9))
+
+        def scores(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            at, row = x.pick(some)
+            cols, vals = x["idx"][at], x["val"][at]
+            return np.bincount(row, theta[cols] * vals, len(some)), row, cols, vals
+
+        for _ in range(epochs):
+            rng.shuffle(order)
+            for k in range(0, len(order), 32):
+                some = order[k : k + 32]
+                z, row, cols, vals = scores(some)
+                error = weight[some] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some])
+                g = np.bincount(cols, error[row] * vals, SIZE) + 1e-4 * theta
+                grad2 += g * g
+                theta -= 0.1 * g / np.sqrt(grad2)
+        z = np.concatenate([scores(np.arange(k, min(k + 500, len(y))))[0] for k in range(0, len(y), 500)])
+        cal = np.flatnonzero(held) if held.any() else np.arange(len(y))
+        return np.concatenate((theta, platt(z[cal], y[cal])))
+
+    picked = labelled_texts(docs, labelled_sample(labels, label, rows))
+    place = picked.schema["place"].dataType.simpleString()
+    table = picked.mapInArrow(_sparse_rows, f"label int, fold long, place {place}, idx array<int>, val array<float>")
+    model = fitted(table, fit)
+    if not len(model):
         return Model()
-    idx, val = table["idx"].combine_chunks(), table["val"].combine_chunks()
-    offsets, flat, value = np.asarray(idx.offsets), np.asarray(idx.flatten()), np.asarray(val.flatten(), float)
-    dense = np.stack(table["dense"].to_pylist()).astype(float)
-    held = np.asarray(table["fold"].to_numpy()) % 5 == 0
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    fit = np.flatnonzero(~held)
-    rng = np.random.default_rng(seed)
-    size = 2 * BUCKETS + DENSE + 1
-    theta, grad2 = np.zeros(size), np.full(size, 1e-6)
-    scale = 20.0
-    rows_of = np.repeat(np.arange(len(y)), np.diff(offsets))
-    x = _csr(len(y), offsets, flat, value * scale, dense)
-    class_weight = np.where(y == 1, 0.5 / max(y[fit].mean(), 1e-9), 0.5 / max(1 - y[fit].mean(), 1e-9))
-    del rows_of
-    for _ in range(epochs):
-        rng.shuffle(fit)
-        for k in range(0, len(fit), 32):
-            g = np.zeros(size)
-            for i in fit[k : k + 32]:
-                cols, vals = x[i]
-                p = 1 / (1 + np.exp(-np.clip(theta[cols] @ vals, -30, 30)))
-                np.add.at(g, cols, class_weight[i] * (p - y[i]) * vals)
-            g += 1e-4 * theta
-            grad2 += g * g
-            theta -= 0.1 * g / np.sqrt(grad2)
-    z = np.array([theta[c] @ v for c, v in x])
-    cal = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    slope, shift = platt(z[cal], y[cal])
-    weights = theta[: 2 * BUCKETS] * scale
-    return Model(weights, theta[2 * BUCKETS : -1].copy(), float(theta[-1]), slope, shift)
-
-
-def _csr(n: int, offsets: np.ndarray, flat: np.ndarray, value: np.ndarray, dense: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    tail = np.arange(2 * BUCKETS, 2 * BUCKETS + DENSE + 1)
-    return [(np.concatenate([flat[offsets[i] : offsets[i + 1]], tail]), np.concatenate([value[offsets[i] : offsets[i + 1]], dense[i], [1.0]])) for i in range(n)]
+    return Model(model[: 2 * BUCKETS] * SCALE, model[2 * BUCKETS : SIZE - 1], float(model[SIZE - 1]), float(model[SIZE]), float(model[SIZE + 1]))
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:

@@ -8,7 +8,9 @@ finds the sentences that make a document toxic; ``locate`` returns them.
 
 Terms are lower-cased (A-Z) runs of ASCII letters and digits and of bytes beyond
 ASCII. Defined results: null and empty texts score 0 sentences, which is 0.
-Repeated rows score alike. Without labelled rows of both kinds every score is 0.
+Repeated rows score alike, and so do rows without an id; a score equal to the threshold
+is toxic. Without labelled rows of both kinds every score is 0. An empty table gives no
+row. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .quality import labelled_sample
+from .fitting import Rows, fitted, labelled_sample, labelled_texts
 
-#: At most so many labelled rows are fitted, those with the smallest hash of doc_id.
-TRAIN_ROWS = 8000
+#: At most so many labelled rows are fitted, those with the smallest hash of doc_id, and of them no more than have so many terms together.
+TRAIN_ROWS, TRAIN_TERMS = 8000, 20_000_000
 BUCKETS = 1 << 18
 #: Terms of fewer fitted documents, or whose share of toxic documents exceeds that of
 #: others by fewer standard errors, carry no weight: labels are noisy and terms many.
@@ -85,7 +87,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idx = [pa.array(bucket[cut[i] : cut[i + 1]].astype(np.int32)) for i in range(len(chunk))]
             sen = [pa.array((sentence[cut[i] : cut[i + 1]] - (sentence[cut[i]] if cut[i] < cut[i + 1] else 0)).astype(np.int32)) for i in range(len(chunk))]
             part = batch.slice(chunk.first, len(chunk))
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(idx, pa.list_(pa.int32())), pa.array(sen, pa.list_(pa.int32()))], names=["label", "idx", "sentence"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("place"), pa.array(idx, pa.list_(pa.int32())), pa.array(sen, pa.list_(pa.int32()))], names=["label", "place", "idx", "sentence"])
 
 
 def _telling(total: np.ndarray, toxic: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
@@ -95,52 +97,49 @@ def _telling(total: np.ndarray, toxic: np.ndarray, n_toxic: int, n_other: int) -
     return (total >= LEAST_DOCS) & (gap >= LEAST_Z * np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other)))
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows: int = TRAIN_ROWS, epochs: int = 15, seed: int = 5) -> Model:
-    """Fit on at most ``rows`` rows of labels that satisfy ``where``. Rows without a label or an id are left out."""
-    wanted = labelled_sample(labels, "toxic", rows, where)
-    picked = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").orderBy("fold", "doc_id")
-    table = picked.select("text", "label").mapInArrow(_bags, "label int, idx array<int>, sentence array<int>").toArrow()
-    y = np.asarray(table["label"].to_numpy(), float)
-    if len(set(y.tolist())) < 2:
-        return Model()
-    idx, sen = table["idx"].combine_chunks(), table["sentence"].combine_chunks()
-    offsets = np.asarray(idx.offsets)
-    flat, inner = np.asarray(idx.flatten(), np.int64), np.asarray(sen.flatten(), np.int64)
-    doc = np.repeat(np.arange(len(y)), np.diff(offsets))
-    pairs = np.unique(doc * BUCKETS + flat)
-    useful = _telling(np.bincount(pairs % BUCKETS, minlength=BUCKETS), np.bincount(pairs[y[pairs // BUCKETS] == 1] % BUCKETS, minlength=BUCKETS), (y == 1).sum(), (y != 1).sum())
-    sizes = np.zeros(len(y), np.int64)
-    np.maximum.at(sizes, doc, inner + 1)
-    base = np.concatenate(([0], np.cumsum(sizes)))
-    sentence = base[doc] + inner
-    owner = np.repeat(np.arange(len(y)), sizes)
-    # The bias is set, not learnt: mislabelled documents without any telling term would raise it, and long clean documents with it.
-    w, grad2, bias = np.where(useful, START, 0.0), np.full(BUCKETS, 1e-3), BIAS
-    rng = np.random.default_rng(seed)
-    order = np.arange(len(y))
-    heavier = min(4.0, (y == 0).sum() / max((y == 1).sum(), 1))
-    for _ in range(max(epochs, -(-STEPS * 128 // len(order)))):
-        rng.shuffle(order)
-        for k in range(0, len(order), 128):
-            pick = order[k : k + 128]
-            mine = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in pick])
-            mine = mine[useful[flat[mine]]]
-            all_sentences = np.concatenate([np.arange(base[i], base[i + 1]) for i in pick])
-            local = np.searchsorted(np.sort(all_sentences), sentence[mine])
-            s_sorted = np.sort(all_sentences)
-            z = bias + np.bincount(local, w[flat[mine]], len(s_sorted))
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            own = owner[s_sorted]
-            log_none = np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
-            none = np.exp(log_none[own])
-            positive = y[own] == 1
-            g = np.where(positive, -heavier * p * none / np.maximum(1 - none, 1e-6), p)
-            grad = np.bincount(flat[mine], g[local], BUCKETS) + 2e-3 * w * len(pick) / 128
-            touched = grad != 0
-            grad2[touched] += grad[touched] ** 2
-            w[touched] -= 0.5 * grad[touched] / np.sqrt(grad2[touched])
-    w[~useful] = 0
-    return Model(w, float(bias))
+def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows: int = TRAIN_ROWS, terms: int = TRAIN_TERMS, epochs: int = 15, seed: int = 5) -> Model:
+    """Fit on at most ``rows`` rows of labels that satisfy ``where``, with at most ``terms`` terms together, in one task. Rows without a label or an id are left out."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        x = Rows(batches, ["idx", "sentence"], ["label"], terms)
+        y, flat, inner = np.asarray(x["label"], float), x["idx"], x["sentence"]
+        if len(set(y.tolist())) < 2:
+            return np.zeros(0)
+        doc = np.repeat(np.arange(len(y)), np.diff(x.at))
+        pairs = np.unique(doc * BUCKETS + flat)
+        useful = _telling(np.bincount(pairs % BUCKETS, minlength=BUCKETS), np.bincount(pairs[y[pairs // BUCKETS] == 1] % BUCKETS, minlength=BUCKETS), (y == 1).sum(), (y != 1).sum())
+        sizes = np.zeros(len(y), np.int64)
+        np.maximum.at(sizes, doc, inner + 1)
+        # The bias is set, not learnt: mislabelled documents without any telling term would raise it, and long clean documents with it.
+        w, grad2, bias = np.where(useful, START, 0.0), np.full(BUCKETS, 1e-3), BIAS
+        rng = np.random.default_rng(seed)
+        order = np.arange(len(y))
+        heavier = min(4.0, (y == 0).sum() / max((y == 1).sum(), 1))
+        for _ in range(max(epochs, -(-STEPS * 128 // len(order)))):
+            rng.shuffle(order)
+            for k in range(0, len(order), 128):
+                pick = np.sort(order[k : k + 128])
+                mine, row = x.pick(pick)
+                told = useful[flat[mine]]
+                mine, row = mine[told], row[told]
+                # Sentences of the picked documents, numbered from 0, and the document of each.
+                first = np.concatenate(([0], np.cumsum(sizes[pick])))
+                own = np.repeat(np.arange(len(pick)), sizes[pick])
+                local = first[row] + inner[mine]
+                p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(local, w[flat[mine]], len(own)), -30, 30)))
+                none = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-9)), len(pick)))[own]
+                g = np.where(y[pick][own] == 1, -heavier * p * none / np.maximum(1 - none, 1e-6), p)
+                grad = np.bincount(flat[mine], g[local], BUCKETS) + 2e-3 * w * len(pick) / 128
+                touched = grad != 0
+                grad2[touched] += grad[touched] ** 2
+                w[touched] -= 0.5 * grad[touched] / np.sqrt(grad2[touched])
+        w[~useful] = 0
+        return np.concatenate((w, [bias]))
+
+    picked = labelled_texts(docs, labelled_sample(labels, "toxic", rows, where))
+    place = picked.schema["place"].dataType.simpleString()
+    model = fitted(picked.mapInArrow(_bags, f"label int, place {place}, idx array<int>, sentence array<int>"), fit)
+    return Model(model[:BUCKETS], float(model[BUCKETS])) if len(model) else Model()
 
 
 def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFrame:
