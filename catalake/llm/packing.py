@@ -11,15 +11,15 @@ their slot from their rank within their class. Only the histogram (at most
 documents. Gaps that classes leave are below one class width a piece.
 
 Defined results: a null or empty text is the end id alone. Repeated rows (same
-doc_id) are packed as separate pieces. An empty table gives an empty result.
+doc_id) are packed as separate pieces, and rows without a doc_id like others. Pieces of
+one length go by doc_id and start. An empty table gives an empty result. Only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
-import struct
 from collections.abc import Iterator
-from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -34,191 +34,210 @@ END_ID = 2
 CLASSES = 256
 #: Ranks within a class are counted in about one part per so many pieces.
 PART_ROWS = 100_000
-#: Bound of one generation of a worker's table of encoded words.
-WORDS, PAIRS = 400_000, 500_000
-
-_ORDINARY = re.compile("[^\x00-ɏ]|İ|<\\|")
-_TAIL = re.compile(r"^(.*[0-9a-zß-öø-ÿ])([^\s0-9A-Za-z\u0080-￿]+)$", re.S)
-
-
-class MergeSearch:
-    """Encodes one lower-case word by searching for the one token sequence whose neighbours stay apart under the merges.
-
-    It reads the merge table of a byte-level BPE tokenizer with an end-of-word mark.
+#: Bound of a worker's table of encoded units, which is then begun anew.
+WORDS = 1_500_000
+
+#: Fixed: the normaliser and the pre-tokenizer whose units ``UnitEncoder`` can find from bytes.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WHITE, LETTER, DIGIT, SIGN, ODD = range(5)
+CLASS = np.full(256, ODD, np.uint8)
+CLASS[0x21:0x7F] = SIGN
+CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[K.WHITE] = WHITE
+#: Units that are encoded in one call of the library.
+CALL_UNITS = 500
+
+
+class Table:
+    """Token ids by 64-bit hash, in open addressing on arrays, so that whole batches are looked up at once."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.shift = np.uint64(64 - bits)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes = np.zeros(0, np.uint64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, or -1."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == hashes, self.rows[slot], -1)
+        going = np.flatnonzero((key != hashes) & (key != 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & (len(self.keys) - 1)
+            key = self.keys[slot[going]]
+            hit = key == hashes[going]
+            out[going[hit]] = self.rows[slot[going[hit]]]
+            going = going[~hit & (key != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct new hashes and their ids, one after the other."""
+        n, total = len(self.hashes), len(self.ids)
+        self.start = np.concatenate((self.start, total + np.cumsum(size) - size))
+        self.size, self.ids, self.hashes = np.concatenate((self.size, size)), np.concatenate((self.ids, ids)), np.concatenate((self.hashes, hashes))
+        if 3 * len(self.hashes) > len(self.keys):
+            bits = 64 - int(self.shift) + 2
+            self.keys, self.rows, self.shift = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64(64 - bits)
+            n = 0
+        going = np.arange(n, len(self.hashes))
+        slot = (self.hashes[going] >> self.shift).astype(np.int64)
+        while len(going):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = self.hashes[going[free]]
+            won = self.keys[slot] == self.hashes[going]
+            self.rows[slot[won]] = going[won]
+            going, slot = going[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+
+
+class UnitEncoder:
+    """Token ids of the texts of a chunk, from a table of the units that the pre-tokenizer would cut.
+
+    White space parts a text into words that are encoded alone. Words of ASCII and
+    Latin-1 letters, digits and signs are cut into runs of lower-case letters, single
+    digits and runs of signs; any other word (and one with an apostrophe before a letter
+    or with ``<|``) is one unit as it stands. Each distinct unit is encoded by the library
+    once while the table holds it. With another normaliser or pre-tokenizer, every word is
+    such a unit, which is exact where words are encoded alone. Units are told apart by a
+    64-bit hash.
     """
 
-    END = "\u0100"
+    END = "</w>"
 
-    def __init__(self, lib):
+    def __init__(self, path: str):
         import json
 
-        model = json.loads(lib.to_str())["model"]
-        self.usable = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["byte_fallback"] and not model["ignore_merges"]
-        # Byte-level tokenizers spell bytes as printable characters: these stand for themselves, the others follow from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        spelled = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
-        to_byte = {chr(c): chr(b) for b, c in spelled.items()}
-
-        def own(token: str) -> str:
-            head, end = (token[:-4], self.END) if token.endswith("</w>") and len(token) > 4 else (token, "")
-            return "".join(to_byte.get(c, c) for c in head) + end
-
-        self.ids = {own(t): i for t, i in model["vocab"].items()}
-        self.longest = max(map(len, self.ids))
-        self.rank: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
-        vocab = model["vocab"]
-        for k, pair in enumerate(model["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            whole = vocab[left + right]
-            if whole in self.rank:
-                self.usable = False  # two merges make one token: the search's rule doesn't hold
-            self.rank[whole], self.parts[whole] = k, (vocab[left], vocab[right])
-            self.joined[vocab[left], vocab[right]] = k
-        self.apart: dict[int, bool] = {}
-
-    def _apart(self, a: int, b: int) -> bool:
-        """Whether no merge crosses from a to b: their last merges are undone, the later one first, and each meeting pair is looked up."""
-        rank, parts, joined = self.rank, self.parts, self.joined
-        ra, rb = rank.get(a, -1), rank.get(b, -1)
-        bound = 1 << 60
-        while True:
-            k = joined.get((a, b))
-            if k is not None and k < bound:
-                return False
-            if ra < 0 and rb < 0:
-                return True
-            if ra > rb:  # the left token's last merge came later; equal pairs merge from the left
-                bound, a = ra, parts[a][1]
-                ra = rank.get(a, -1)
-            else:
-                bound, b = rb + 1, parts[b][0]
-                rb = rank.get(b, -1)
-
-    def encode(self, word: str) -> bytes:
-        w = word.encode().decode("latin-1") + self.END
-        n, longest, ids, apart = len(w), self.longest, self.ids, self.apart
-        out, starts, dead, i, size = [], [], set(), 0, min(len(w), self.longest)
-        while i < n:
-            while size:
-                t = ids.get(w[i : i + size])
-                if t is not None and i + size not in dead:
-                    if not out:
-                        break
-                    key = out[-1] << 20 | t
-                    ok = apart.get(key)
-                    if ok is None:
-                        if len(apart) > PAIRS:
-                            apart.clear()
-                        ok = apart[key] = self._apart(out[-1], t)
-                    if ok:
-                        break
-                size -= 1
-            if size:
-                out.append(t)
-                starts.append(i)
-                i += size
-                size = min(n - i, longest)
-            else:
-                dead.add(i)
-                out.pop()
-                back = starts.pop()
-                size, i = i - back - 1, back
-        return struct.pack(f"<{len(out)}I", *out)
-
-
-class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by encoding each distinct word once.
-
-    It is exact for tokenizers whose pre-tokenizer drops white space and whose
-    normaliser works character by character apart from composition: ASCII white
-    space then parts a text into words that are encoded alone.
-    """
-
-    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.search = MergeSearch(self.lib)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        new, old, ask, tails = self.new, self.old, set(), []
-        encode = self.search.encode if self.search.usable else None
-        for w in words:
-            found = old.get(w)
-            if found is not None:
-                new[w] = found
-                continue
-            head, tail = w, ""
-            if not w.isalpha() and len(w) < 64 and "<|" not in w and (m := _TAIL.match(w)):
-                head, tail = m.groups()
-                if tail not in new:
-                    ask.add(tail)
-                tails.append((w, head, tail))
-            if head not in new:
-                if encode and head.isalpha() and len(head) < 200 and not _ORDINARY.search(head) and head == head.lower():
-                    new[head] = old.get(head) or encode(head)
-                else:
-                    ask.add(head)
-        ask = list(ask)
-        for w, e in zip(ask, self.lib.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            new[w] = np.array(e.ids, "<u4").tobytes()
-        for w, head, tail in tails:
-            new[w] = new[head] + new[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            # Lower case first makes words repeat; only where it can't differ from the tokenizer's own.
-            split.append((t if _ORDINARY.search(t) else t.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        if len(self.new) > WORDS:
-            self.new, self.old = {}, self.new
-        missing = set().union(*split).difference(self.new) if split else set()
-        if missing:
-            self._learn(list(missing))
-        table = self.new
-        return [b"".join([table[w] for w in words]) for words in split]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+        made = json.loads(self.lib.to_str())
+        model, normal, pre = made["model"], made["normalizer"] or {}, made["pre_tokenizer"] or {}
+        first = (pre.get("pretokenizers") or [{}])[0]
+        self.known = (
+            model["type"] == "BPE" and model.get("end_of_word_suffix") == self.END and normal.get("normalizers") == NORMALIZERS
+            and first.get("pattern") == {"Regex": SPLIT} and all("<|" in t["content"] for t in made["added_tokens"])
+        )
+        ends = [i for t, i in model["vocab"].items() if t.endswith(self.END)] if self.known else []
+        self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+        self.table = Table()
+
+    def _alone(self, units: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _together(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of units without odd characters: many in one call, told apart by the end mark of each one's last token."""
+        out: list[np.ndarray] = []
+        parts = [units[k : k + CALL_UNITS] for k in range(0, len(units), CALL_UNITS)]
+        for part, e in zip(parts, self.lib.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            out += np.split(ids, cut[:-1]) if len(cut) == len(part) and cut[-1] == len(ids) else self._alone(part)
+        return out
+
+    def _learn(self, hashes: np.ndarray, units: list[str], odd: np.ndarray) -> None:
+        ids: list = [None] * len(units)
+        for places, encode in ((np.flatnonzero(odd), self._alone), (np.flatnonzero(~odd), self._together)):
+            for k, found in zip(places.tolist(), encode([units[k] for k in places.tolist()]), strict=True):
+                ids[k] = found
+        self.table.add(hashes, np.array([len(x) for x in ids], np.int64), np.concatenate(ids))
+
+    def _units(self, chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes with lower-case units, start and end of each unit, and whether it is odd."""
+        data, n = chunk.data, len(chunk.data)
+        kind = CLASS[data]
+        lower = K.LOWER[data]
+        if not self.known:
+            kind[kind != WHITE] = ODD
+        else:
+            # Letters of two bytes from U+00C0 to U+00FF, but for the two signs among them.
+            at = np.flatnonzero(data[:-1] == 0xC3)
+            after = data[at + 1]
+            at = at[(after != 0x97) & (after != 0xB7)]
+            kind[at] = kind[at + 1] = LETTER
+            upper = at[data[at + 1] <= 0x9E]
+            lower[upper + 1] += 0x20
+            at = np.flatnonzero(data[:-1] == ord("'"))
+            kind[at[kind[at + 1] == LETTER]] = ODD
+            at = np.flatnonzero(data[:-1] == ord("<"))
+            kind[at[data[at + 1] == ord("|")]] = ODD
+        if (kind == ODD).any():
+            words = K.Words(chunk)
+            count = np.zeros(n + 1, np.int64)
+            np.cumsum(kind == ODD, out=count[1:])
+            odd = np.flatnonzero(count[words.end] > count[words.start])
+            step = np.zeros(n + 1, np.int8)
+            step[words.start[odd]] += 1
+            np.subtract.at(step, words.end[odd], 1)
+            inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+            kind[inside] = ODD
+            lower = np.where(inside, data, lower)
+        edge = np.zeros(n + 1, bool)
+        edge[chunk.bounds] = True
+        edge[0] = True
+        begins = kind != WHITE
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | edge[1:n]
+        start = np.flatnonzero(begins)
+        stop = np.ones(n, bool)
+        stop[:-1] = begins[1:] | (kind[1:] == WHITE) | edge[1:n]
+        end = np.flatnonzero(stop & (kind != WHITE)) + 1
+        return lower, start, end, kind[start] == ODD
+
+    def encode(self, chunk: K.Chunk, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and how many each has."""
+        if not len(chunk.data):
+            return np.full(len(chunk), end_id, np.uint32), np.ones(len(chunk), np.int64)
+        if len(self.table.hashes) > WORDS:
+            self.table = Table()
+        lower, start, end, odd = self._units(chunk)
+        hashes = np.maximum(K.word_hashes(lower, SimpleNamespace(start=start, end=end)), np.uint64(1))
+        rows = self.table.find(hashes)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            at, raw = missing[at], lower.tobytes()
+            self._learn(new, [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)], odd[at])
+            rows[missing] = self.table.find(hashes[missing])
+        size = self.table.size[rows]
+        before = np.cumsum(size) - size
+        first = np.searchsorted(start, chunk.bounds)
+        total = int(size.sum())
+        each = np.diff(np.concatenate((before, [total]))[first]) + 1
+        ids = np.full(total + len(chunk), end_id, np.uint32)
+        unit = np.repeat(np.arange(len(size)), size)
+        place = np.arange(total)
+        text = np.searchsorted(first, np.arange(len(size)), "right") - 1
+        ids[place + text[unit]] = self.table.ids[place + (self.table.start[rows] - before)[unit]]
+        return ids, each
+
+
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = UnitEncoder(path)
     return _encoders[path]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every row: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, whole (length is the capacity)."""
+    """Pieces of every row: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
         enc = encoder(tokenizer_path)
         for batch in batches:
-            texts, ids = [x or "" for x in batch.column("text").to_pylist()], batch.column("doc_id")
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < K.CHUNK_BYTES) and to - at < 1000:
-                    size += len(texts[to])
-                    to += 1
-                rows, start, length, data, total = [], [], [], [], []
-                for k, encoded in enumerate(enc.encode(texts[at:to]), at):
-                    encoded += end
-                    n = len(encoded) // 4
-                    for s in range(0, n, capacity):
-                        part = encoded[4 * s : 4 * (s + capacity)]
-                        rows.append(k)
-                        start.append(s)
-                        length.append(len(part) // 4)
-                        data.append(part)
-                        total.append(n)
-                at = to
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens"])
+            doc_ids = batch.column("doc_id")
+            for chunk in K.chunks(batch.column("text")):
+                ids, total = enc.encode(chunk, end_id)
+                pieces = -(-total // capacity)
+                row = np.repeat(np.arange(len(total)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, total[row] - start)
+                bounds = np.concatenate(([0], np.cumsum(length) * 4)).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(chunk.first + row)), pa.array(start), pa.array(length), data, pa.array(total[row])], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
@@ -308,23 +327,28 @@ def plan_sequences(counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
-    """pieces with sequence_id and offset. pieces needs doc_id, start, length (1 to capacity) and is read several times: give a stored table."""
+    """pieces with sequence_id and offset. pieces needs doc_id, start, length (1 to capacity) and is read several times: give a stored table.
+
+    Other columns stay, whatever their names; columns called sequence_id and offset are replaced.
+    """
     spark = pieces.sparkSession
     width = capacity // classes
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     # Full sequences stand alone; the others get a class and a part of the class.
     kind = F.when(F.col("length") == capacity, F.lit(classes)).otherwise(F.ceil(F.col("length") / width)).cast("int")
     total = pieces.count()
     parts = max(16, -(-total // PART_ROWS))
-    dealt = pieces.withColumn("class_", kind).withColumn("part_", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
-    sizes = dealt.groupBy("class_", "part_").count()
-    sizes = sizes.withColumn("before_", F.sum("count").over(Window.partitionBy("class_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)))
-    sizes = sizes.select("class_", "part_", F.coalesce("before_", F.lit(0)).alias("before_"))
-    ranked = dealt.withColumn("rank_", F.row_number().over(Window.partitionBy("class_", "part_").orderBy(F.desc("length"), "doc_id", "start")) - 1)
-    ranked = ranked.join(sizes, ["class_", "part_"]).withColumn("rank_", F.col("rank_") + F.col("before_")).drop("part_", "before_")
+    rows = pieces.select(F.struct(*[pieces[c] for c in columns]).alias("piece"), kind.alias("class"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).alias("part"))
+    sizes = rows.groupBy("class", "part").count()
+    sizes = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    sizes = sizes.select("class", "part", F.coalesce("before", F.lit(0)).alias("before"))
+    in_class = Window.partitionBy("class", "part").orderBy(F.desc("piece.length"), "piece.doc_id", "piece.start")
+    ranked = rows.withColumn("rank", F.row_number().over(in_class) - 1).join(sizes, ["class", "part"])
+    ranked = ranked.select("piece", "class", (F.col("rank") + F.col("before")).alias("rank"))
 
     counts = np.zeros(classes, np.int64)
-    for row in dealt.groupBy("class_").count().collect():  # at most one row a class
-        counts[row["class_"] - 1] = row["count"]
+    for row in rows.groupBy("class").count().collect():  # at most one row a class
+        counts[row["class"] - 1] = row["count"]
     slots, first = [], 0
     taken = np.zeros(classes, np.int64)
     for pattern, n in plan_sequences(counts):
@@ -336,17 +360,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
     by_class: dict[int, list] = {}
     for c, lo, hi, each, seq in slots:
         by_class.setdefault(c, []).append((lo, hi, each, seq))
-    rows = [(c, sorted(v)) for c, v in by_class.items()]
-    table = spark.createDataFrame(rows, "class_ int, runs_ array<struct<lo:long,hi:long,each:long,seq:long>>")
-    placed = (
-        ranked.join(F.broadcast(table), "class_")
-        .withColumn("run_", F.expr("filter(runs_, r -> rank_ >= r.lo and rank_ < r.hi)[0]"))
-        .withColumn("sequence_id", F.expr("run_.seq + (rank_ - run_.lo) div run_.each"))
-        .drop("runs_", "run_", "class_")
-    )
-    in_order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank_").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(in_order), F.lit(0))).drop("rank_")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    table = spark.createDataFrame([(c, sorted(v)) for c, v in by_class.items()], "class int, runs array<struct<lo:long,hi:long,each:long,seq:long>>")
+    placed = ranked.join(F.broadcast(table), "class").withColumn("run", F.expr("filter(runs, r -> rank >= r.lo and rank < r.hi)[0]"))
+    placed = placed.select("piece", "rank", F.expr("run.seq + (rank - run.lo) div run.each").alias("sequence_id"))
+    in_order = Window.partitionBy("sequence_id").orderBy(F.desc("piece.length"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("piece.length").over(in_order), F.lit(0)))
+    return placed.select(*[F.col("piece")[c].alias(c) for c in columns], "sequence_id", "offset")
