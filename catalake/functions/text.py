@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed named references, in the order in which they are decoded.
 NAMED = [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&laquo;", "«"), ("&raquo;", "»")]
-#: Words that say nothing about a name's identity.
-STOP_WORDS = ["the", "a", "an", "and", "of", "to", "in", "for", "with", "year", "years", "yr", "yrs", "old", "whisky", "whiskey", "scotch", "single", "malt", "cask", "finish", "edition", "release", "batch", "strength", "abv", "ml", "cl", "proof"]
+# Fixed words that say nothing about a name's identity.
+STOP_WORDS = ["the", "a", "an", "and", "of", "to", "in", "for", "with", "year", "years", "old"]
 
 
 def strip_tags(html: Column, by: str = "") -> Column:
@@ -110,10 +110,10 @@ def similarity(name_a: Column, name_b: Column, a: Column, b: Column) -> Column:
 
 
 def cheap_similarity(name_a: Column, name_b: Column, a: Column, b: Column) -> Column:
-    """As similarity, with an equal ten-character start instead of the edit distance."""
+    """As similarity, with an equal ten-character start, which counts beside an equal first token only, instead of the edit distance."""
     na, nb = search_norm(name_a), search_norm(name_b)
     first = F.when((F.size(a) > 0) & (F.size(b) > 0) & (F.get(a, F.lit(0)) == F.get(b, F.lit(0))), 1.0).otherwise(0.0)
-    start = F.when((F.length(na) > 0) & (F.substring(na, 1, 10) == F.substring(nb, 1, 10)), 0.2).otherwise(0.0)
+    start = F.when((first > 0) & (F.length(na) > 0) & (F.substring(na, 1, 10) == F.substring(nb, 1, 10)), 0.2).otherwise(0.0)
     score = number_penalty(a, b) * (2.4 * first + 2.0 * _tail_share(a, b) * F.when(first > 0, 1.0).otherwise(0.12) + start)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(score)
 

@@ -18,8 +18,9 @@ def event_time(ts: Column, day: Column, end_of_day: bool = False) -> Column:
 
 
 def nearest_hour(ts: Column, zone: str = "America/Vancouver") -> Column:
-    """Rounded to the hour and shown in a zone."""
-    return F.date_format(F.from_utc_timestamp(F.date_trunc("hour", ts + F.expr("interval 30 minutes")), zone), "MMM d, yyyy h:mm a")
+    """Rounded to the hour and shown in a zone: long month, day, and time with am or pm."""
+    local = F.from_utc_timestamp(F.date_trunc("hour", ts + F.expr("interval 30 minutes")), zone)
+    return F.concat(F.date_format(local, "MMMM d h:mm"), F.lower(F.date_format(local, "a")))
 
 
 def file_safe(ts: Column) -> Column:

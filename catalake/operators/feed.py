@@ -61,6 +61,17 @@ def big_sales(changes: DataFrame, available: DataFrame, least: int = 20) -> Data
     return joined.where(P.near(P.to_number(F.col("new_price")), F.col("min_price"), 0.005) & F.array_contains("cheapest_stores", F.col("store_label")))
 
 
+def by_percent(changes: DataFrame) -> DataFrame:
+    """Drops by falling percentage, then price, item and store, each with its place.
+
+    Places are counted in ranges of the percentage, which has at most a hundred values, so
+    that no task ranks all drops."""
+    drops = changes.where((F.col("change") == "drop") & (F.col("pct") > 0)).withColumn("w", P.to_number(F.col("new_price")))
+    before = drops.groupBy("pct").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("pct")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("pct", "before")
+    ranked = drops.withColumn("place", F.row_number().over(Window.partitionBy("pct").orderBy("w", "sku", "store_label")))
+    return ranked.join(F.broadcast(before), "pct").select((F.col("place") + F.col("before")).cast("int").alias("place"), "sku", "store_label", "pct")
+
+
 def cheaper_elsewhere(rows: DataFrame, best: DataFrame) -> DataFrame:
     """Rows with the store that is strictly cheaper, if another one is."""
     b = best.select("sku", F.col("store_label").alias("best_store"), F.col("price_num").alias("best_price"))

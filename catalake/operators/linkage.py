@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import sku as S
 from ..functions import text as X
+from ..session import checkpointed, measured
 from .components import connected_components
 
+#: Blocks of items and parts of a pinned set that is too large to broadcast.
+CELLS = 32
+
 
 def canonical_map(links: DataFrame) -> DataFrame:
     """sku and canonical (the least key of its link group by the order of representatives) for every linked key."""
@@ -40,12 +44,12 @@ def without_store_overlap(pairs: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def token_blocks(items: DataFrame, tokens: int = 10, bucket: int = 500, candidates: int = 250) -> DataFrame:
-    """Candidate pairs (a < b) that share one of their first ``tokens`` similarity tokens, with the number of shared ones.
+    """Candidate pairs (a < b) that share one of their first ``tokens`` distinct tokens, with the number of shared ones.
 
     The caps are the report's: a token's ``bucket`` first keys and a key's
     ``candidates`` with most shared tokens; they bound the pairs of any token.
     """
-    each = items.select("sku", F.explode(F.slice(X.similarity_tokens(F.col("name")), 1, tokens)).alias("token"))
+    each = items.select("sku", F.explode(F.slice(F.array_distinct(X.tokens(F.col("name"))), 1, tokens)).alias("token"))
     capped = each.withColumn("r_", F.row_number().over(Window.partitionBy("token").orderBy("sku"))).where(F.col("r_") <= bucket).drop("r_")
     pairs = capped.toDF("a", "token").join(capped.toDF("b", "token"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     return pairs.withColumn("r_", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).where(F.col("r_") <= candidates).drop("r_")
@@ -62,14 +66,32 @@ def scored(pairs: DataFrame, items: DataFrame, fine: int = 10, least: float = 0.
     return best.withColumn("score", F.round(X.similarity(*args), 6)).where(F.col("score") >= least).select("a", "b", "cheap", "score")
 
 
-def similar_to(pinned: DataFrame, items: DataFrame, k: int = 60) -> DataFrame:
-    """The k most similar items of each pinned one, among those that share a token: an equi-join on tokens, not a nested loop. A top-k report."""
-    toks = items.select("sku", "name", X.similarity_tokens(F.col("name")).alias("t"))
-    mine = toks.join(pinned.select("sku").distinct(), "sku", "left_semi").toDF("a", "name_a", "ta")
-    left, right = mine.select("a", F.explode("ta").alias("token")), toks.select(F.col("sku").alias("b"), F.explode("t").alias("token"))
-    pairs = left.join(right, "token").where("a <> b").select("a", "b").distinct()
-    both = pairs.join(mine, "a").join(toks.toDF("b", "name_b", "tb"), "b")
-    out = both.select("a", "b", F.round(X.similarity(F.col("name_a"), F.col("name_b"), F.col("ta"), F.col("tb")), 6).alias("score")).where("score > 0")
+def similar_to(pinned: DataFrame, items: DataFrame, k: int = 60, mapped: DataFrame | None = None) -> DataFrame:
+    """The k most similar items of each pinned one: a top-k report.
+
+    Every item is scored against every pinned one, as names without a shared token may be
+    close too. The pinned names are a query set: they are stored, their size is checked,
+    and they pass each block of items as a broadcast; a larger set is dealt in parts. Items
+    with the same society code come first; a synthetic key on either side raises the score.
+    """
+    toks = items.select("sku", "name", X.similarity_tokens(F.col("name")).alias("t"), X.code_key(F.col("name")).alias("code"))
+    mine = toks.join(pinned.select("sku").distinct(), "sku", "left_semi").toDF("a", "name_a", "ta", "code_a")
+    right = toks.toDF("b", "name_b", "tb", "code_b")
+    if mapped is not None:
+        right = right.join(mapped.select(F.col("sku").alias("b")), "b", "left_anti")
+    mine, small = measured(mine)
+    if small:
+        both = right.withColumn("cell", F.lit(0)).join(F.broadcast(mine.withColumn("cell", F.lit(0))), "cell")
+    else:
+        # Cells of a block of items and a part of the pinned ones: each side is copied once for every part of the other.
+        every = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
+        blocks = right.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(CELLS)).cast("int")).withColumn("part", every)
+        both = blocks.join(mine.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(CELLS)).cast("int")).withColumn("block", every), ["block", "part"])
+    both = both.where("a <> b")
+    unknown = F.col("a").startswith("u:") | F.col("b").startswith("u:")
+    score = X.similarity(F.col("name_a"), F.col("name_b"), F.col("ta"), F.col("tb")) * F.when(unknown, 1.12).otherwise(1.0)
+    score = F.when((F.col("code_a") != "") & (F.col("code_a") == F.col("code_b")), 1e9).otherwise(F.round(score, 6))
+    out = both.select("a", "b", score.alias("score")).where("score > 0")
     return out.withColumn("r_", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("r_") <= k).drop("r_")
 
 
@@ -80,29 +102,80 @@ def same_code(items: DataFrame, rank: Column) -> DataFrame:
     return coded.join(anchor, "code").where("sku <> anchor").select("code", "anchor", "sku")
 
 
-def greedy_match(pairs: DataFrame, limit: int = 400) -> DataFrame:
-    """One-to-one pairs by falling score. Only the ``limit`` best pairs, a report's bound, are matched on the driver, since each choice depends on the ones before."""
-    best = pairs.orderBy(F.desc("score"), "a", "b").limit(limit).collect()
-    used: set = set()
-    rows = []
-    for r in best:
-        if r["a"] not in used and r["b"] not in used:
-            used |= {r["a"], r["b"]}
-            rows.append((r["a"], r["b"], r["score"]))
-    return pairs.sparkSession.createDataFrame(rows, pairs.select("a", "b", "score").schema)
+def _order(*names: str) -> Column:
+    return F.struct((-F.col("score")).alias("s"), *names)
+
+
+def greedy_match(pairs: DataFrame, limit: int | None = None, stores: DataFrame | None = None) -> DataFrame:
+    """One-to-one pairs (a, b, score) by falling score, then a and b; with ``limit``, the first so many that are accepted.
+
+    A pair that both its keys have as their best is accepted in any order of work, so each
+    round takes all such pairs and drops the others of their keys, until none is left.
+    With stores (sku, stores), pairs whose keys share a store are out.
+    """
+    if stores is not None:
+        pairs = without_store_overlap(pairs, stores)
+    left = checkpointed(pairs.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")).withColumn("o", _order("a", "b")))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        best = left.select(F.col("a").alias("k"), "o").union(left.select("b", "o")).groupBy("k").agg(F.min("o").alias("m"))
+        chosen = left.join(best.toDF("a", "ma"), "a").join(best.toDF("b", "mb"), "b").where("o = ma and o = mb").select("a", "b", "score", "o")
+        chosen = checkpointed(chosen)
+        used = checkpointed(chosen.select(F.col("a").alias("k")).union(chosen.select("b")).distinct())
+        left = checkpointed(left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti").select("a", "b", "score", "o"))
+        taken = taken.unionByName(chosen)
+    out = taken.select("a", "b", "score")
+    return out if limit is None else out.orderBy(F.desc("score"), "a", "b").limit(limit)
 
 
 def preferred_key(group: DataFrame) -> DataFrame:
-    """The preferred key of each group: 100 real, +25 and -10 by region label, -1000 synthetic."""
-    real = ~F.col("sku").startswith("u:")
-    score = F.when(real, 100).otherwise(-1000) + F.when(F.col("region") == "AB", 25).otherwise(0) - F.when(F.col("region") == "BC", 10).otherwise(0)
-    return group.withColumn("score", score).groupBy("grp", "sku").agg(F.max("score").alias("score")).groupBy("grp").agg(F.min_by("sku", F.struct((-F.col("score")).alias("s"), "sku")).alias("sku"))
+    """The preferred key of each group (grp, sku, region): 100 real, +25 with a row of region AB, -10 with one of BC, -1000 synthetic; then the smallest."""
+    has = lambda name: F.max((F.col("region") == name).cast("int"))
+    score = F.when(F.col("sku").startswith("u:"), -1000).otherwise(100) + F.coalesce(25 * has("AB"), F.lit(0)) - F.coalesce(10 * has("BC"), F.lit(0))
+    return group.groupBy("grp", "sku").agg(score.alias("score")).groupBy("grp").agg(F.min_by("sku", F.struct((-F.col("score")).alias("s"), "sku")).alias("sku"))
 
 
 def capped_pairs(pairs: DataFrame, uses: int = 6) -> DataFrame:
-    """Each anchor with at most ``uses`` partners and each partner once: a partner goes to its best anchor, an anchor keeps its best partners."""
-    once = pairs.withColumn("r_", F.row_number().over(Window.partitionBy("sku").orderBy(F.desc("score"), "anchor"))).where("r_ = 1")
-    return once.withColumn("r_", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "sku"))).where(F.col("r_") <= uses).drop("r_")
+    """Each anchor with at most ``uses`` partners and each partner (sku) once, by falling score, then anchor and partner.
+
+    A partner whose best anchor is full goes to the next. A pair is sure where it is its
+    partner's best one left and no more pairs of its anchor that come before it are left
+    than the anchor has room for; each round takes these.
+    """
+    left = checkpointed(pairs.groupBy("anchor", "sku").agg(F.max("score").alias("score")).withColumn("o", _order("anchor", "sku")).withColumn("room", F.lit(uses).cast("long")))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        ranked = left.withColumn("first", F.row_number().over(Window.partitionBy("sku").orderBy("o"))).withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("o")))
+        chosen = checkpointed(ranked.where("first = 1 and place <= room").drop("first", "place"))
+        full = chosen.groupBy("anchor").agg(F.count("*").alias("n"))
+        rest = left.join(chosen.select("sku"), "sku", "left_anti").join(full, "anchor", "left").withColumn("room", F.col("room") - F.coalesce("n", F.lit(0)))
+        left = checkpointed(rest.where("room > 0").select(*left.columns))
+        taken = taken.unionByName(chosen)
+    return taken.select("anchor", "sku", "score")
+
+
+def item_rank(stores: Column, priced: Column, name: Column, sku: Column) -> Column:
+    """Rank of an item in its code's bucket: 3 a store, 2 with a price, a half with a name, a quarter with a synthetic key."""
+    flag = lambda c, w: F.when(c, w).otherwise(0.0)
+    return 3.0 * F.coalesce(stores, F.lit(0)) + flag(priced, 2.0) + flag(F.coalesce(name, F.lit("")) != "", 0.5) + flag(sku.startswith("u:"), 0.25)
+
+
+def group_members(mapping: DataFrame) -> DataFrame:
+    """canonical and its members, in order; the representative is one of them."""
+    return mapping.groupBy("canonical").agg(F.array_sort(F.collect_set("sku")).alias("members"))
+
+
+def expanded(keys: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Every key (sku) with each member of its group, itself included: sku, member."""
+    named = canonicalise(keys.select("sku"), mapping)
+    members = mapping.select("canonical", F.col("sku").alias("member")).union(mapping.select("canonical", "canonical")).distinct()
+    return named.join(members, "canonical", "left").select("sku", F.coalesce("member", "sku").alias("member")).distinct()
+
+
+def without_same_group(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose keys have different representatives."""
+    both = canonicalise(canonicalise(pairs, mapping, "a").withColumnRenamed("canonical", "ca"), mapping, "b")
+    return both.where("ca <> canonical").select(*pairs.columns)
 
 
 def sampled(items: DataFrame, n: int = 5000) -> DataFrame:
@@ -111,6 +184,6 @@ def sampled(items: DataFrame, n: int = 5000) -> DataFrame:
 
 
 def region(label: Column) -> Column:
-    """The region of a store label. Fixed store lists."""
+    """The region of a store label, BC before AB. Fixed parts of labels."""
     name = F.lower(F.coalesce(label, F.lit("")))
-    return F.when(name.rlike(r"\b(bcl|strath|gull|legacy|bc liquor)"), "BC").when(name.rlike(r"\b(kensington|kwm|craft cellars|sierra springs|co-op|willow park)"), "AB").otherwise("")
+    return F.when(name.rlike("bcl|strath|gull|legacy"), "BC").when(name.rlike(r"alberta|calgary|edmonton|\bab\b"), "AB").otherwise("")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("new", "updated", "removed", "restored")
@@ -22,20 +22,31 @@ def section(changes: DataFrame, kind: str) -> DataFrame:
     return changes.where(F.col("change") == kind).orderBy(F.expr("concat(store_label, name) collate UNICODE"), "url")
 
 
-def text(changes: DataFrame, rows: int = 200) -> str:
-    """The report as text: totals and up to ``rows`` lines a section."""
-    lines = []
-    for kind in KINDS:
-        part = section(changes, kind)
-        lines.append(f"{kind.upper()} ({part.count()})")
-        lines += [f"  {r['store_label']} | {r['name']} | {r['price']}" for r in part.limit(rows).collect()]
-    return "\n".join(lines)
+def lines(changes: DataFrame) -> DataFrame:
+    """The report's lines in order, for a file of any length: section, place (0 is the head, with the section's count) and line."""
+    order = Window.partitionBy("change").orderBy(F.expr("concat(store_label, name) collate UNICODE"), "url")
+    rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
+    known = changes.where(F.col("change").isin(*KINDS))
+    body = known.select(rank[F.col("change")].alias("section"), F.row_number().over(order).alias("place"), F.concat(F.lit("  "), F.concat_ws(" | ", "store_label", "name", "price")).alias("line"))
+    counts = known.groupBy("change").agg(F.count("*").alias("n"))
+    kinds = changes.sparkSession.createDataFrame([(k,) for k in KINDS], "change string").join(counts, "change", "left")
+    head = kinds.select(rank[F.col("change")].alias("section"), F.lit(0).alias("place"), F.format_string("%s (%d)", F.upper("change"), F.coalesce("n", F.lit(0))).alias("line"))
+    return head.unionByName(body).orderBy("section", "place")
+
+
+def text(changes: DataFrame) -> str:
+    """The whole report as one text, read row by row: for changes of one run. Write ``lines`` where they may be many."""
+    return "\n".join(r["line"] for r in lines(changes).toLocalIterator())
 
 
 def percent(part: int, of: int) -> str:
     return f"{100 * part / of:.1f}%" if of else "0%"
 
 
+def human_duration(seconds: float) -> str:
+    return f"{seconds:.1f}s" if seconds < 60 else f"{int(seconds // 60)}m {int(seconds % 60)}s"
+
+
 def human_bytes(n: float) -> str:
     for unit in ("B", "KB", "MB", "GB"):
         if n < 1024 or unit == "GB":

@@ -25,9 +25,10 @@ def overlay(base: DataFrame, edits: DataFrame, a: str, b: str, ordered: bool) ->
     return keyed.groupBy("k_").agg(F.min(F.struct("p_", *base.columns)).alias("r")).select("r.*").drop("p_")
 
 
-def parse_edits(bodies: DataFrame, body: str = "body", schema_tag: str = "stviz-sku-edits-v1") -> DataFrame:
-    """Payloads fenced by HTML comments in free text; others, and those of another schema, go."""
-    inner = F.regexp_extract(F.col(body), r"(?s)<!--\s*\S*BEGIN\S*\s*-->(.*?)<!--\s*\S*END\S*\s*-->", 1)
+def parse_edits(bodies: DataFrame, fence: str, schema_tag: str, body: str = "body") -> DataFrame:
+    """Payloads between the comments ``fence``:BEGIN and ``fence``:END in free text; others, and those of another schema, go."""
+    mark = lambda end: rf"<!--\s*\Q{fence}:{end}\E\s*-->"
+    inner = F.regexp_extract(F.col(body), rf"(?s){mark('BEGIN')}(.*?){mark('END')}", 1)
     raw = F.trim(F.regexp_replace(inner, r"(?m)^\s*```\w*\s*$", ""))
     return bodies.withColumn("edit", F.from_json(raw, PAYLOAD)).where(F.col("edit.schema") == schema_tag)
 

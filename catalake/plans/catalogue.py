@@ -48,8 +48,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = listings(spark, sf_dir)
+def _versions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    rows = listings(spark, sf_dir) if rows is None else rows
     before = lambda day: index.latest(rows.where(F.col("ts") < F.lit(day).cast("timestamp")), ["sku", "store_label"], prefer_live=False)
     return before(PREV), before(NEXT)
 
@@ -174,12 +174,23 @@ def diff_by_canon(spark, sf_dir):
 _AVAILABLE = "av AS (SELECT sku, list_sort(list(DISTINCT store_label)) AS stores, min(price_num) AS min_price FROM now WHERE NOT removed GROUP BY 1)"
 
 
-@query(f"WITH {_DROPS}, {_AVAILABLE} SELECT a.sku, a.store_label, a.url FROM a JOIN av ON a.sku = av.sku WHERE change = 'new' AND len(stores) = 1 AND stores[1] = store_label")
+# A part's listings of one year are an item of their own here: every part has several stores over all years.
+_YEARLY = "lpad(CAST(l_partkey AS VARCHAR), 6, '0')", "lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '-' || year(l_shipdate)"
+
+
+@query(f"WITH {_DROPS}, {_AVAILABLE} SELECT a.sku, a.store_label, a.url FROM a JOIN av ON a.sku = av.sku WHERE change = 'new' AND len(stores) = 1 AND stores[1] = store_label".replace(*_YEARLY))
 def unique_new(spark, sf_dir):
-    prev, now = _versions(spark, sf_dir)
+    yearly = listings(spark, sf_dir).withColumn("sku", F.concat_ws("-", "sku", F.year("ts").cast("string")))
+    prev, now = _versions(spark, sf_dir, yearly)
     return feed.unique_new(diff.drops(prev, now, ["sku", "store_label"]), index.availability(now)).select("sku", "store_label", "url")
 
 
+@query(f"WITH {_DROPS} SELECT CAST(row_number() OVER (ORDER BY pct DESC, w, sku, store_label) AS INTEGER) AS place, sku, store_label, pct FROM a WHERE change = 'drop' AND pct > 0")
+def sales_by_percent(spark, sf_dir):
+    prev, now = _versions(spark, sf_dir)
+    return feed.by_percent(diff.drops(prev, now, ["sku", "store_label"]))
+
+
 @query(f"WITH {_DROPS}, {_AVAILABLE} SELECT a.sku, a.store_label, a.pct FROM a JOIN av ON a.sku = av.sku WHERE change = 'drop' AND pct >= 20 AND w = min_price")
 def big_sales(spark, sf_dir):
     prev, now = _versions(spark, sf_dir)
@@ -403,6 +414,25 @@ def mapped_set(spark, sf_dir):
     return linkage.mapped_keys(_links(spark, sf_dir))
 
 
+@query(f"WITH {_CANON} SELECT sku, b AS member FROM cm JOIN (SELECT DISTINCT canonical, sku AS b FROM cm) USING (canonical)")
+def group_expansion(spark, sf_dir):
+    mapping = linkage.canonical_map(_links(spark, sf_dir))
+    return linkage.expanded(mapping, mapping)
+
+
+@query(f"WITH {_CANON}, p AS (SELECT lpad(CAST(a.p_partkey AS VARCHAR), 6, '0') AS a, lpad(CAST(a.p_partkey + 1 AS VARCHAR), 6, '0') AS b FROM part a) SELECT a, b FROM p LEFT JOIN cm x ON x.sku = a LEFT JOIN cm y ON y.sku = b WHERE coalesce(x.canonical, a) <> coalesce(y.canonical, b)")
+def same_group_anti(spark, sf_dir):
+    key = lambda c: F.lpad(c.cast("string"), 6, "0")
+    pairs = _read(spark, sf_dir, "part").select(key(F.col("p_partkey")).alias("a"), key(F.col("p_partkey") + 1).alias("b"))
+    return linkage.without_same_group(pairs, linkage.canonical_map(_links(spark, sf_dir)))
+
+
+@query(f"WITH {_CANON}, {_GAPS}, k AS (SELECT coalesce(canonical, gp.sku) AS canonical, day, price FROM gp LEFT JOIN cm ON gp.sku = cm.sku) SELECT canonical, CAST(day AS VARCHAR) AS day, min(price) AS price FROM k WHERE price IS NOT NULL GROUP BY 1, 2")
+def group_series(spark, sf_dir):
+    mapping = linkage.canonical_map(_links(spark, sf_dir))
+    return series.of_groups(removal_gap_series(spark, sf_dir), mapping)
+
+
 @query(f"WITH {_LINKS} SELECT from_sku AS a, to_sku AS b FROM links WHERE CAST(from_sku AS BIGINT) % 3 <> 0")
 def ignored_anti(spark, sf_dir):
     links = _links(spark, sf_dir)
@@ -415,11 +445,11 @@ def store_overlap_anti(spark, sf_dir):
     return linkage.without_store_overlap(_links(spark, sf_dir).toDF("a", "b"), index.availability(listings(spark, sf_dir).where(F.col("ts") >= F.lit("2001-03-01").cast("timestamp"))).select("sku", "stores"))
 
 
-_STOPS = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
+_STOPS = "('the', 'a', 'an', 'and', 'of', 'to', 'in', 'for', 'with', 'year', 'years', 'old')"
 _TOKENS = f"list_distinct_ordered AS (SELECT 1), nm AS (SELECT 'k' || p_partkey AS sku, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part), tk AS (SELECT sku, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM nm)"
 _TOK_LIST = f"list_filter(string_split(norm, ' '), lambda x: x <> '' AND (regexp_full_match(x, '[0-9]+') OR x NOT IN {_STOPS}))"
 _DISTINCT = f"list_transform(list_filter(range(1, len({{t}}) + 1), lambda i: list_position({{t}}, {{t}}[i]) = i), lambda i: {{t}}[i])"
-_ITEMS = f"{_TOKENS}, t0 AS (SELECT sku, name, norm, {_TOK_LIST} AS raw FROM tk), items AS (SELECT sku, name, norm, {_DISTINCT.format(t='raw')} AS t FROM t0)"
+_ITEMS = f"{_TOKENS}, t0 AS (SELECT sku, name, norm, {_TOK_LIST} AS raw, list_filter(string_split(norm, ' '), lambda x: x <> '') AS words FROM tk), items AS (SELECT sku, name, norm, {_DISTINCT.format(t='raw')} AS t, {_DISTINCT.format(t='words')} AS every FROM t0)"
 
 
 def _names(spark, sf_dir):
@@ -427,7 +457,7 @@ def _names(spark, sf_dir):
     return p.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("sku"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"))
 
 
-_BLOCKS = f"{_ITEMS}, ex AS (SELECT sku, unnest(t[1:10]) AS token FROM items), cp AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY token ORDER BY sku) <= 60), pr AS (SELECT x.sku AS a, y.sku AS b, count(*) AS shared FROM cp x JOIN cp y ON x.token = y.token AND x.sku < y.sku GROUP BY 1, 2), bl AS (SELECT a, b, shared FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 25)"
+_BLOCKS = f"{_ITEMS}, ex AS (SELECT sku, unnest(every[1:10]) AS token FROM items), cp AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY token ORDER BY sku) <= 60), pr AS (SELECT x.sku AS a, y.sku AS b, count(*) AS shared FROM cp x JOIN cp y ON x.token = y.token AND x.sku < y.sku GROUP BY 1, 2), bl AS (SELECT a, b, shared FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 25)"
 
 
 @query(f"WITH {_BLOCKS} SELECT a, b, shared FROM bl")
@@ -445,7 +475,7 @@ def token_block_pairs_whole(spark, sf_dir):
 
 _PEN = "CASE WHEN len(list_filter(ta, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 AND len(list_filter(tb, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 AND NOT list_has_any(list_filter(ta, lambda x: regexp_full_match(x, '[0-9]+')), list_filter(tb, lambda x: regexp_full_match(x, '[0-9]+'))) THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END"
 _TAIL = "CASE WHEN greatest(len(ta), len(tb)) - 1 > 0 THEN len(list_intersect(ta[2:], tb[2:]))::DOUBLE / (greatest(len(ta), len(tb)) - 1) ELSE 0.0::DOUBLE END"
-_SCORES = f"""sc AS (SELECT a, b, round({_PEN} * (2.4::DOUBLE * f + 2.0::DOUBLE * ({_TAIL}) * g + CASE WHEN na[1:10] = nb[1:10] THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END), 9) AS cheap,
+_SCORES = f"""sc AS (SELECT a, b, round({_PEN} * (2.4::DOUBLE * f + 2.0::DOUBLE * ({_TAIL}) * g + CASE WHEN f > 0 AND na[1:10] = nb[1:10] THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END), 9) AS cheap,
   round({_PEN} * (3::DOUBLE * f + 2.2::DOUBLE * ({_TAIL}) * g + (1 - levenshtein(na, nb)::DOUBLE / greatest(length(na), length(nb))) * CASE WHEN f > 0 THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END), 6) AS score
   FROM (SELECT *, CASE WHEN ta[1] = tb[1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f, CASE WHEN ta[1] = tb[1] THEN 1.0::DOUBLE ELSE 0.12::DOUBLE END AS g FROM j))"""
 
@@ -462,13 +492,13 @@ def cheap_score_rerank_whole(spark, sf_dir):
     return linkage.scored(linkage.token_blocks(names), names)
 
 
-@query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE sku IN ('k1', 'k7', 'k33')), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku AND list_has_any(x.t, y.t)), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
+@query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE sku IN ('k1', 'k7', 'k33')), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
 def similarity_topk(spark, sf_dir):
     names = _names(spark, sf_dir)
     return linkage.similar_to(names.where("sku in ('k1', 'k7', 'k33')"), names)
 
 
-@query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE CAST(sku[2:] AS BIGINT) % 20 = 0), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku AND list_has_any(x.t, y.t)), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
+@query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE CAST(sku[2:] AS BIGINT) % 20 = 0), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
 def similarity_topk_whole(spark, sf_dir):
     names = _names(spark, sf_dir)
     return linkage.similar_to(names.where("cast(substring(sku, 2) as bigint) % 20 = 0"), names)
@@ -479,6 +509,12 @@ def greedy_match(spark, sf_dir):
     return linkage.greedy_match(cheap_score_rerank_whole(spark, sf_dir))
 
 
+@query("""SELECT 'k' || p_partkey AS sku, p_size % 5 * 3.0 + CASE WHEN p_partkey % 2 = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN p_name <> '' THEN 0.5 ELSE 0.0 END AS rank FROM part""")
+def code_bucket_rank(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").withColumn("sku", F.concat(F.lit("k"), F.col("p_partkey").cast("string")))
+    return p.select("sku", linkage.item_rank(F.col("p_size") % 5, F.col("p_partkey") % 2 == 0, F.col("p_name"), F.col("sku")).alias("rank"))
+
+
 @query("""WITH c AS (SELECT p_partkey AS sku, (p_size || '.' || lpad(CAST(p_partkey % 7 AS VARCHAR), 2, '0')) AS code, p_retailprice FROM part WHERE p_partkey % 2 = 0), a AS (SELECT code, arg_max(sku, (p_retailprice, sku)) AS anchor FROM c GROUP BY 1)
 SELECT c.code, anchor, sku FROM c JOIN a ON a.code = c.code WHERE sku <> anchor""")
 def same_code_pairs(spark, sf_dir):
@@ -657,6 +693,11 @@ def time_functions(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", T.date_part(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"), F.date_trunc("hour", F.col("ts") + F.expr("interval 30 minutes")).alias("hour"))
 
 
+@query("SELECT event_id, strftime(t, '%B %-d %-I:%M') || lower(strftime(t, '%p')) AS shown FROM (SELECT event_id, timezone('America/Vancouver', timezone('UTC', date_trunc('hour', ts + INTERVAL 30 MINUTE))) AS t FROM events)")
+def nearest_hour_text(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", T.nearest_hour(F.col("ts")).alias("shown"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_hits_explode(spark, sf_dir):
     e = _read(spark, sf_dir, "events")

@@ -3,31 +3,57 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder, with its lineage cut.
 
     The folder is the one that the cluster names in spark.checkpoint.dir. Where it is
-    unset, as in tests on one machine, a temporary folder is taken.
+    unset, a temporary folder is taken if driver and executors are one local process;
+    on a cluster, which can't share such a folder, that is an error.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return frame.checkpoint()
 
 
-#: Rows up to which a checked table is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a checked table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
-def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, stored and counted; with a broadcast hint only if it has at most ``rows`` rows. Beyond that a shuffle join takes it."""
-    from pyspark.sql import functions as F
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(16))
+        return 8 * F.greatest(F.size(value), F.lit(0)) + 16
+    return F.lit(8)
 
+
+def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame, stored and measured; with a broadcast hint only if it has at most ``rows`` rows and about ``most`` bytes. Beyond that a shuffle join takes it."""
+    stored, small = measured(frame, rows, most)
+    return F.broadcast(stored) if small else stored
+
+
+def measured(frame: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The frame, stored, and whether it has at most ``rows`` rows and about ``most`` bytes."""
     frame = checkpointed(frame)
-    return F.broadcast(frame) if frame.count() <= rows else frame
+    size = reduce(add, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields])
+    found = frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return frame, found["n"] <= rows and found["b"] <= most

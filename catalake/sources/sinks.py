@@ -76,11 +76,11 @@ def read_rules(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def alert_html(new: DataFrame, sales: DataFrame, rows: int = 200) -> tuple[str, str, bool]:
-    """The alert's HTML, its subject and whether there is anything to send. ``rows`` is the mail's length."""
+def alert_html(new: DataFrame, sales: DataFrame) -> tuple[str, str, bool]:
+    """The alert's HTML, its subject and whether there is anything to send: every row, read one by one, for the alerts of one run."""
     def lines(part: DataFrame) -> list[str]:
         cell = lambda c: escape_html(F.col(c).cast("string")).alias(c)
-        return [f"<li><a href=\"{r['url']}\">{r['name']}</a> {r['store_label']} {r['price']}</li>" for r in part.select(*map(cell, ("url", "name", "store_label", "price"))).orderBy("name", "url").limit(rows).collect()]
+        return [f"<li><a href=\"{r['url']}\">{r['name']}</a> {r['store_label']} {r['price']}</li>" for r in part.select(*map(cell, ("url", "name", "store_label", "price"))).orderBy("name", "url").toLocalIterator()]
 
     a, b = lines(new), lines(sales)
     body = "".join(f"<h2>{title} ({len(x)})</h2><ul>{''.join(x)}</ul>" for title, x in (("New", a), ("Sales", b)) if x)

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from catalake.plans import catalogue
+from catalake.plans import catalogue, shops  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -94,8 +94,8 @@ def test_rules(spark):
     once = rules.insert_absent(old, new, "from_sku", "to_sku", True)
     assert sorted(map(tuple, once.collect())) == [("a", "b"), ("c", "d")]
     assert sorted(map(tuple, rules.insert_absent(once, new, "from_sku", "to_sku", True).collect())) == [("a", "b"), ("c", "d")]
-    body = '<!-- stviz-sku-edits:BEGIN -->\n{"schema":"stviz-sku-edits-v1","links":[{"fromSku":"1","toSku":"2"},{"fromSku":"3","toSku":"3"}],"ignores":[]}\n<!-- stviz-sku-edits:END -->'
-    parsed = rules.parse_edits(spark.createDataFrame([(f"text {body} more",), (body.replace("v1", "v9"),), ("nothing",), (None,)], "body string"))
+    body = '<!-- shop-edits:BEGIN -->\n{"schema":"shop-edits-v1","links":[{"fromSku":"1","toSku":"2"},{"fromSku":"3","toSku":"3"}],"ignores":[]}\n<!-- shop-edits:END -->'
+    parsed = rules.parse_edits(spark.createDataFrame([(f"text {body} more",), (body.replace("v1", "v9"),), (body.replace("shop-edits:", "other:"),), ("nothing",), (None,)], "body string"), "shop-edits", "shop-edits-v1")
     assert sorted(map(tuple, rules.edited_links(parsed).collect())) == [("1", "2")]
 
 
@@ -109,7 +109,7 @@ def test_page_connectors(spark):
         "sierrasprings": '<div class="tmb x"><h3 class="t-entry-title h"><a href="/p/one">One &amp; <b>only</b></a></h3><span class="price">' + amount + '</span><a data-product_sku="111111"></a></div>',
         "kegncork": '<li class="product"><h4 class="card-title"><a href="https://k/x">Keg</a></h4><span data-product-price-without-tax class="p"> 12.50 </span></li>',
         "maltsandgrains": woo("/product/a", "Malt", amount, "product_cat-gin") + woo("/product/b", "Gone", amount, "outofstock"),
-        "gull": woo("/g", "Gull", amount + '<span class="woocommerce-Price-amount"><bdi>$0.10</bdi></span>', "instock") + woo("/h", "Out", amount, "outofstock"),
+        "gull": woo("/g", "Gull", amount + '<span class="woocommerce-Price-amount"><bdi>$0.10</bdi></span><i class="in-stock"></i>') + woo("/h", "Out", amount + '<i class="outofstock"></i>'),
         "kwm": '<div class="product-wrap"><div><a class="product-link" href="/products/123456-x"></a></div><h6> Ken </h6><div class="product-price"><div><span class="strike">$50.00</span> $40.00</div></div></div><div class="product-wrap">OUT OF STOCK</div>',
         "craftcellars": "<ul>" + '<li><a href="/products/c?v=1">Craft</a> Regular price $9.00 Sale price $8.00</li>' * 2 + "</ul>",
         "strath": '<article class="instock"><a href="/s"></a><h2 class="product-title">Strath</h2><h3 class="product-subtitle">12</h3><div class="whiskyfolk-price">$1.00</div><ins>now $1,030.00</ins> SKU: 654321</article>',
