@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def normalize(price: Column) -> Column:
     """The price string without any white space."""
@@ -14,7 +16,7 @@ def normalize(price: Column) -> Column:
 def to_number(price: Column, empty: float | None = 0.0) -> Column:
     """The digits and points of a price as a number; ``empty`` without any, null if malformed."""
     kept = F.regexp_replace(F.coalesce(price, F.lit("")), "[^0-9.]", "")
-    return F.when(kept == "", F.lit(empty).cast("double")).otherwise(kept.try_cast("double"))
+    return F.coalesce(kept.try_cast("double"), F.when(kept == "", F.lit(empty).cast("double")))
 
 
 def percent_off(old: Column, new: Column, no_drop: str = "null") -> Column:
@@ -45,9 +47,11 @@ def from_minor_units(value: Column, units: Column) -> Column:
 
 def to_text(amount: Column, grouped: bool = False) -> Column:
     """$1234.50, or $1,234.50 if grouped; empty for null."""
-    cents = F.round(amount * 100).cast("long")
-    whole = F.format_number(F.floor(cents / 100), 0) if grouped else F.expr("1") * 0 + F.floor(cents / 100)
-    return F.coalesce(F.concat(F.lit("$"), whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")), F.lit(""))
+    def write(cents: Column) -> Column:
+        whole = F.format_number(F.floor(cents / 100), 0) if grouped else F.floor(cents / 100).cast("string")
+        return F.concat(F.lit("$"), whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+    return F.coalesce(bound(F.round(amount * 100).cast("long"), write), F.lit(""))
 
 
 def first_amount(text: Column) -> Column:

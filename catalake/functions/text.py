@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ NAMED = [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt
 STOP_WORDS = ["the", "a", "an", "and", "of", "to", "in", "for", "with", "year", "years", "old"]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it: a name for a value inside an expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_tags(html: Column, by: str = "") -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", by)
 
@@ -24,20 +30,17 @@ def clean(html: Column) -> Column:
 
 def decode_entities(html: Column) -> Column:
     """Numeric, then named references, one after the other, so that an escaped reference is decoded too."""
-    text = F.coalesce(html, F.lit(""))
-    for pattern, base in ((r"&#([0-9]{1,7});", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", 16)):
-        gaps = F.split(text, pattern, -1)
-        codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        text = _fill(gaps, _each_code(codes, base))
-    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), NAMED, text)
+    decimal = bound(F.coalesce(html, F.lit("")), lambda t: _numeric(t, r"&#([0-9]{1,7});", 10))
+    both = bound(decimal, lambda t: _numeric(t, r"&#[xX]([0-9a-fA-F]{1,6});", 16))
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), NAMED, both)
 
 
-def _fill(gaps: Column, chars: Column) -> Column:
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(chars, i), F.lit("")))), "")
+def _numeric(text: Column, pattern: str, base: int) -> Column:
+    def fill(chars: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, pattern, -1), lambda g, i: F.concat(g, F.coalesce(F.get(chars, i), F.lit("")))), "")
 
-
-def _each_code(codes: Column, base: int) -> Column:
-    return F.transform(codes, lambda c: _code_point(F.conv(c, base, 10).cast("long")))
+    codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.when(F.contains(text, F.lit("&#")), bound(F.transform(codes, lambda c: _code_point(F.conv(c, base, 10).cast("long"))), fill)).otherwise(text)
 
 
 def _code_point(n: Column) -> Column:
@@ -48,9 +51,11 @@ def _code_point(n: Column) -> Column:
 
 def attribute(html: Column, name: str) -> Column:
     """The value of the first attribute of that name: double-quoted, single-quoted or bare."""
-    html = F.coalesce(html, F.lit(""))
-    value = lambda quoted: F.nullif(F.regexp_extract(html, rf"(?i)\b{name}\s*=\s*{quoted}", 1), F.lit(""))
-    return F.coalesce(value('"([^"]*)"'), value("'([^']*)'"), value("([^\\s\"'>]+)"), F.lit(""))
+    def read(text: Column) -> Column:
+        value = lambda quoted: F.nullif(F.regexp_extract(text, rf"(?i)\b{name}\s*=\s*{quoted}", 1), F.lit(""))
+        return F.coalesce(value('"([^"]*)"'), value("'([^']*)'"), value("([^\\s\"'>]+)"), F.lit(""))
+
+    return bound(F.coalesce(html, F.lit("")), read)
 
 
 def first_of_srcset(srcset: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def drop_query(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", "")
@@ -39,7 +41,10 @@ def host(url: Column) -> Column:
 
 def resolve(url: Column, base: Column) -> Column:
     """A relative URL against its page: by scheme, by host, or by folder."""
-    url, base = F.trim(F.coalesce(url, F.lit(""))), F.coalesce(base, F.lit(""))
+    return bound(F.trim(F.coalesce(url, F.lit(""))), lambda u: _resolve(u, F.coalesce(base, F.lit(""))))
+
+
+def _resolve(url: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(drop_query(base), r"^(.*/)[^/]*$", 1)
     rest = F.regexp_replace(url, r"^\./", "")
