@@ -15,7 +15,9 @@ quantifiers, which take what the plain ones would and don't recurse, and start o
 at a run's first character or where the last match ended.
 
 Defined results: null and empty texts have no spans. Offsets are code points, ends
-exclusive. Repeated rows are searched alike; rows may repeat an id or have none.
+exclusive. Repeated rows are searched alike; rows may repeat an id or have none. Spans
+of one start go by kind. An empty table gives no row. ``find_personal_data`` reads doc_id
+and text only; ``redact`` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -91,14 +93,14 @@ def _pattern(left: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, spans (seeds) and mentions (seeds and identifier-like words: known, start, end, value, pattern) of every row. Stored, so that uid holds."""
+    """uid, doc_id, of (a hash of the text), spans (seeds) and mentions (seeds and identifier-like words: known, start, end, value, pattern) of every row. Stored, so that uid holds."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"], text.alias("text")).withColumn("seeds", base_spans(F.col("text")))
     words = _positions(F.col("text"), IDENTIFIER, "context", F.col("text").rlike(r"[0-9][^\s]{0,36}[0-9]"))
     free = F.filter(words, lambda w: ~F.exists("seeds", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     strip = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     both = F.transform(F.concat("seeds", free), lambda s: F.struct((s["kind"] != "context").alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(s["left"]).alias("pattern")))
-    cut = rows.select("doc_id", F.transform("seeds", strip).alias("spans"), F.filter(both, lambda m: m["pattern"].isNotNull() | ~m["seed"]).alias("mentions"))
+    cut = rows.select("doc_id", F.xxhash64("text").alias("of"), F.transform("seeds", strip).alias("spans"), F.filter(both, lambda m: m["pattern"].isNotNull() | ~m["seed"]).alias("mentions"))
     return checkpointed(cut.select(F.monotonically_increasing_id().alias("uid"), "*"))
 
 
@@ -122,10 +124,10 @@ def bootstrap(found: DataFrame, support: int = SUPPORT, confident: float = CONFI
 
 
 def _discovered(found: DataFrame) -> DataFrame:
-    """uid and the spans and values that bootstrapping adds."""
+    """uid, of, and the spans and values that bootstrapping adds."""
     known = bootstrap(found).select("value").distinct()
-    each = found.select("uid", "doc_id", F.explode("mentions").alias("m")).where("not m.seed").select("uid", "doc_id", "m.*")
-    return each.join(broadcast_if_small(known), "value").select("uid", "doc_id", "start", "end", "value")
+    each = found.select("uid", "of", F.explode("mentions").alias("m")).where("not m.seed").select("uid", "of", "m.*")
+    return each.join(broadcast_if_small(known), "value").select("uid", "of", "start", "end", "value")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -137,9 +139,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with seeds and discovered identifiers replaced by their kind in brackets, and n_chars, where there is one, to match; null text stays null."""
+    """docs with seeds and discovered identifiers replaced by their kind in brackets, and n_chars, where there is one, to match; null text stays null.
+
+    What is discovered goes back to the rows by their text, so rows without an id or with a
+    repeated one are treated like others. All columns stay, whatever their names.
+    """
     columns = docs.columns
-    rest = broadcast_if_small(_discovered(mentions(docs)).groupBy("doc_id").agg(F.collect_set("value").alias("values__")))
+    rest = broadcast_if_small(_discovered(mentions(docs)).groupBy("of").agg(F.collect_set("value").alias("found")))
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("of"))
     seeds = F.array_sort(F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -149,10 +156,12 @@ def redact(docs: DataFrame) -> DataFrame:
         new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
 
-    done = F.aggregate(seeds, begin, cover, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
-    joined = docs.join(rest, "doc_id", "left")
-    hidden = F.aggregate(F.coalesce("values__", F.array().cast("array<string>")), F.when(F.size(seeds) > 0, done).otherwise(F.col("text")), lambda t, v: F.replace(t, v, F.lit("[CONTEXT]")))
-    out = joined.withColumn("text", hidden)
+    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text")))
+    cut = rows.join(rest, "of", "left").withColumn("seeds", seeds).withColumn("plain", F.when(F.size("seeds") > 0, F.aggregate("seeds", begin, cover, tail)).otherwise(F.col("text")))
+    # Longer values first, so that one inside another doesn't split it.
+    values = F.reverse(F.array_sort(F.transform(F.coalesce("found", F.array().cast("array<string>")), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+    hidden = cut.withColumn("hidden", F.aggregate(values, F.col("plain"), lambda t, v: F.replace(t, v["v"], F.lit("[CONTEXT]"))))
+    row = F.col("row").withField("text", F.col("hidden"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        row = row.withField("n_chars", F.char_length("hidden").cast(docs.schema["n_chars"].dataType))
+    return hidden.select(row.alias("row")).select(*[F.col("row")[c].alias(c) for c in columns])
