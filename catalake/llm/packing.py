@@ -35,7 +35,7 @@ CLASSES = 256
 #: Ranks within a class are counted in about one part per so many pieces.
 PART_ROWS = 100_000
 #: Bound of a worker's table of encoded units, which is then begun anew.
-WORDS = 1_500_000
+WORDS = 1_000_000
 
 #: Fixed: the normaliser and the pre-tokenizer whose units ``UnitEncoder`` can find from bytes.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -48,6 +48,13 @@ CLASS[48:58] = DIGIT
 CLASS[K.WHITE] = WHITE
 #: Units that are encoded in one call of the library.
 CALL_UNITS = 500
+#: Bytes of the texts that are encoded together, where no text is longer.
+ENCODED_BYTES = 1 << 18
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, in one twice as long if it has less than size."""
+    return array if size <= len(array) else np.concatenate((array, np.zeros(max(size - len(array), len(array)), array.dtype)))
 
 
 class Table:
@@ -56,8 +63,9 @@ class Table:
     def __init__(self, bits: int = 16):
         self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.shift = np.uint64(64 - bits)
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.size, self.hashes = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.uint64)
+        self.ids = np.zeros(4 << bits, np.uint32)
+        self.count = self.held = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, or -1."""
@@ -75,14 +83,18 @@ class Table:
 
     def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
         """Distinct new hashes and their ids, one after the other."""
-        n, total = len(self.hashes), len(self.ids)
-        self.start = np.concatenate((self.start, total + np.cumsum(size) - size))
-        self.size, self.ids, self.hashes = np.concatenate((self.size, size)), np.concatenate((self.ids, ids)), np.concatenate((self.hashes, hashes))
-        if 3 * len(self.hashes) > len(self.keys):
-            bits = 64 - int(self.shift) + 2
+        n, self.count = self.count, self.count + len(hashes)
+        rows = slice(n, self.count)
+        self.start, self.size, self.hashes = (_room(x, self.count) for x in (self.start, self.size, self.hashes))
+        self.ids = _room(self.ids, self.held + len(ids))
+        self.start[rows], self.size[rows], self.hashes[rows] = self.held + np.cumsum(size) - size, size, hashes
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
+        if 2 * self.count > len(self.keys):
+            bits = (2 * self.count).bit_length()
             self.keys, self.rows, self.shift = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64(64 - bits)
             n = 0
-        going = np.arange(n, len(self.hashes))
+        going = np.arange(n, self.count)
         slot = (self.hashes[going] >> self.shift).astype(np.int64)
         while len(going):
             free = self.keys[slot] == 0
@@ -108,20 +120,21 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         import json
+        import os
 
         from tokenizers import Tokenizer
 
+        # A task has one core, which the library's own threads would exceed.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(path)
-        made = json.loads(self.lib.to_str())
-        model, normal, pre = made["model"], made["normalizer"] or {}, made["pre_tokenizer"] or {}
-        first = (pre.get("pretokenizers") or [{}])[0]
+        made = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        first = (made(self.lib.pre_tokenizer).get("pretokenizers") or [{}])[0]
         self.known = (
-            model["type"] == "BPE" and model.get("end_of_word_suffix") == self.END and normal.get("normalizers") == NORMALIZERS
-            and first.get("pattern") == {"Regex": SPLIT} and all("<|" in t["content"] for t in made["added_tokens"])
+            getattr(self.lib.model, "end_of_word_suffix", None) == self.END and made(self.lib.normalizer).get("normalizers") == NORMALIZERS
+            and first.get("pattern") == {"Regex": SPLIT} and all("<|" in t.content for t in self.lib.get_added_tokens_decoder().values())
         )
-        ends = [i for t, i in model["vocab"].items() if t.endswith(self.END)] if self.known else []
         self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
+        self.ends[[i for t, i in self.lib.get_vocab().items() if self.known and t.endswith(self.END)]] = True
         self.table = Table()
 
     def _alone(self, units: list[str]) -> list[np.ndarray]:
@@ -189,7 +202,7 @@ class UnitEncoder:
         """Ids of all texts, each followed by the end id, and how many each has."""
         if not len(chunk.data):
             return np.full(len(chunk), end_id, np.uint32), np.ones(len(chunk), np.int64)
-        if len(self.table.hashes) > WORDS:
+        if self.table.count > WORDS:
             self.table = Table()
         lower, start, end, odd = self._units(chunk)
         hashes = np.maximum(K.word_hashes(lower, SimpleNamespace(start=start, end=end)), np.uint64(1))
@@ -200,7 +213,7 @@ class UnitEncoder:
             at, raw = missing[at], lower.tobytes()
             self._learn(new, [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)], odd[at])
             rows[missing] = self.table.find(hashes[missing])
-        size = self.table.size[rows]
+        size = self.table.size[rows].astype(np.int64)
         before = np.cumsum(size) - size
         first = np.searchsorted(start, chunk.bounds)
         total = int(size.sum())
@@ -229,7 +242,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         enc = encoder(tokenizer_path)
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for chunk in K.chunks(batch.column("text")):
+            for chunk in K.chunks(batch.column("text"), ENCODED_BYTES):
                 ids, total = enc.encode(chunk, end_id)
                 pieces = -(-total // capacity)
                 row = np.repeat(np.arange(len(total)), pieces)
