@@ -35,7 +35,7 @@ CLASSES = 256
 #: Ranks within a class are counted in about one part per so many pieces.
 PART_ROWS = 100_000
 #: Bound of a worker's table of encoded units, which is then begun anew.
-WORDS = 1_000_000
+WORDS = 480_000
 
 #: Fixed: the normaliser and the pre-tokenizer whose units ``UnitEncoder`` can find from bytes.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
