@@ -12,7 +12,8 @@ budget: a conversation of any length is one stream because its digest is.
 
 Defined results: turns go by turn, role and text, nulls first; null text and role
 are empty. A turn over the budget is a window of its own. Repeated rows are turns
-of their own; no conversation gives no row.
+of their own, and turns without a conv_id are one conversation; no conversation gives no
+row. Only conv_id, turn, role and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokens import counter
 
@@ -100,6 +102,7 @@ def format_chats(turns: DataFrame, model_path: str, budget: int = BUDGET, histor
     Windows of a conversation come in order in one partition.
     """
     id_type = turns.schema["conv_id"].dataType.simpleString()
+    kind = to_arrow_type(turns.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
@@ -113,30 +116,30 @@ def format_chats(turns: DataFrame, model_path: str, budget: int = BUDGET, histor
         loss = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         out: list[tuple] = []
         size = 0
-        kind = None
         for conv, group in groupby(rows(), key=lambda r: r[0]):
             for w in windows_of(conv, ((r[1] or "", r[2] or "") for r in group), count, budget, history):
                 out.append(w)
                 size += len(w[2])
                 if size > 1 << 21:
-                    yield _batch(out, kind, loss, id_type)
+                    yield _batch(out, kind, loss)
                     out, size = [], 0
         if out:
-            yield _batch(out, kind, loss, id_type)
+            yield _batch(out, kind, loss)
 
     sorted_turns = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return sorted_turns.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {id_type}, {WINDOWS}")
 
 
-def _batch(rows: list[tuple], kind, loss, id_type: str) -> pa.RecordBatch:
+def _batch(rows: list[tuple], kind: pa.DataType, loss: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    ids = pa.array(cols[0], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type))
+    ids = pa.array(cols[0], kind)
     return pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], loss), pa.array(cols[4], pa.int32())], names=["conv_id", "window", "text", "loss", "repeated"])
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """Digests of conversations, from format_chats' own output and order: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     id_type = windows.schema["conv_id"].dataType.simpleString()
+    kind = to_arrow_type(windows.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
@@ -161,15 +164,15 @@ def read_back(windows: DataFrame) -> DataFrame:
                     target.update(part.encode("utf-8", "surrogatepass"))
             out.append((conv, n, said.hexdigest(), chars, target.hexdigest(), formatted))
             if len(out) >= 5000:
-                yield _digests(out, id_type)
+                yield _digests(out, kind)
                 out = []
         if out:
-            yield _digests(out, id_type)
+            yield _digests(out, kind)
 
     return windows.select("conv_id", "text", "loss", "repeated").mapInArrow(run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def _digests(rows: list[tuple], id_type: str) -> pa.RecordBatch:
+def _digests(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

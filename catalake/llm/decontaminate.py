@@ -17,7 +17,10 @@ holds has a bound for a benchmark of any size; every block meets every document.
 Defined results: terms are lower-cased (A-Z) runs of ASCII letters and digits and of
 bytes beyond ASCII. Null and empty texts and items have no terms and leak nothing.
 Items of one or two terms are found by that term or pair. Repeated rows and
-repeated items each have their leaks; a null id is an id like any other.
+repeated items each have their leaks; a null id is an id like any other. Of an item's
+leaks in a document the one of the best score counts, then the first. An empty table of
+documents or items gives no row. Only doc_id, text and item_id are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..session import broadcast_if_small
 from . import kernels as K
@@ -165,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCOR
     """doc_id, item_id, score (of the item's own), start and end (code points) of the best leak of each item in each document."""
     out = None
     for bench in benchmark_blocks(benchmark):
-        found = _leaks_of(docs, bench, least_score, benchmark.schema["item_id"].dataType.simpleString())
+        found = _leaks_of(docs, bench, least_score, benchmark.schema["item_id"].dataType)
         out = found if out is None else out.unionByName(found)
     if out is None:
         id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
@@ -174,7 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCOR
     return best.select("doc_id", "item_id", "m.score", "m.start", "m.end")
 
 
-def _leaks_of(docs: DataFrame, bench: Benchmark, least_score: float, item_type: str) -> DataFrame:
+def _leaks_of(docs: DataFrame, bench: Benchmark, least_score: float, item_type: DataType) -> DataFrame:
     terms, ids = bench.terms, bench.ids
 
     def scored(hashes: np.ndarray, jobs: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, float, int, int]]:
@@ -196,7 +201,7 @@ def _leaks_of(docs: DataFrame, bench: Benchmark, least_score: float, item_type:
                     yield d, m, float(score[g] / own[g]), a + int(end[g]) - r, a + int(end[g])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type)
+        kind = to_arrow_type(item_type)
         for batch in batches:
             doc_ids, out = batch.column("doc_id"), []
             for chunk, words, hashes in terms_of(batch.column("text")):
@@ -209,7 +214,7 @@ def _leaks_of(docs: DataFrame, bench: Benchmark, least_score: float, item_type:
             yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], kind), *[pa.array(c, t) for c, t in zip(cols[2:], (pa.float64(), pa.int64(), pa.int64()), strict=True)]], names=["doc_id", "item_id", "score", "start", "end"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, score double, start long, end long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, item_id {item_type.simpleString()}, score double, start long, end long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:

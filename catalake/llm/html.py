@@ -16,7 +16,8 @@ Defined results: null and empty pages give empty text. Unclosed elements end wit
 their parent; stray end tags are ignored. A self-closed svg or math is empty; of elements without an end tag only
 those of ``TO_END`` run to the page's end. Repeated pages are extracted alike. A
 host with fewer than ``LEAST_PAGES`` pages with tokens has no template, so all its slots stay.
-Pages without a host share the empty host.
+Pages without a host share the empty host. An empty table gives no row. Only page_id, url
+and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ and counts of a text's prefixes are sums over its runs. Runs repeat, so their
 results are kept in a bounded table.
 
 Defined results: null and empty texts have 0 tokens. Characters outside the
-vocabulary count their UTF-8 bytes (byte fallback). Repeated rows count alike.
+vocabulary count their UTF-8 bytes (byte fallback). Repeated rows count alike, and so do
+rows without an id. A count equal to the limit is not over it. An empty table gives no
+row. ``count_tokens`` reads doc_id and text only; ``truncate_texts`` gives all columns
+back, whatever their names.
 """
 
 from __future__ import annotations
