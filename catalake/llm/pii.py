@@ -22,6 +22,8 @@ and text only; ``redact`` gives all columns back, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ KINDS = [*BASE, "context"]
 SUPPORT = 5
 CONFIDENT = 0.8
 STILL = 1e-6
+#: Matches of a text are placed, and covered, in parts of this many.
+PART = 256
 
 # Fixed patterns. The groups are unrolled and possessive, the language is that of the plain form.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -46,20 +50,54 @@ LEFT = r"([\p{L}]{2,30})[^\p{L}\n]{1,3}([\p{L}]{2,30}[:#=]?)[\x20\"'(]{0,3}$"
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string,left:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: what a lambda only refers to is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _parts(array: Column) -> Column:
+    """The array in parts of ``PART`` elements, so that arrays and strings that grow by copies stay short; one empty part for none."""
+    return _let(array, lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(PART)), lambda i: F.slice(a, i + 1, PART)))
+
+
+def _before(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What the values before each one, and before the end, come to."""
+    return F.aggregate(values, F.array(zero), lambda acc, v: F.array_append(acc, add(F.element_at(acc, -1), v)))
+
+
 def _positions(text: Column, pattern: str, kind: str, needs: Column) -> Column:
     """Every match of a pattern as (kind, start, end, value, left): left is the end of the text before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    step = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    both = F.zip_with(found, F.split(text, pattern, -1), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    width = lambda x: F.char_length(x["gap"]) + F.char_length(x["value"])
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
+        end = acc["at"] + width(x)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(70)).alias("left"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    pairs = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(gaps, i).alias("gap")))
-    return F.when(needs, F.aggregate(pairs, step, add)["out"]).otherwise(F.array().cast(_SPAN))
+    def place(parts: Column) -> Column:
+        widths = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + width(x)))
+        begins = F.slice(_before(widths, F.lit(0).cast("long"), lambda n, w: n + w), 1, F.size(parts))
+        placed = F.zip_with(parts, begins, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add)["out"])
+        return F.flatten(placed)
+
+    # The last piece has no match after it.
+    matches = F.filter(both, lambda x: x["value"].isNotNull())
+    return F.when(needs, _let(_parts(matches), place)).otherwise(F.array().cast(_SPAN))
+
+
+def _outside(words: Column, seeds: Column) -> Column:
+    """The words that no seed touches: each part of the words meets the seeds of its stretch only."""
+    apart = lambda w: lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])
+
+    def free(part: Column) -> Column:
+        stretch = F.struct(F.element_at(part, 1)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"))
+        near = _let(stretch, lambda r: F.filter(seeds, apart(r)))
+        return _let(near, lambda n: F.filter(part, lambda w: ~F.exists(n, apart(w))))
+
+    return F.flatten(F.transform(_parts(words), lambda p: F.when(F.size(p) > 0, free(p)).otherwise(p)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -73,7 +111,7 @@ def _luhn(digits: Column) -> Column:
 
 def _card(s: Column) -> Column:
     digits = F.regexp_replace(s["value"], "[^0-9]", "")
-    return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
+    return _let(digits, lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
 
 
 def base_spans(text: Column) -> Column:
@@ -97,7 +135,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"], text.alias("text")).withColumn("seeds", base_spans(F.col("text")))
     words = _positions(F.col("text"), IDENTIFIER, "context", F.col("text").rlike(r"[0-9][^\s]{0,36}[0-9]"))
-    free = F.filter(words, lambda w: ~F.exists("seeds", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    free = _outside(words, F.col("seeds"))
     strip = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     both = F.transform(F.concat("seeds", free), lambda s: F.struct((s["kind"] != "context").alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(s["left"]).alias("pattern")))
     cut = rows.select("doc_id", F.xxhash64("text").alias("of"), F.transform("seeds", strip).alias("spans"), F.filter(both, lambda m: m["pattern"].isNotNull() | ~m["seed"]).alias("mentions"))
@@ -138,6 +176,37 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return found.select("uid", "doc_id", "spans").join(more, "uid", "left").select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
 
 
+def _covered(text: Column, spans: Column) -> Column:
+    """The text with each span, in order of start, as its kind in brackets. Each part of the spans is put into its own stretch of the text."""
+
+    def cover(cut: Column, origin: Column) -> Callable[[Column, Column], Column]:
+        def add(acc: Column, s: Column) -> Column:
+            # A span that begins in an earlier one only lengthens it.
+            between = F.substring(cut, (acc["at"] - origin + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+            new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+
+        return add
+
+    def put(x: Column) -> Column:
+        cut = F.substring(text, (x["begin"] + 1).cast("int"), (x["end"] - x["begin"]).cast("int"))
+        return _let(cut, lambda c: F.aggregate(x["part"], F.struct(x["begin"].alias("at"), F.lit("").alias("out")), cover(c, x["begin"]))["out"])
+
+    def join(parts: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        reach = F.transform(parts, lambda p: F.aggregate(p, zero, lambda n, s: F.greatest(n, s["end"])))
+        ends = _before(reach, zero, lambda a, b: F.greatest(a, b))
+
+        def whole(e: Column) -> Column:
+            stretches = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.get(e, i).alias("begin"), F.get(e, i + 1).alias("end")))
+            tail = F.substring(text, (F.element_at(e, -1) + 1).cast("int"), F.char_length(text))
+            return F.concat(F.array_join(F.transform(stretches, put), ""), tail)
+
+        return _let(ends, whole)
+
+    return _let(_parts(spans), join)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with seeds and discovered identifiers replaced by their kind in brackets, and n_chars, where there is one, to match; null text stays null.
 
@@ -148,16 +217,7 @@ def redact(docs: DataFrame) -> DataFrame:
     rest = broadcast_if_small(_discovered(mentions(docs)).groupBy("of").agg(F.collect_set("value").alias("found")))
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("of"))
     seeds = F.array_sort(F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def cover(acc: Column, s: Column) -> Column:
-        # A span that begins in an earlier one only lengthens it.
-        between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
-
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text")))
-    cut = rows.join(rest, "of", "left").withColumn("seeds", seeds).withColumn("plain", F.when(F.size("seeds") > 0, F.aggregate("seeds", begin, cover, tail)).otherwise(F.col("text")))
+    cut = rows.join(rest, "of", "left").withColumn("seeds", seeds).withColumn("plain", F.when(F.size("seeds") > 0, _covered(F.col("text"), F.col("seeds"))).otherwise(F.col("text")))
     # Longer values first, so that one inside another doesn't split it.
     values = F.reverse(F.array_sort(F.transform(F.coalesce("found", F.array().cast("array<string>")), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
     hidden = cut.withColumn("hidden", F.aggregate(values, F.col("plain"), lambda t, v: F.replace(t, v["v"], F.lit("[CONTEXT]"))))

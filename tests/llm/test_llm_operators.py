@@ -309,6 +309,22 @@ def brute_digest(text, patterns, by_match):
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found)).encode()).hexdigest(), Counter(f[3] for f in found)
 
 
+@pytest.mark.parametrize("n", [1, pii.PART - 1, pii.PART, pii.PART + 1, 2 * pii.PART, 5 * pii.PART + 3])
+def test_many_spans_of_one_text(spark, n):
+    # Spans are placed and covered in parts; the parts' ends must not show.
+    entities = ["a.b@c.example", "10.0.0.7", "+1 (017) 555-7713"]
+    kinds = ["email", "ip", "phone"]
+    text, want, at = "", [], 0
+    for i in range(n):
+        text += f"é{i % 7} {entities[i % 3]};"
+        want.append((kinds[i % 3], text.index(entities[i % 3], at), len(text) - 1))
+        at = len(text)
+    got = pii.find_personal_data(frame(spark, [text])).collect()[0]["spans"]
+    assert sorted(tuple(s) for s in got if s["kind"] in kinds) == sorted(want)
+    red = pii.redact(frame(spark, [text])).collect()[0]["text"]
+    assert red == "".join(f"é{i % 7} [{kinds[i % 3].upper()}];" for i in range(n))
+
+
 @pytest.mark.parametrize("which", ["pii", "secrets"])
 def test_base_spans_against_brute_force(spark, docs, which):
     texts = [t for _, t in docs] + HARD + TRICKY
