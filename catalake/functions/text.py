@@ -66,6 +66,12 @@ def escape_html(text: Column) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")], F.coalesce(text, F.lit("")))
 
 
+def padded(text: Column, width: Column | int, left: bool = False) -> Column:
+    """The text filled with spaces up to a width; a longer one stays whole."""
+    width = F.greatest(F.char_length(text), F.lit(width) if isinstance(width, int) else width)
+    return F.lpad(text, width, F.lit(" ")) if left else F.rpad(text, width, F.lit(" "))
+
+
 def sanitize_name(name: Column) -> Column:
     """Decoded and cleaned, with letters, digits, spaces and -&().,/ only."""
     kept = F.regexp_replace(clean(decode_entities(name)), r"[^\p{L}\p{N}\s\-&().,/]", "")

@@ -94,11 +94,38 @@ def duplicates(rows: DataFrame, key: str = "url") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct(key)).alias("n_duplicates"))
 
 
-def top_suggestions(catalog: DataFrame, n: int) -> DataFrame:
-    """The n best rows by 2 stores + 1.2 priced + 1 named + 0.6 unknown: a top-k report."""
+def top_suggestions(catalog: DataFrame, n: int, mapped: DataFrame | None = None, pinned: str | None = None) -> DataFrame:
+    """The n best rows by 2 stores + 1.2 priced + 1 named + 0.6 unknown, without mapped keys and the pinned one: a top-k report."""
+    if mapped is not None:
+        catalog = catalog.join(mapped.select("sku"), "sku", "left_anti")
+    if pinned is not None:
+        catalog = catalog.where(F.col("sku") != pinned)
     score = F.lit(2.0) * F.col("store_count") + F.when(F.col("cheapest_price") != "", 1.2).otherwise(0.0) + F.when(F.col("name") != "", 1.0).otherwise(0.0) + F.when(F.col("sku").startswith("u:"), 0.6).otherwise(0.0)
     return catalog.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "sku").limit(n)
 
 
-def percent_rank_within(rows: DataFrame, key: str, by: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(by, "url")))
+def thumbnail(rows: DataFrame, names: DataFrame, key: str = "sku") -> DataFrame:
+    """An image for each key's page, from its live rows, or from all where none is live: the cheapest row's, else the first row's of the key's best name, else the first one."""
+    best = names.select(key, F.col("name").alias("best_name"))
+    known = rows.join(best, key, "left").withColumn("img", F.nullif(F.trim("img"), F.lit("")))
+
+    def pick(among: Column) -> Column:
+        has = among & F.col("img").isNotNull()
+        first = lambda which, by: F.min_by("img", F.when(has & which, by))
+        return F.coalesce(first(F.col("price_num").isNotNull(), F.struct("price_num", "ts", "url")), first(F.col("name") == F.col("best_name"), order()), first(F.lit(True), order()), F.lit(""))
+
+    now = ~F.col("removed")
+    return known.groupBy(key).agg(F.max(now).alias("any_live"), pick(now).alias("of_live"), pick(F.lit(True)).alias("of_all")).select(key, F.when(F.col("any_live"), F.col("of_live")).otherwise(F.col("of_all")).alias("img"))
+
+
+def store_links(rows: DataFrame, key: str = "sku") -> DataFrame:
+    """Each key's stores as a page lists them: the last row of each store, live ones first, then by Unicode collation; place counts from 1."""
+    last = latest(rows, [key, "store_label"])
+    w = Window.partitionBy(key).orderBy("removed", F.expr("store_label collate UNICODE"))
+    return last.select(key, F.row_number().over(w).alias("place"), "store_label", "removed", "url")
+
+
+def display_url(catalog: DataFrame, urls: DataFrame, key: str = "sku") -> DataFrame:
+    """The URL that fits each key's displayed store, else its sample URL."""
+    mine = urls.select(key, F.col("store_label").alias("cheapest_store"), F.trim("url").alias("own"))
+    return catalog.join(mine, [key, "cheapest_store"], "left").select(key, F.coalesce(F.nullif("own", F.lit("")), F.trim("sample_url"), F.lit("")).alias("url"))

@@ -37,10 +37,15 @@ def without_ignored(pairs: DataFrame, ignores: DataFrame) -> DataFrame:
     return pairs.withColumn("k_", S.pair_key(F.col("a"), F.col("b"))).join(keyed, "k_", "left_anti").drop("k_")
 
 
+def store_overlap(pairs: DataFrame, stores: DataFrame) -> DataFrame:
+    """Pairs of known keys with whether a store has both."""
+    a, b = stores.select(F.col("sku").alias("a"), F.col("stores").alias("sa")), stores.select(F.col("sku").alias("b"), F.col("stores").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").withColumn("overlap", F.arrays_overlap("sa", "sb")).drop("sa", "sb")
+
+
 def without_store_overlap(pairs: DataFrame, stores: DataFrame) -> DataFrame:
     """Pairs whose keys have no store in common."""
-    a, b = stores.select(F.col("sku").alias("a"), F.col("stores").alias("sa")), stores.select(F.col("sku").alias("b"), F.col("stores").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").where(~F.arrays_overlap("sa", "sb")).drop("sa", "sb")
+    return store_overlap(pairs, stores).where("not overlap").drop("overlap")
 
 
 def token_blocks(items: DataFrame, tokens: int = 10, bucket: int = 500, candidates: int = 250) -> DataFrame:
@@ -160,6 +165,12 @@ def item_rank(stores: Column, priced: Column, name: Column, sku: Column) -> Colu
     return 3.0 * F.coalesce(stores, F.lit(0)) + flag(priced, 2.0) + flag(F.coalesce(name, F.lit("")) != "", 0.5) + flag(sku.startswith("u:"), 0.25)
 
 
+def directed(links: DataFrame, order: str) -> DataFrame:
+    """from_sku with the target of its last link."""
+    own = links.where(S.pair_key(F.col("from_sku"), F.col("to_sku"), True) != "")
+    return own.groupBy("from_sku").agg(F.max_by("to_sku", F.struct(order, "to_sku")).alias("to_sku"))
+
+
 def group_members(mapping: DataFrame) -> DataFrame:
     """canonical and its members, in order; the representative is one of them."""
     return mapping.groupBy("canonical").agg(F.array_sort(F.collect_set("sku")).alias("members"))

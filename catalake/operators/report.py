@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import price as P
+from ..functions import sku as S
+from ..functions import text as X
+
 KINDS = ("new", "updated", "removed", "restored")
 
 
@@ -34,6 +38,32 @@ def lines(changes: DataFrame) -> DataFrame:
     return head.unionByName(body).orderBy("section", "place")
 
 
+def diff_lines(changes: DataFrame) -> DataFrame:
+    """The report of a difference: section, label, name, url, half (0 the heading, 1 an item, 2 its address) and line.
+
+    changes has change (new, restored, removed or updated), store_label, category, name, sku, url,
+    old_price and new_price. Sort by section, label and name by Unicode collation, url and half for the
+    text. Headings count all of a section; labels are filled to the longest.
+    """
+    marks = {"new": ("NEW", "+"), "restored": ("RESTORED", "R"), "removed": ("REMOVED", "-"), "updated": ("PRICE CHANGES", "~")}
+    pick = lambda k: F.create_map(*[F.lit(x) for kind, m in marks.items() for x in (kind, m[k])])[F.col("change")]
+    place = F.create_map(*[F.lit(x) for i, kind in enumerate(marks) for x in (kind, i)])[F.col("change")]
+    rows = changes.where(F.col("change").isin(*marks)).withColumn("label", F.concat_ws(" | ", "store_label", "category")).withColumn("section", place)
+    heads = rows.groupBy("section", "change").agg(F.count("*").alias("n"), F.max(F.char_length("label")).alias("w"))
+    # At most four rows here.
+    heads = heads.withColumn("width", F.greatest(F.max("w").over(Window.partitionBy()), F.lit(16)))
+    shown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(no price)"))
+    code = S.six_digits(F.col("sku"))
+    off = P.percent_off(P.to_number(F.col("old_price")), P.to_number(F.col("new_price")), "null_if_zero")
+    tag = F.when(off.isNotNull(), F.concat(F.lit(" ["), off.cast("string"), F.lit("% Off]"))).otherwise("")
+    price = F.when(F.col("change") == "updated", F.concat(shown("old_price"), F.lit(" -> "), shown("new_price"), tag)).when(F.col("change") == "removed", shown("old_price")).otherwise(shown("new_price"))
+    item = F.concat(pick(1), F.lit(" "), X.padded(F.col("label"), F.col("width")), F.lit(" | "), "name", F.when(code != "", F.concat(F.lit(" "), code)).otherwise(""), F.lit("  "), price)
+    both = F.explode(F.array(F.struct(F.lit(1).alias("half"), item.alias("line")), F.struct(F.lit(2).alias("half"), F.concat(F.lit("  "), "url").alias("line"))))
+    body = rows.join(F.broadcast(heads.select("section", "width")), "section").select("section", "label", "name", "url", both.alias("x")).select("section", "label", "name", "url", "x.half", "x.line")
+    head = heads.select("section", F.lit("").alias("label"), F.lit("").alias("name"), F.lit("").alias("url"), F.lit(0).alias("half"), F.format_string("%s (%d)", pick(0), "n").alias("line"))
+    return head.unionByName(body)
+
+
 def text(changes: DataFrame) -> str:
     """The whole report as one text, read row by row: for changes of one run. Write ``lines`` where they may be many."""
     return "\n".join(r["line"] for r in lines(changes).toLocalIterator())

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.codes import SOCIETY_CODES
 
 
 def query_tokens(query: str) -> list[str]:
@@ -29,6 +30,11 @@ def expand_prefix(dimension: DataFrame, query: str, name: str, least: int = 2) -
     return dimension.where(X.search_norm(F.col(name)).startswith(q) & F.lit(len(q) >= least))
 
 
+def society_codes(spark: SparkSession) -> DataFrame:
+    """code and label of every distillery of the society: a fixed, small dimension."""
+    return spark.createDataFrame([tuple(line.split(" ", 1)) for line in SOCIETY_CODES.strip().splitlines()], "code string, label string")
+
+
 def search_with_codes(catalog: DataFrame, dimension: DataFrame, query: str, code: str = "code", name: str = "label") -> DataFrame:
     """Token matches first, then rows whose name has a code that the query's prefix expands to; each row once."""
     direct = search(catalog, query, None).withColumn("priority", F.lit(0))

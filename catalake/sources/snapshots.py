@@ -96,7 +96,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables as listings: a line item is a listing of a part at a supplier's store."""
     line, part, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "supplier"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    text = F.concat(F.lit("$"), (F.expr("0") + F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    text = F.concat(F.lit("$"), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     joined = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(
         F.col("s_name").alias("store_label"), F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("sku"), F.col("p_name").alias("name"), text.alias("price"),

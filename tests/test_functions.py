@@ -88,3 +88,20 @@ def test_urls(spark):
     assert values(spark, ["/x", "//y.z/a", "q", "http://w/", ""], lambda c: U.resolve(c, F.lit("https://h.i/j/k?l"))) == ["https://h.i/x", "https://y.z/a", "https://h.i/j/q", "http://w/", ""]
     assert values(spark, ["a b/c"], U.encode) == ["a%20b%2Fc"]
     assert re.fullmatch(r"a__b__[0-9a-f]{8}\.json", values(spark, ["a"], lambda c: S.file_id(c, F.lit("b"), F.lit("http://x")))[0])
+
+
+def test_clamped_and_padded(spark):
+    assert values(spark, [" 42px", "-3", "9" * 30, "", "x1", None, "+7"], lambda c: P.clamped(c, 5, 0, 100)) == [42, 0, 100, 5, 5, 5, 7]
+    assert values(spark, ["x", None], lambda c: P.clamped(c, None, 0, 100)) == [None, None]
+    assert values(spark, ["ab", "abcdef", "", "é"], lambda c: X.padded(c, 4)) == ["ab  ", "abcdef", "    ", "é   "]
+    assert values(spark, ["ab", "abcdef"], lambda c: X.padded(c, 4, left=True)) == ["  ab", "abcdef"]
+
+
+def test_page_parameter_and_api(spark):
+    at = lambda page, name: lambda c: U.page_by_parameter(c, F.lit(page), name)
+    assert values(spark, ["http://h/c", "http://h/c/?x=1&pg=2&y=3&pg=4", "http://h/c/?pgs=1"], at(7, "pg")) == ["http://h/c/?pg=7", "http://h/c/?x=1&pg=7&y=3", "http://h/c/?pgs=1&pg=7"]
+    assert values(spark, ["http://h/c/?page=9&a=b#t"], at(0, "page")) == ["http://h/c/?a=b&page=1"]
+    api = "https://h.example/wp-json/wc/store/v1/products?order=desc&orderby=date"
+    urls = ["https://h.example/w/", "https://h.example/w/?_sfm__stock_status=instock&_sfm__regular_price=0+600", "https://h.example/w/?_sfm__regular_price=5%2B600", "https://h.example/w/?_sfm__stock_status=%zz"]
+    # A plain plus sign is a space in a query, which gives no span.
+    assert values(spark, urls, U.store_api) == [api, f"{api}&stock_status=instock", f"{api}&min_price=5&max_price=600", api]
