@@ -62,7 +62,7 @@ def first_amount(text: Column) -> Column:
 def clamped(text: Column, default: int | None, least: int, most: int) -> Column:
     """The whole number that a text begins with, within bounds; ``default`` if it begins with none."""
     n = F.regexp_extract(F.coalesce(text.cast("string"), F.lit("")), r"^\s*([+-]?[0-9]+)", 1)
-    bounded = F.least(F.greatest(n.try_cast("decimal(38,0)"), F.lit(least)), F.lit(most)).cast("long")
+    bounded = F.least(F.greatest(n.try_cast("double"), F.lit(least)), F.lit(most)).cast("long")
     return F.when(n != "", bounded).otherwise(F.lit(default).cast("long"))
 
 
