@@ -86,7 +86,10 @@ def similar_to(pinned: DataFrame, items: DataFrame, k: int = 60, mapped: DataFra
         right = right.join(mapped.select(F.col("sku").alias("b")), "b", "left_anti")
     mine, small = measured(mine)
     if small:
-        both = right.withColumn("cell", F.lit(0)).join(F.broadcast(mine.withColumn("cell", F.lit(0))), "cell")
+        # Each item costs as many scores as there are pinned ones, so the items are dealt out even if one small file holds them.
+        spark = items.sparkSession
+        tasks = max(CELLS, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        both = right.repartition(tasks, "b").withColumn("cell", F.lit(0)).join(F.broadcast(mine.withColumn("cell", F.lit(0))), "cell")
     else:
         # Cells of a block of items and a part of the pinned ones: each side is copied once for every part of the other.
         every = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
