@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, minhash, packing, pii, quality, secrets, tokens, toxicity, whitening
+from . import chat, decontaminate, html, language_model, minhash, packing, pii, quality, secrets, tokens, toxicity, whitening
 from .spans import digest
 
 #: Rows of an Arrow batch: texts may be long, and a batch is held whole.
@@ -83,9 +83,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.long_rows(whitening.whiten(table(spark, sf_dir, "embeddings"), k=8))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_pii, op6_token_counts, op7_chat_formatting, op8_secret_scan, op9_html_extraction, op10_quality_rules, op12_embedding_whitening)
+    for f in (op1_minhash_near_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_pii, op6_token_counts, op7_chat_formatting, op8_secret_scan, op9_html_extraction, op10_quality_rules, op12_embedding_whitening, op13_lm_scoring)
 }
 
 #: All pairs of documents that share a shingle, on full sets, and reachability over the links.
