@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language_model, minhash, packing, pii, quality, secrets, tokens, toxicity, whitening
+from . import chat, decontaminate, html, language_model, minhash, packing, pii, quality, secrets, spelling, tokens, toxicity, whitening
 from .spans import digest
 
 #: Rows of an Arrow batch: texts may be long, and a batch is held whole.
@@ -79,6 +79,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.long_rows(whitening.whiten(table(spark, sf_dir, "embeddings"), k=8))
 
@@ -89,10 +93,11 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_pii, op6_token_counts, op7_chat_formatting, op8_secret_scan, op9_html_extraction, op10_quality_rules, op12_embedding_whitening, op13_lm_scoring)
+    for f in (op1_minhash_near_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_pii, op6_token_counts, op7_chat_formatting, op8_secret_scan, op9_html_extraction, op10_quality_rules, op11_spelling_variants, op12_embedding_whitening, op13_lm_scoring)
 }
 
-#: All pairs of documents that share a shingle, on full sets, and reachability over the links.
+#: op1: all pairs of documents that share a shingle, on full sets, and reachability over the links.
+#: op11: crc32 by its table, words that are equal after deleting a code point, and recursion along the forms.
 ORACLE_SQL = {
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
@@ -111,5 +116,35 @@ WITH RECURSIVE w AS (
 ), m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
-"""
+""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY 1, 2
+), coded AS (
+  SELECT run, n, hex(encode(doc_id || ':' || run)) AS x FROM runs
+), summed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: (strpos('0123456789ABCDEF', x[i]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM coded, tab
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM summed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), cut AS (
+  SELECT word, i, word[1 : i - 1] || word[i + 1 :] AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), longer AS (
+  SELECT DISTINCT c.word AS a, w.word AS b FROM cut c JOIN words w ON w.word = c.v
+), near AS (
+  SELECT a, b FROM longer UNION SELECT b, a FROM longer UNION SELECT c.word, d.word FROM cut c JOIN cut d ON c.i = d.i AND c.v = d.v AND c.word <> d.word
+), best AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS near, max(n) AS near_n FROM near JOIN words ON word = b GROUP BY 1
+), forms AS (
+  SELECT word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)
+), path AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT p.word, f.form FROM path p JOIN forms f ON f.word = p.root WHERE f.form IS NOT NULL
+)
+SELECT forms.word, form, p.root, forms.n, n_near, form_n FROM forms JOIN (SELECT path.word, arg_max(root, n) AS root FROM path JOIN words ON words.word = root GROUP BY 1) p ON p.word = forms.word
+""",
 }
