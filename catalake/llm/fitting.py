@@ -1,12 +1,13 @@
-"""Fits a model on a bounded, ordered sample in one executor task; only the model reaches the driver."""
+"""Bounded numerical work in one executor task: fits on an ordered sample, and dense algebra; only the result reaches the driver."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,3 +70,14 @@ def fitted(features: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], np.nda
     one = features.repartition(1).sortWithinPartitions("place").drop("place")
     row = one.mapInArrow(run, "model binary").first()  # no task runs without rows
     return np.frombuffer(row["model"]) if row else np.zeros(0)
+
+
+def in_task(spark: SparkSession, f: Callable, *args):
+    """f(*args) in one executor task, where numerical libraries have one thread each; arguments and result are of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(*args))], pa.binary())], names=["out"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "out binary").first()["out"])

@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
+from .fitting import in_task
 
 CAPACITY = 4096
 END_ID = 2
@@ -343,6 +345,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
     """pieces with sequence_id and offset. pieces needs doc_id, start, length (1 to capacity) and is read several times: give a stored table.
 
     Other columns stay, whatever their names; columns called sequence_id and offset are replaced.
+    Ranks follow length, doc_id, start and then the piece's other columns, so that pieces that tie are equal.
+    The plan is solved in one executor task from the classes' counts.
     """
     spark = pieces.sparkSession
     width = capacity // classes
@@ -355,7 +359,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
     sizes = rows.groupBy("class", "part").count()
     sizes = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     sizes = sizes.select("class", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    in_class = Window.partitionBy("class", "part").orderBy(F.desc("piece.length"), "piece.doc_id", "piece.start")
+    in_class = Window.partitionBy("class", "part").orderBy(F.desc("piece.length"), "piece.doc_id", "piece.start", F.xxhash64(*[F.col("piece")[c] for c in columns if not isinstance(pieces.schema[c].dataType, T.MapType)]))
     ranked = rows.withColumn("rank", F.row_number().over(in_class) - 1).join(sizes, ["class", "part"])
     ranked = ranked.select("piece", "class", (F.col("rank") + F.col("before")).alias("rank"))
 
@@ -364,7 +368,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
         counts[row["class"] - 1] = row["count"]
     slots, first = [], 0
     taken = np.zeros(classes, np.int64)
-    for pattern, n in plan_sequences(counts):
+    for pattern, n in in_task(spark, plan_sequences, counts):
         for i in np.flatnonzero(pattern):
             slots.append((int(i) + 1, int(taken[i]), int(taken[i] + n * pattern[i]), int(pattern[i]), first))
             taken[i] += n * pattern[i]

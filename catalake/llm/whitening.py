@@ -14,16 +14,16 @@ The dense algebra runs in an executor task, where numerical libraries have one t
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .fitting import in_task
 
 #: x = floor(SCALE * entry) + SHIFT.
 SCALE, SHIFT = 1024, 100_000
@@ -135,17 +135,6 @@ class Vectors:
         return np.array([[r[c] for c in names] for r in rows]) / n
 
 
-def in_task(spark: SparkSession, f: Callable, *args):
-    """f(*args) in one executor task, where numerical libraries have one thread each; arguments and result are of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            pass
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(*args))], pa.binary())], names=["out"])
-
-    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "out binary").first()["out"])
-
-
 def orthonormal(new: np.ndarray, basis: np.ndarray, scale: float, random: np.random.Generator) -> np.ndarray:
     """Directions of ``new`` made orthogonal to ``basis`` and to each other, as many as there is room for; columns that vanish restart at random ones."""
     out = basis

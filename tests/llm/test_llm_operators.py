@@ -164,6 +164,39 @@ def test_plan_holds_each_piece_once():
 # -- 3 ------------------------------------------------------------------------------------------------------------
 
 
+def test_plan_of_many_steps(spark):
+    """A histogram whose linear program is re-inverted more than once, planned in a task; the plan holds every piece and pads little."""
+    from catalake.llm.fitting import in_task
+
+    rng = np.random.default_rng(4)
+    counts = np.maximum(rng.normal(400, 150, packing.CLASSES).astype(int) * (rng.random(packing.CLASSES) < 0.97), 0)
+
+    def steps():
+        """How often patterns are priced."""
+        price, n = packing._price, []
+        packing._price = lambda *a: n.append(1) or price(*a)
+        try:
+            packing.solve_patterns(counts)
+        finally:
+            packing._price = price
+        return len(n)
+
+    assert in_task(spark, steps) > 400
+    plan = in_task(spark, packing.plan_sequences, counts)
+    assert (sum(n * p for p, n in plan) == counts).all()
+    used, width = sum(n for _, n in plan), np.arange(1, len(counts) + 1)
+    assert all((p * width).sum() <= len(counts) for p, _ in plan) and used <= 1.1 * (counts * width).sum() / len(counts) + 1
+
+
+def test_repeated_ids_keep_their_pieces(spark):
+    """Rows that share an id and a length but not their ids' checksum each keep one place."""
+    rows = [(1, 0, 100, i, 100) for i in range(300)] + [(1, 0, 100, 7, 100)] * 5
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(7)
+    got = packing.pack(pieces).collect()
+    assert Counter(r["ids_crc32"] for r in got) == Counter(r[3] for r in rows)
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in queries.op3_toxicity(spark, sf).collect()}

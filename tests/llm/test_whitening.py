@@ -5,22 +5,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalake.llm import queries, whitening
+from catalake.llm.fitting import in_task
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute(vectors, k=8):
+def brute(spark, vectors):
     """x, n, deviations, eigenvalues and eigenvectors by numpy and Python's integers."""
     x = [[int(np.floor(1024 * float(e))) + 100_000 for e in v] for v in vectors]
     n, sums = len(x), [sum(c) for c in zip(*x, strict=True)]
     deviation = [sum((n * e - s) ** 2 for e, s in zip(v, sums, strict=True)) for v in x]
     centred = np.array([[(n * e - s) / n for e, s in zip(v, sums, strict=True)] for v in x])
-    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = in_task(spark, np.linalg.eigh, centred.T @ centred / n)
     return centred, deviation, values[::-1], axes[:, ::-1]
 
 
-def check(rows, ids, vectors, k=8, close=1e-9):
-    centred, deviation, values, axes = brute(vectors)
+def check(spark, rows, ids, vectors, k=8, close=1e-9):
+    centred, deviation, values, axes = brute(spark, vectors)
     real = min(k, int((values > 1e-13 * values.sum()).sum()))
     assert len(rows) == real * len(ids)
     got = {(r["vec_id"], r["component"]): r for r in rows}
@@ -36,7 +37,7 @@ def check(rows, ids, vectors, k=8, close=1e-9):
 def test_whitening_of_the_table(spark):
     rows = queries.op12_embedding_whitening(spark, SF).collect()
     table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
-    check(rows, [r["vec_id"] for r in table], [r["embedding"] for r in table])
+    check(spark, rows, [r["vec_id"] for r in table], [r["embedding"] for r in table])
 
 
 def frame(spark, vectors, ids=None):
@@ -49,7 +50,7 @@ def test_odd_vectors(spark):
     good = [[1.0, 2.0, 0.5], [0.25, -3.0, 1.0], [4.0, 0.0, 0.0], [4.0, 0.0, 0.0], [-1.0, 7.5, 2.0]]
     bad = [None, [], [1.0, None, 2.0], [float("nan"), 0.0, 0.0], [0.0, float("inf"), 0.0], [1.0, 2.0]]
     rows = whitening.long_rows(whitening.whiten(frame(spark, good + bad))).collect()
-    check(rows, list(range(5)), good)
+    check(spark, rows, list(range(5)), good)
 
 
 def test_low_rank_and_no_variance(spark):
@@ -57,7 +58,7 @@ def test_low_rank_and_no_variance(spark):
     rng = np.random.default_rng(1)
     base = np.round(rng.normal(size=(2, 20)) * 8) / 8  # steps of 1/8 are whole in x, so that the rank stays 2
     vectors = (rng.integers(-9, 10, (60, 2)) @ base).tolist()
-    check(whitening.long_rows(whitening.whiten(frame(spark, vectors))).collect(), list(range(60)), vectors)
+    check(spark, whitening.long_rows(whitening.whiten(frame(spark, vectors))).collect(), list(range(60)), vectors)
     assert whitening.long_rows(whitening.whiten(frame(spark, [[1.0, 2.0]] * 5))).collect() == []
     assert whitening.long_rows(whitening.whiten(frame(spark, [None]))).collect() == []
     out = whitening.long_rows(whitening.whiten(frame(spark, [[0.0]], [3]).limit(0)))
@@ -75,18 +76,23 @@ def test_equal_eigenvalues(spark):
 
 
 @pytest.mark.parametrize(("block", "most"), [(6, 36), (8, 48), (12, 192)])
-def test_lanczos_with_restarts(block, most):
+def test_lanczos_with_restarts(spark, block, most):
     """Against a dense solver, with a basis far smaller than the dimension."""
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 120)) * np.linspace(4, 1, 120)
-    matrix = x.T @ x / 400
-    state, passes = whitening.start(120, max(block, 6)), 0
-    while not state["done"] and passes < 400:
-        state = whitening.step(state, matrix @ state["next"], 6, most, 1e-12)
-        passes += 1
-    want, axes = np.linalg.eigh(matrix)
-    assert state["done"] and np.abs(state["values"] - want[::-1][:6]).max() < 1e-10
-    assert np.abs(np.abs(np.sum(state["vectors"] * axes[:, ::-1][:, :6], 0)) - 1).max() < 1e-9
+
+    def solve():
+        rng = np.random.default_rng(2)
+        x = rng.normal(size=(400, 120)) * np.linspace(4, 1, 120)
+        matrix = x.T @ x / 400
+        state, passes = whitening.start(120, max(block, 6)), 0
+        while not state["done"] and passes < 400:
+            state = whitening.step(state, matrix @ state["next"], 6, most, 1e-12)
+            passes += 1
+        want, axes = np.linalg.eigh(matrix)
+        cosines = np.sum(state["vectors"] * axes[:, ::-1][:, :6], 0)
+        return state["done"], passes, np.abs(state["values"] - want[::-1][:6]).max(), np.abs(np.abs(cosines) - 1).max()
+
+    done, passes, values, vectors = in_task(spark, solve)
+    assert done and values < 1e-10 and vectors < 1e-9
     assert passes > 120 // max(block, 6) or most >= 120
 
 
