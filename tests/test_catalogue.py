@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from catalake.plans import catalogue, details, shops  # noqa: F401
+from catalake.plans import catalogue, details, scans, shops  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
