@@ -5,12 +5,17 @@ Each store's or brand's rows are dealt into pages, so the page tables grow with
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import scan
+from ..operators import index, scan
+from ..session import shared_folder
 from ..sources import connectors as C
-from .catalogue import _read, query
+from ..sources.snapshots import listings
+from ..sources.versions import KeptIndex, VersionStore
+from .catalogue import L, _read, query
 from .shops import _CENTS, _KEY, _PRICE, _parts, _text
 
 #: Listings of a page, here.
@@ -114,3 +119,80 @@ def search_scan_pages(spark, sf_dir):
     within = bodies.join(C.hit_pages(bodies, _SIZE), "category").where("page <= last_page")
     rows = C.parse_bcl(within.select("url", "body"))
     return rows.join(within.select(F.col("url").alias("page_url"), "category"), "page_url").select("url", "name", "price", "sku", "category")
+
+
+# -- versions -----------------------------------------------------------------------------------------------
+
+#: Days up to which the versions have the listings, and the brands of the first one.
+_DAYS = ("1997-01-01", "1999-01-01", "2000-01-01")
+_COLUMNS = ("name", "price", "sku", "url", "store_label", "removed", "price_num", "ts")
+
+
+def _at(rows, day: str, version: int):
+    """A version's rows: each brand's listings up to a day; the first version lacks brands that end in 2, later ones those that end in 4, and a brand that ends in 3 never changes."""
+    still = F.when(F.col("category").endswith("3"), F.lit(_DAYS[0])).otherwise(F.lit(day)).cast("timestamp")
+    lacks = "2" if version == 1 else "4"
+    return rows.where((F.col("ts") < still) & ~F.col("category").endswith(lacks)).select(*_COLUMNS, F.col("category").alias("db_file"))
+
+
+def _store(spark, sf_dir, versions: int) -> VersionStore:
+    """The first versions of the listings, each with the files that differ from the one before."""
+    store, rows = VersionStore(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"), listings(spark, sf_dir)
+    for n, day in enumerate(_DAYS[:versions], 1):
+        now = _at(rows, day, n)
+        different = store.changed(n - 1, now)
+        store.commit(now.join(different.where("status <> 'deleted'"), "db_file", "left_semi"), different.where("status = 'deleted'"), n - 1)
+    return store
+
+
+def _versions_sql() -> str:
+    cut = lambda day, lacks: f"SELECT * FROM listings WHERE ts < CASE WHEN category LIKE '%3' THEN DATE '{_DAYS[0]}' ELSE DATE '{day}' END AND category NOT LIKE '%{lacks}'"
+    return f"{L}, v1 AS ({cut(_DAYS[0], 2)}), v2 AS ({cut(_DAYS[1], 4)}), v3 AS ({cut(_DAYS[2], 4)})"
+
+
+def _files_sql(old: str, new: str) -> str:
+    differ = f"(SELECT category, count(*) AS n FROM (SELECT category, url FROM {old} UNION ALL SELECT category, url FROM {new}) GROUP BY category, url)"
+    return f"""SELECT coalesce(o.category, n.category) AS db_file, CASE WHEN o.category IS NULL THEN 'added' WHEN n.category IS NULL THEN 'deleted' ELSE 'changed' END AS status
+  FROM (SELECT DISTINCT category FROM {old}) o FULL JOIN (SELECT DISTINCT category FROM {new}) n USING (category)
+  WHERE o.category IS NULL OR n.category IS NULL OR coalesce(o.category, n.category) IN (SELECT category FROM {differ} WHERE n % 2 = 1)"""
+
+
+@query(f"""WITH {_versions_sql()}
+SELECT 'root' AS step, category AS db_file, 'added' AS status FROM v1 GROUP BY category
+UNION ALL SELECT 'versions', * FROM ({_files_sql("v1", "v2")})
+UNION ALL SELECT 'uncommitted', * FROM ({_files_sql("v2", "v3")})""")
+def version_store_changes(spark, sf_dir):
+    """Changed files of the first version, between two versions, and of rows that aren't committed against the newest version."""
+    store = _store(spark, sf_dir, 2)
+    step = lambda name, rows: rows.select(F.lit(name).alias("step"), "db_file", "status")
+    later = _at(listings(spark, sf_dir), _DAYS[2], 3)
+    return step("root", store.changed(None, 1)).union(step("versions", store.changed(1, 2))).union(step("uncommitted", store.changed(2, later)))
+
+
+@query(f"""WITH {_versions_sql()}, asked AS (SELECT DISTINCT p_brand AS db_file FROM part UNION SELECT DISTINCT p_type FROM part)
+SELECT db_file, db_file IN (SELECT category FROM v1) AS at_first, db_file IN (SELECT category FROM v2) AS at_second FROM asked""")
+def version_store_exists(spark, sf_dir):
+    """Which of some files two versions have."""
+    store, part = _store(spark, sf_dir, 2), _read(spark, sf_dir, "part")
+    asked = part.select(F.col("p_brand").alias("db_file")).union(part.select("p_type")).distinct()
+    first = store.exists(asked, 1).withColumnRenamed("exists", "at_first")
+    return store.exists(first, 2).withColumnRenamed("exists", "at_second")
+
+
+@query(f"""WITH {_versions_sql()} SELECT 1 AS version, category AS db_file, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM v1 GROUP BY 2
+UNION ALL SELECT 2, category, count(*), CAST(sum(cents) AS BIGINT) FROM v2 GROUP BY 2""")
+def version_store_reads(spark, sf_dir):
+    """Each version as it was, read after the next one was written."""
+    store = _store(spark, sf_dir, 2)
+    rows = store.read(1).withColumn("version", F.lit(1)).unionByName(store.read(2).withColumn("version", F.lit(2)))
+    return rows.groupBy("version", "db_file").agg(F.count("*").alias("n"), F.sum(F.round(F.col("price_num") * 100).cast("long")).alias("cents"))
+
+
+@query(f"WITH {_versions_sql()} SELECT sku, store_label, price_num FROM v3 WHERE NOT removed AND price_num > 0 QUALIFY row_number() OVER (PARTITION BY sku ORDER BY price_num, ts, url) = 1")
+def kept_index_cheapest(spark, sf_dir):
+    """The cheapest offers at the third version, from an index that was kept over the versions before."""
+    store = _store(spark, sf_dir, 3)
+    kept = KeptIndex(store, "cheapest", index.cheapest)
+    for version in (1, 2):
+        kept.load(version)
+    return kept.load(3)

@@ -6,7 +6,7 @@ import tempfile
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,14 +18,19 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     unset, a temporary folder is taken if driver and executors are one local process;
     on a cluster, which can't share such a folder, that is an error.
     """
-    spark = frame.sparkSession
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder below spark.checkpoint.dir, which driver and executors share; set as ``checkpointed`` says."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return frame.checkpoint()
+    return context.getCheckpointDir()
 
 
 #: Rows and bytes up to which a checked table is broadcast.
