@@ -366,12 +366,6 @@ def series_dense(spark, sf_dir):
     return series.dense(removal_gap_series(spark, sf_dir), "sku", "store_label")
 
 
-@query(f"WITH {_GAPS} SELECT sku, store_label, CAST(day AS VARCHAR) AS day, price FROM gp QUALIFY row_number() OVER (PARTITION BY sku ORDER BY day DESC, store_label) <= 26")
-def series_last_days(spark, sf_dir):
-    w = Window.partitionBy("sku").orderBy(F.desc("day"), "store_label")
-    return removal_gap_series(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 26").drop("r")
-
-
 @query(f"WITH {_GAPS} SELECT sku, store_label, CAST(day AS VARCHAR) AS day, price FROM gp QUALIFY row_number() OVER (PARTITION BY sku, store_label ORDER BY day DESC) <= 260")
 def series_last_days_whole(spark, sf_dir):
     return series.last_days(removal_gap_series(spark, sf_dir), ["sku", "store_label"])
@@ -440,11 +434,6 @@ def ignored_anti(spark, sf_dir):
     return linkage.without_ignored(links.toDF("a", "b"), ignores)
 
 
-@query(f"WITH {_LINKS}, {L}, s AS (SELECT sku, list(DISTINCT store_label) AS stores FROM listings WHERE NOT removed AND ts >= DATE '2001-03-01' GROUP BY 1) SELECT from_sku AS a, to_sku AS b FROM links JOIN s x ON x.sku = from_sku JOIN s y ON y.sku = to_sku WHERE NOT list_has_any(x.stores, y.stores)")
-def store_overlap_anti(spark, sf_dir):
-    return linkage.without_store_overlap(_links(spark, sf_dir).toDF("a", "b"), index.availability(listings(spark, sf_dir).where(F.col("ts") >= F.lit("2001-03-01").cast("timestamp"))).select("sku", "stores"))
-
-
 _STOPS = "('the', 'a', 'an', 'and', 'of', 'to', 'in', 'for', 'with', 'year', 'years', 'old')"
 _TOKENS = f"list_distinct_ordered AS (SELECT 1), nm AS (SELECT 'k' || p_partkey AS sku, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part), tk AS (SELECT sku, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM nm)"
 _TOK_LIST = f"list_filter(string_split(norm, ' '), lambda x: x <> '' AND (regexp_full_match(x, '[0-9]+') OR x NOT IN {_STOPS}))"
@@ -460,11 +449,6 @@ def _names(spark, sf_dir):
 _BLOCKS = f"{_ITEMS}, ex AS (SELECT sku, unnest(every[1:10]) AS token FROM items), cp AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY token ORDER BY sku) <= 60), pr AS (SELECT x.sku AS a, y.sku AS b, count(*) AS shared FROM cp x JOIN cp y ON x.token = y.token AND x.sku < y.sku GROUP BY 1, 2), bl AS (SELECT a, b, shared FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 25)"
 
 
-@query(f"WITH {_BLOCKS} SELECT a, b, shared FROM bl")
-def token_block_pairs(spark, sf_dir):
-    return linkage.token_blocks(_names(spark, sf_dir), bucket=60, candidates=25)
-
-
 _ALL_BLOCKS = _BLOCKS.replace("ORDER BY sku) <= 60", "ORDER BY sku) <= 500").replace("shared DESC, b) <= 25)", "shared DESC, b) <= 250)")
 
 
@@ -480,24 +464,12 @@ _SCORES = f"""sc AS (SELECT a, b, round({_PEN} * (2.4::DOUBLE * f + 2.0::DOUBLE
   FROM (SELECT *, CASE WHEN ta[1] = tb[1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f, CASE WHEN ta[1] = tb[1] THEN 1.0::DOUBLE ELSE 0.12::DOUBLE END AS g FROM j))"""
 
 
-@query(f"WITH {_BLOCKS}, j AS (SELECT a, b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM bl JOIN items x ON x.sku = a JOIN items y ON y.sku = b), {_SCORES} SELECT a, b, cheap, score FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY a ORDER BY cheap DESC, b) <= 10) WHERE score >= 0.6")
-def cheap_score_rerank(spark, sf_dir):
-    names = _names(spark, sf_dir)
-    return linkage.scored(linkage.token_blocks(names, bucket=60, candidates=25), names)
-
-
 @query(f"WITH {_ALL_BLOCKS}, j AS (SELECT a, b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM bl JOIN items x ON x.sku = a JOIN items y ON y.sku = b), {_SCORES} SELECT a, b, cheap, score FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY a ORDER BY cheap DESC, b) <= 10) WHERE score >= 0.6")
 def cheap_score_rerank_whole(spark, sf_dir):
     names = _names(spark, sf_dir)
     return linkage.scored(linkage.token_blocks(names), names)
 
 
-@query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE sku IN ('k1', 'k7', 'k33')), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
-def similarity_topk(spark, sf_dir):
-    names = _names(spark, sf_dir)
-    return linkage.similar_to(names.where("sku in ('k1', 'k7', 'k33')"), names)
-
-
 @query(f"WITH {_ITEMS}, pin AS (SELECT * FROM items WHERE CAST(sku[2:] AS BIGINT) % 20 = 0), j AS (SELECT x.sku AS a, y.sku AS b, x.t AS ta, y.t AS tb, x.norm AS na, y.norm AS nb FROM pin x JOIN items y ON x.sku <> y.sku), {_SCORES} SELECT a, b, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 60")
 def similarity_topk_whole(spark, sf_dir):
     names = _names(spark, sf_dir)
@@ -675,12 +647,6 @@ def html_entities(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", X.decode_entities(text).alias("text"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '[^\p{L}\p{N}\s\-&().,/]', '', 'g'), '\s+', ' ', 'g')) AS name FROM (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS t FROM pages) WHERE NOT contains(t, '&')")
-def name_sanitize(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("t")).where(~F.contains("t", F.lit("&")))
-    return pages.select("page_id", X.sanitize_name(F.col("t")).alias("name"))
-
-
 @query(r"""WITH h AS (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS t FROM pages), d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&laquo;', '«'), '&raquo;', '»') AS t FROM h)
 SELECT page_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '[^\p{L}\p{N}\s\-&().,/]', '', 'g'), '\s+', ' ', 'g')) AS name FROM d""")
 def name_sanitize_whole(spark, sf_dir):

@@ -1,9 +1,14 @@
 """Linkage against brute force."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from catalake.functions import text as X
 from catalake.operators import components, linkage, report
+from catalake.session import checkpointed
 
 
 def pairs_of(seed, n=60, keys=18):
@@ -71,3 +76,24 @@ def test_report_has_every_row(spark):
     rows = spark.createDataFrame([("new", "S", f"n{k:04d}", "$1", f"u{k}") for k in range(300)] + [("removed", "S", "x", "$2", "u")], "change string, store_label string, name string, price string, url string")
     lines = report.text(rows).split("\n")
     assert lines[0] == "NEW (300)" and lines[1] == "  S | n0000 | $1" and lines[301:] == ["UPDATED (0)", "REMOVED (1)", "  S | x | $2", "RESTORED (0)"]
+
+
+@pytest.mark.parametrize(("k", "cells"), [(2, True), (5, True), (60, True), (5, False)])
+def test_similar_names_lose_none_of_their_best(spark, monkeypatch, k, cells):
+    """First tokens with few and many items, codes across first tokens, names without tokens, pinned names that a broadcast may not take."""
+    if not cells:
+        monkeypatch.setattr(linkage, "measured", lambda frame: (checkpointed(frame), False))
+    rng = random.Random(k)
+    words = ["glen", "ben", "rum", "oak", "12", "18", "cask"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(90)] + ["smws 12.34 oak", "rum smws 12.34", "smws 1.2 a", "", "the of", "zebra 12", "yak"]
+    items = spark.createDataFrame([(("u:" if i % 9 == 0 else "s") + str(i), n) for i, n in enumerate(names)], "sku string, name string")
+    pinned = items.where("cast(regexp_extract(sku, '[0-9]+', 0) as int) % 3 = 0 or sku in ('s91', 's92', 's94', 's95')")
+    x, y = items.toDF("a", "na").join(pinned.select(F.col("sku").alias("a")), "a"), items.toDF("b", "nb")
+    toks = X.similarity_tokens
+    raw = X.similarity(F.col("na"), F.col("nb"), toks(F.col("na")), toks(F.col("nb"))) * F.when(F.col("a").startswith("u:") | F.col("b").startswith("u:"), 1.12).otherwise(1.0)
+    code = X.code_key(F.col("na"))
+    every = x.crossJoin(y).where("a <> b").select("a", "b", F.when((code != "") & (code == X.code_key(F.col("nb"))), 1e9).otherwise(F.round(raw, 6)).alias("score")).where("score > 0").collect()
+    want = set()
+    for a in {r["a"] for r in every}:
+        want |= {tuple(r) for r in sorted((r for r in every if r["a"] == a), key=lambda r: (-r["score"], r["b"]))[:k]}
+    assert {tuple(r) for r in linkage.similar_to(pinned, items, k).collect()} == want
