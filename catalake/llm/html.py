@@ -158,8 +158,6 @@ def parse(page: str) -> tuple[list[tuple[str, bool, int, str]], list[str]]:
             continue
         inline = name in INLINE
         if end:
-            if inline and not any(s[0] == name for s in stack[-8:]):
-                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     close(k) if not inline or stack[k][4] else stack.pop(k)
