@@ -208,19 +208,18 @@ def _covered(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with seeds and discovered identifiers replaced by their kind in brackets, and n_chars, where there is one, to match; null text stays null.
+    """docs with the spans of seeds and discovered identifiers replaced by their kind in brackets, and n_chars, where there is one, to match; null text stays null.
 
-    What is discovered goes back to the rows by their text, so rows without an id or with a
-    repeated one are treated like others. All columns stay, whatever their names.
+    Spans go back to the rows by their text, so rows without an id or with a repeated one
+    are treated like others, and the same characters elsewhere in a text stay. All columns stay, whatever their names.
     """
     columns = docs.columns
-    rest = broadcast_if_small(_discovered(mentions(docs)).groupBy("of").agg(F.collect_set("value").alias("found")))
+    span = F.struct(F.col("start").alias("start"), F.col("end").alias("end"), F.lit("context").alias("kind"))
+    rest = broadcast_if_small(_discovered(mentions(docs)).groupBy("of").agg(F.collect_set(span).alias("found")))
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("of"))
-    seeds = F.array_sort(F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    cut = rows.join(rest, "of", "left").withColumn("seeds", seeds).withColumn("plain", F.when(F.size("seeds") > 0, _covered(F.col("text"), F.col("seeds"))).otherwise(F.col("text")))
-    # Longer values first, so that one inside another doesn't split it.
-    values = F.reverse(F.array_sort(F.transform(F.coalesce("found", F.array().cast("array<string>")), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    hidden = cut.withColumn("hidden", F.aggregate(values, F.col("plain"), lambda t, v: F.replace(t, v["v"], F.lit("[CONTEXT]"))))
+    seeds = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    cut = rows.join(rest, "of", "left").withColumn("spans", F.array_sort(F.when(F.col("found").isNull(), seeds).otherwise(F.concat(seeds, "found"))))
+    hidden = cut.withColumn("hidden", F.when(F.size("spans") > 0, _covered(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     row = F.col("row").withField("text", F.col("hidden"))
     if "n_chars" in columns:
         row = row.withField("n_chars", F.char_length("hidden").cast(docs.schema["n_chars"].dataType))

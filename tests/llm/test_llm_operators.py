@@ -397,6 +397,27 @@ def test_contexts_discover_through_discovered_identifiers(spark):
     assert {k: {texts[k][s["start"] : s["end"]] for s in got[k]} for k in want} == want
 
 
+def test_redact_covers_spans_alone(spark):
+    """A discovered identifier is covered where the finder finds it; a longer word that holds its characters stays."""
+    seeds = [f"contact handle of person{i}@mail{i}.org now" for i in range(12)]
+    texts = [*seeds, "contact handle of ZX-20419-77 now and part ZX-20419-778 stays", "part ZX-20419-778 stays", "no ZX-20419-77, then contact handle of ZX-20419-77"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.char_length("text"))
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "context"] for r in pii.find_personal_data(docs).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(docs).collect()}
+    for i, t in enumerate(texts[12:], 12):
+        want = t
+        for a, b in sorted(found[i], reverse=True):
+            want = want[:a] + "[CONTEXT]" + want[b:]
+        assert got[i] == (want, len(want))
+    assert found[12] and "ZX-20419-778 stays" in got[12][0] and got[13][0] == texts[13]
+
+
+@pytest.mark.parametrize("depth", [1, 6, 9, 60])
+def test_html_inline_ends_are_found_at_any_depth(spark, depth):
+    page = "<span hidden>x" + "<div>" * depth + "y</span><p>kept</p>"
+    assert html.extract(spark.createDataFrame([(1, "http://a.org/1", page)], "page_id long, url string, html string")).first()["text"] == "kept"
+
+
 def test_entropy_windows():
     def brute(text):
         best = 0
