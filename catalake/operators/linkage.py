@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sku as S
 from ..functions import text as X
+from ..functions.seeded import random32
 from ..session import checkpointed, measured
 from .components import connected_components
 
@@ -214,9 +215,13 @@ def without_same_group(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.where("ca <> canonical").select(*pairs.columns)
 
 
-def sampled(items: DataFrame, n: int = 5000) -> DataFrame:
-    """n items in hash order: the report's working set, the same on every run."""
-    return items.orderBy(F.xxhash64("sku"), "sku").limit(n)
+def sampled(items: DataFrame, n: int = 5000, seed: int = 1, place: str | None = None) -> DataFrame:
+    """n items in the order of their draws after a seed: the report's working set, the same on every run.
+
+    An item's draw is the generator's at its place (a column of numbers), by default the crc32 of its key.
+    """
+    number = F.crc32(F.col("sku").cast("binary")) if place is None else F.col(place)
+    return items.orderBy(random32(seed, number), "sku").limit(n)
 
 
 def region(label: Column) -> Column:

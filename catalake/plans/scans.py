@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import index, scan
+from ..functions.seeded import random32
+from ..operators import edits, index, linkage, scan
 from ..session import shared_folder
 from ..sources import connectors as C
 from ..sources.snapshots import listings
@@ -196,3 +197,47 @@ def kept_index_cheapest(spark, sf_dir):
     for version in (1, 2):
         kept.load(version)
     return kept.load(3)
+
+
+# -- edits and samples ----------------------------------------------------------------------------------------
+
+_LOG = """log AS (
+  SELECT user_id % 20 AS log, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'clear_submitted' WHEN event_id % 11 = 0 THEN 'clear' WHEN event_id % 5 = 0 THEN 'submit' ELSE 'add' END AS action,
+    CASE WHEN event_id % 3 = 0 THEN 'ignore' ELSE 'link' END AS kind, 'k' || (user_id % 7) AS a, 'k' || (CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 9) AS b FROM events
+)"""
+
+
+def _log(spark, sf_dir):
+    e, i = _read(spark, sf_dir, "events"), F.col("event_id")
+    action = F.when(i % 97 == 0, "clear_submitted").when(i % 11 == 0, "clear").when(i % 5 == 0, "submit").otherwise("add")
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("long") % 9
+    return e.select((F.col("user_id") % 20).alias("log"), i.alias("seq"), action.alias("action"), F.when(i % 3 == 0, "ignore").otherwise("link").alias("kind"), F.concat(F.lit("k"), (F.col("user_id") % 7).cast("string")).alias("a"), F.concat(F.lit("k"), k.cast("string")).alias("b"))
+
+
+def _state_sql(at: str) -> str:
+    return f"""SELECT log, status, kind, a, b, seq FROM (
+  SELECT *, CASE WHEN ended IS NULL THEN 'pending' WHEN ended.action = 'submit' AND coalesce(ended.seq > wiped, true) THEN 'submitted' END AS status, CASE WHEN kind = 'link' OR a < b THEN a || '|' || b ELSE b || '|' || a END AS key
+  FROM (SELECT l.*, (SELECT arg_min(c, c.seq) FROM log c WHERE c.log = l.log AND c.seq > l.seq AND c.seq <= {at} AND c.action IN ('submit', 'clear')) AS ended, (SELECT max(c.seq) FROM log c WHERE c.log = l.log AND c.seq <= {at} AND c.action = 'clear_submitted') AS wiped
+    FROM log l WHERE l.seq <= {at} AND l.action = 'add' AND a <> b))
+WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY log, kind, key ORDER BY status = 'pending', seq) = 1"""
+
+
+@query(f"WITH {_LOG} SELECT 'end' AS place, * FROM ({_state_sql('9223372036854775807')}) UNION ALL SELECT 'early', * FROM ({_state_sql('400')})")
+def edit_log_state(spark, sf_dir):
+    """Pending and submitted edits at the end of the log and after place 400."""
+    log = _log(spark, sf_dir)
+    return edits.state(log).withColumn("place", F.lit("end")).unionByName(edits.state(log, 400).withColumn("place", F.lit("early")))
+
+
+def _draw_sql(seed: int, n: str) -> str:
+    """The generator with whole numbers and remainders."""
+    m = "4294967296"
+    return f"""(SELECT CAST(xor(x2, x2 >> 14) AS BIGINT) FROM (SELECT xor(CAST((x1 + (CAST(xor(x1, x1 >> 7) AS HUGEINT) * (x1 | 61)) % {m}) % {m} AS BIGINT), x1) AS x2
+      FROM (SELECT CAST((CAST(xor(t, t >> 15) AS HUGEINT) * (t | 1)) % {m} AS BIGINT) AS x1 FROM (SELECT CAST(({seed} + CAST({n} AS HUGEINT) * 1831565813) % {m} AS BIGINT) AS t))))"""
+
+
+@query(f"SELECT 'k' || p_partkey AS sku, {_draw_sql(7, 'p_partkey')} AS draw FROM part ORDER BY draw, sku LIMIT 5000")
+def seeded_sample(spark, sf_dir):
+    """The report's sample of 5,000 items by their seeded draws."""
+    items = _read(spark, sf_dir, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("sku"), "p_partkey")
+    return linkage.sampled(items, 5000, 7, "p_partkey").select("sku", random32(7, F.col("p_partkey")).alias("draw"))
