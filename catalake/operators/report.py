@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import price as P
 from ..functions import sku as S
 from ..functions import text as X
+from ..session import checkpointed
 
 KINDS = ("new", "updated", "removed", "restored")
 
@@ -28,13 +29,19 @@ def section(changes: DataFrame, kind: str) -> DataFrame:
 
 def lines(changes: DataFrame) -> DataFrame:
     """The report's lines in order, for a file of any length: section, place (0 is the head, with the section's count) and line."""
-    order = Window.partitionBy("change").orderBy(F.expr("concat(store_label, name) collate UNICODE"), "url")
     rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
     known = changes.where(F.col("change").isin(*KINDS))
-    body = known.select(rank[F.col("change")].alias("section"), F.row_number().over(order).alias("place"), F.concat(F.lit("  "), F.concat_ws(" | ", "store_label", "name", "price")).alias("line"))
+    shown = known.select(rank[F.col("change")].alias("section"), F.expr("concat(store_label, name) collate UNICODE").alias("order_"), "url", F.concat(F.lit("  "), F.concat_ws(" | ", "store_label", "name", "price")).alias("line"))
+    # Ranges of the report's order: a place is its range's first one and the place in the range, so no section is one task.
+    ranged = checkpointed(shown.repartitionByRange("section", "order_", "url").withColumn("range_", F.spark_partition_id()))
+    sizes = ranged.groupBy("section", "range_").count()
+    begin = F.sum("count").over(Window.partitionBy("section").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select("section", "range_", F.coalesce(begin, F.lit(0)).alias("begin_"))
+    within = F.row_number().over(Window.partitionBy("section", "range_").orderBy("order_", "url"))
+    body = ranged.withColumn("within_", within).join(begins, ["section", "range_"]).select("section", (F.col("begin_") + F.col("within_")).alias("place"), "line")
     counts = known.groupBy("change").agg(F.count("*").alias("n"))
     kinds = changes.sparkSession.createDataFrame([(k,) for k in KINDS], "change string").join(counts, "change", "left")
-    head = kinds.select(rank[F.col("change")].alias("section"), F.lit(0).alias("place"), F.format_string("%s (%d)", F.upper("change"), F.coalesce("n", F.lit(0))).alias("line"))
+    head = kinds.select(rank[F.col("change")].alias("section"), F.lit(0).cast("long").alias("place"), F.format_string("%s (%d)", F.upper("change"), F.coalesce("n", F.lit(0))).alias("line"))
     return head.unionByName(body).orderBy("section", "place")
 
 

@@ -67,12 +67,11 @@ def append_rules(rules: DataFrame, path: str) -> None:
 
 def read_rules(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The rules of the first path that exists, each once; none if no path does."""
+    conf = spark._jsc.hadoopConfiguration()
     for path in paths:
-        try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(conf).exists(place):
             return spark.read.schema(schema).parquet(path).distinct()
-        except Exception as error:  # the next place is tried only where this one is missing
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
     return spark.createDataFrame([], schema)
 
 
@@ -85,3 +84,20 @@ def alert_html(new: DataFrame, sales: DataFrame) -> tuple[str, str, bool]:
     a, b = lines(new), lines(sales)
     body = "".join(f"<h2>{title} ({len(x)})</h2><ul>{''.join(x)}</ul>" for title, x in (("New", a), ("Sales", b)) if x)
     return f"<html><body>{body}</body></html>", f"{len(a)} new, {len(b)} sales", bool(a or b)
+
+
+def write_alert(new: DataFrame, sales: DataFrame, path: str) -> None:
+    """An alert of any length below ``path``: ``body``, its lines as text files in order, and ``head``, one row with subject, n_new, n_sales and send."""
+    cell = lambda c: F.coalesce(escape_html(F.col(c).cast("string")), F.lit(""))
+    item = F.concat(F.lit('<li><a href="'), cell("url"), F.lit('">'), cell("name"), F.lit("</a> "), cell("store_label"), F.lit(" "), cell("price"), F.lit("</li>"))
+
+    def part(rows: DataFrame, place: int) -> DataFrame:
+        return rows.select(F.lit(place).alias("part"), F.lit(1).alias("half"), "name", "url", item.alias("line"))
+
+    both = part(new, 0).unionByName(part(sales, 1))
+    counts = both.agg(*[F.count_if(F.col("part") == i).alias(n) for i, n in enumerate(("n_new", "n_sales"))])
+    head = F.format_string("<h2>%s (%d)</h2>", F.element_at(F.array(F.lit("New"), F.lit("Sales")), F.col("part") + 1), F.col("n"))
+    heads = both.groupBy("part").agg(F.count("*").alias("n")).select("part", F.lit(0).alias("half"), F.lit("").alias("name"), F.lit("").alias("url"), head.alias("line"))
+    heads.unionByName(both).orderBy("part", "half", "name", "url").select("line").write.mode("overwrite").text(f"{path}/body")
+    subject = F.format_string("%d new, %d sales", "n_new", "n_sales")
+    counts.select(subject.alias("subject"), "n_new", "n_sales", (F.col("n_new") + F.col("n_sales") > 0).alias("send")).write.mode("overwrite").json(f"{path}/head")

@@ -47,3 +47,17 @@ def test_alert_and_caps(spark):
     pairs = spark.createDataFrame([("A", f"s{k}", float(k)) for k in range(9)] + [("B", "s8", 99.0)], "anchor string, sku string, score double")
     got = [tuple(r) for r in linkage.capped_pairs(pairs).select("anchor", "sku").collect()]
     assert len(got) == 7 and ("B", "s8") in got and ("A", "s7") in got and ("A", "s8") not in got
+
+
+def test_alert_as_files(spark, tmp_path):
+    """All rows in order below their headings, and nothing to send without rows."""
+    rows = table(spark)
+    sinks.write_alert(rows, rows.limit(1), str(tmp_path / "a"))
+    head = spark.read.json(str(tmp_path / "a" / "head")).first()
+    assert (head["subject"], head["n_new"], head["n_sales"], head["send"]) == ("3 new, 1 sales", 3, 1, True)
+    lines = [line for p in sorted((tmp_path / "a" / "body").glob("part-*")) for line in p.read_text().splitlines()]
+    assert lines[0] == "<h2>New (3)</h2>" and lines[4] == "<h2>Sales (1)</h2>" and len(lines) == 6 and all(x.startswith("<li><a href=") for x in (*lines[1:4], lines[5]))
+    html = sinks.alert_html(rows, rows.limit(0))[0]
+    assert "".join(lines[:1]) + "<ul>" + "".join(lines[1:4]) + "</ul>" in html
+    sinks.write_alert(rows.limit(0), rows.limit(0), str(tmp_path / "b"))
+    assert spark.read.json(str(tmp_path / "b" / "head")).first()["send"] is False
