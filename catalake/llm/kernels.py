@@ -151,21 +151,8 @@ def windows(hashes: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np
     return splitmix(out[at]), at
 
 
-def arrow_schema(spark_schema: str):
-    """The Arrow schema of a DDL string, as Spark's mapInArrow wants it."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(spark_schema))
-
-
 def code_points(data: np.ndarray) -> np.ndarray:
     """Cumulative count of code points before each byte (one more entry than bytes)."""
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
-
-
-def own_columns(frame, *names: str):
-    """The named columns alone, so that other columns with any names can't clash."""
-    return frame.select(*[frame[n] for n in names])
