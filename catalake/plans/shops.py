@@ -88,6 +88,14 @@ def shop_list_pages(spark, sf_dir):
     return _listing(C.parse_pages(_pages(spark, sf_dir, block), "craftcellars"))
 
 
+@query(f"""SELECT 'https://craftcellars.ca/products/' || {_KEY} AS url, p_name AS name, {_PRICE} AS price, 'https://craftcellars.ca/i/' || {_KEY} || '.jpg' AS img FROM part""")
+def shop_card_blocks(spark, sf_dir):
+    """Pages without list items: nested cards in a grid, beside a card outside of it that must not count."""
+    block = _text('<div class="card"><div><img data-src="/i/', "{key}", '.jpg"><a href="/products/', "{key}", '?v=1"><span>', "{p_name}", "</span><b>new</b></a></div><div>Regular price $9999.00</div><div>Sale price $", "{amount}", "</div></div>")
+    pages = _pages(spark, sf_dir, block, '<div id="product-grid"><div class="card-list">', '</div></div><div class="card"><a href="/products/other">Other</a> $1.00</div>')
+    return C.parse_pages(pages, "craftcellars").select("url", "name", "price", "img")
+
+
 @query(_expected(f"'https://www.strathliquor.com/s/' || {_KEY}", "p_name || ' - sub'"))
 def shop_article_pages(spark, sf_dir):
     stock = F.when(F.col("out"), "outofstock").otherwise("instock")
@@ -113,6 +121,18 @@ def shop_search_results(spark, sf_dir):
     return _listing(C.parse_bsw(_bodies(spark, sf_dir, item, lambda x: F.struct(F.array(F.struct(x.alias("hits"))).alias("results")))))
 
 
+@query(f"""SELECT 'https://www.bswliquor.com/products/' || {_KEY} AS url, CASE p_partkey % 5 WHEN 0 THEN 'https://c/t/' || {_KEY} WHEN 1 THEN 'https://www.bswliquor.com/o/' || {_KEY} WHEN 2 THEN 'http://l/' || {_KEY} WHEN 3 THEN 'https://www.bswliquor.com/m/' || {_KEY} ELSE '' END AS img FROM part""")
+def shop_result_images(spark, sf_dir):
+    """Images of search results: as text, as an object, in a list of objects, in the media list, and none."""
+    shape = lambda n, value: F.when(F.col("p_partkey") % 5 == n, value)
+    at = lambda before: F.concat(F.lit(before), "key")
+    item = F.struct(
+        F.col("p_name").alias("title"), F.col("key").alias("handle"), shape(0, at("//c/t/")).alias("imageURL"), shape(1, F.struct(F.lit(" ").alias("src"), at("/o/").alias("original_src"))).alias("featuredImage"),
+        shape(2, F.array(F.struct(F.lit(None).cast("string").alias("url")), F.struct(at("http://l/").alias("url")))).alias("images"), shape(3, F.array(F.lit(""), at("/m/"))).alias("media"),
+    )
+    return C.parse_bsw(_bodies(spark, sf_dir, item, lambda x: F.struct(F.array(F.struct(x.alias("hits"))).alias("results")))).select("url", "img")
+
+
 @query(_expected(f"'https://www.legacyliquorstore.com/LL/product/spirits/rum/' || {_KEY}", "p_name || ' | 750'"))
 def shop_variants(spark, sf_dir):
     none = F.struct(F.lit("none").alias("shortName"), F.lit(1).alias("price"), F.lit(0).alias("quantity"), F.lit("").alias("sku"))

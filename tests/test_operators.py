@@ -141,6 +141,69 @@ def test_json_connectors(spark):
     assert C.parse_store_api(body(api), "gin").count() == 0
 
 
+def listed(spark, html, store):
+    rows = C.parse_pages(spark.createDataFrame([("p", html)], "url string, html string"), store).orderBy("ord").collect()
+    return [(r["url"].rsplit("/", 1)[1], r["name"], r["price"], r["img"]) for r in rows]
+
+
+def test_cards_where_a_page_has_few_list_items(spark):
+    card = lambda k, inner="": f'<div class="card x"><div class="in"><img src="/{k}.jpg"><a href="/products/{k}?v=1"><span>Name {k}</span><b>new</b></a></div>{inner}<div>Regular price $9.00</div><p>Sale price $8.0{k}</p></div>'
+    want = lambda *ks: [(str(k), f"Name {k}", f"$8.0{k}", f"https://craftcellars.ca/{k}.jpg") for k in ks]
+    items = "".join(f'<li><a href="/products/{k}">Item {k}</a> $7.00</li>' for k in range(5))
+    few = items.replace("<li>", "<p>").replace("</li>", "</p>")
+    assert listed(spark, card(1) + card(2) + "<div>$1.00</div>", "craftcellars") == want(1, 2)
+    # A nested card is a listing of its own; cards that never end are read up to the next one.
+    assert [r[:3] for r in listed(spark, f'<div class="card-wrapper">{card(1)}{card(2)}</div>', "craftcellars")] == [r[:3] for r in want(1, 2)]
+    assert [r[0] for r in listed(spark, '<div class="card"><a href="/products/1">One</a><div class="card"><a href="/products/2">Two</a>', "craftcellars")] == ["1", "2"]
+    # Five list items go before cards, and only four of them don't.
+    assert [r[1] for r in listed(spark, items + card(9), "craftcellars")] == [f"Item {k}" for k in range(5)]
+    assert [r[1] for r in listed(spark, items[: items.rindex("<li>")] + card(9), "craftcellars")] == ["Name 9"]
+    # Only the grid counts where it lists something, by depth and not up to its first end tag.
+    assert listed(spark, f'<div id="ProductGridContainer"><div></div>{card(1)}{card(2)}</div>{card(3)}', "craftcellars") == want(1, 2)
+    assert listed(spark, f'<div id="product-grid"><div>none</div></div>{card(3)}', "craftcellars") == want(3)
+    assert listed(spark, few, "craftcellars") == []
+    heading = '<div class="card"><a href="/products/1"></a><h3><a href="/products/1">Head</a></h3></div><div class="card"><span data-x="1" href="/products/2"></span></div>'
+    assert [r[:2] for r in listed(spark, heading, "craftcellars")] == [("1", "Head")]
+
+
+def test_balanced_in_linear_work(spark):
+    text = "<div>" * 20_000 + "x" * 100_000 + "</div>" * 20_001 + "tail"
+    rows = spark.createDataFrame([(text,), ("a</div>b",), ("<div>a</div>",), ("",), (None,), ("<divide>a</DIV>",)], "t string")
+    got = [r[0] for r in rows.select(C.balanced(F.col("t"), "div")).collect()]
+    assert got == [text[: -len("</div>tail")], "a", None, None, None, "<divide>a"]
+
+
+def test_stock_marks(spark):
+    blocks = {
+        "gull": [('<i class="in-stock">', True), ('<i class="InStock">', True), ("<p> 12  in stock </p>", True), ("12 in stock", False), ('<i class="in-stock outofstock">', False), ("", False)],
+        "strath": [('<a class="instock">', True), ("10+ Bottles  Available", True), ("bottles remaining", True), ("Only 3 bottle left", True), ("instock Currently\nUnavailable", False), ("x", False)],
+        "kwm": [("x", True), ("Out of stock", False)],
+        "maltsandgrains": [('<li class="product"><i class="outofstock">', True), ('<li class="product outofstock">', False), ("<b> Out Of Stock </b>", False), ('<li class="a"><i class="ast-shop-product-out-of-stock">', False)],
+        "sierrasprings": [("outofstock", True)],
+    }
+    for store, cases in blocks.items():
+        rows = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "i int, t string")
+        assert [r[0] for r in rows.orderBy("i").select(C.STOCK.get(store, C.Stock()).there(F.col("t"))).collect()] == [there for _, there in cases], store
+
+
+def test_result_images(spark):
+    shapes = [
+        ({"image": "//c/a.jpg"}, "https://c/a.jpg"), ({"image": "", "imageURL": "http://c/b.jpg"}, "http://c/b.jpg"), ({"imageUrl": "/u.jpg", "imageURL": "/v.jpg"}, "https://www.bswliquor.com/u.jpg"),
+        ({"featuredImage": {"src": " ", "original_src": "/c.jpg", "small": "/d.jpg"}}, "https://www.bswliquor.com/c.jpg"), ({"image": {"alt": "x"}, "thumbnailUrl": "/e.jpg"}, "https://www.bswliquor.com/e.jpg"),
+        ({"images": ["", {"width": 3}, {"secure_url": "http://c/f.jpg"}, "/g.jpg"]}, "http://c/f.jpg"), ({"images": [], "media": ["/h.jpg"]}, "https://www.bswliquor.com/h.jpg"), ({"images": "none", "media": [{"large": "/i.jpg"}]}, "https://www.bswliquor.com/i.jpg"), ({}, ""),
+    ]
+    hits = [{"title": "T", "handle": str(i), "SKU": "123456", "price": "$1.00"} | shape for i, (shape, _) in enumerate(shapes)]
+    bodies = spark.createDataFrame([("u", json.dumps({"results": [{"hits": hits}]}))], "url string, body string")
+    got = C.parse_bsw(bodies).orderBy("ord").collect()
+    assert [r["img"] for r in got] == [img for _, img in shapes] and {r["sku"] for r in got} == {"123456"}
+
+
+def test_collection_numbers(spark):
+    texts = ["?f=collection_ids%3A123456", "collection_ids : 234567", '"collection_ids":345678', '{"collection_id" : 456789}', "collection_id = 567890", "collectionId='678901'", '"collectionId": "789012"', '<i data-collection-id="890123">', "collection_id=12345", 'collectionId:111111 "collection_ids": 222222', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(C.collection_id(F.col("t"))).collect()] == [123456, 234567, 345678, 456789, 567890, 678901, 789012, 890123, None, 222222, None]
+
+
 def test_page_helpers(spark):
     html = spark.createDataFrame([('<a href="/x/page/7/"><a href="?paged=12">',), ('<a href="/x/page/1/">',), ('"collection_id" : 1234567',)], "h string")
     assert [tuple(r) for r in html.select(C.last_page(F.col("h")), C.collection_id(F.col("h"))).collect()] == [(12, None), (0, None), (0, 1234567)]
