@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,25 +141,91 @@ def _order(*names: str) -> Column:
     return F.struct((-F.col("score")).alias("s"), *names)
 
 
+#: Rounds between looks at components, and pairs up to which a component is settled by one task.
+ROUNDS, SETTLED = 4, 100_000
+
+
+def _settled(left: DataFrame, a: str, b: str, choose: Callable[[list, list, list], list[bool]], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of pairs in components of at most SETTLED pairs those that are taken, and the pairs of larger components.
+
+    choose gets pairs of whole components, each in its order (columns), and says which it
+    takes. Components share no key, so many are settled in a task, a batch at a time.
+    """
+    src, dst = F.concat(F.lit("a:"), F.col(a).cast("string")), F.concat(F.lit("a:" if a == "a" else "b:"), F.col(b).cast("string"))
+    named = connected_components(left.select(src.alias("src"), dst.alias("dst"))).toDF("src", "component")
+    marked = left.withColumn("src", src).join(named, "src").drop("src")
+    sizes = marked.groupBy("component").agg((F.count("*") <= SETTLED).alias("small"))
+    marked = checkpointed(marked.join(sizes, "component"))
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in chain(batches, [None]):
+            joined = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if joined is None or joined.empty:
+                continue
+            # The last component may go on in the next batch.
+            open_ = joined["component"] == joined["component"].iloc[-1]
+            done, rest = (joined, None) if batch is None else (joined[~open_], joined[open_])
+            yield done.loc[choose(*(done[c].tolist() for c in columns)), [a, b, "score"]]
+
+    dealt = marked.where("small").repartition("component").sortWithinPartitions("component", "o").select("component", a, b, "score", *[c for c in columns if c not in (a, b)])
+    return dealt.mapInPandas(run, f"`{a}` {kinds[a]}, `{b}` {kinds[b]}, score {kinds['score']}"), marked.where("not small").select(*left.columns)
+
+
+def _rounds(left: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]], settle: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """What steps take, with components that have become small settled after every ROUNDS steps, so that a long chain of pairs that wait for each other takes no round a pair."""
+    done, taken = 0, left.limit(0)
+    while not left.isEmpty():
+        chosen, left = settle(left) if done % (ROUNDS + 1) == ROUNDS else step(left)
+        left, done = checkpointed(left), done + 1
+        taken = taken.select(*chosen.columns).unionByName(checkpointed(chosen))
+        if done % (ROUNDS + 1) == 0:
+            taken = checkpointed(taken)
+    return taken
+
+
+def _one_to_one(a: list, b: list) -> list[bool]:
+    used, out = set(), []
+    for x, y in zip(a, b, strict=True):
+        free = x not in used and y not in used
+        if free:
+            used |= {x, y}
+        out.append(free)
+    return out
+
+
+def _with_room(anchor: list, sku: list, room: list) -> list[bool]:
+    used, count, out = set(), {}, []
+    for x, y, most in zip(anchor, sku, room, strict=True):
+        free = y not in used and count.get(x, 0) < most
+        if free:
+            used.add(y)
+            count[x] = count.get(x, 0) + 1
+        out.append(free)
+    return out
+
+
 def greedy_match(pairs: DataFrame, limit: int | None = None, stores: DataFrame | None = None) -> DataFrame:
     """One-to-one pairs (a, b, score) by falling score, then a and b; with ``limit``, the first so many that are accepted.
 
     A pair that both its keys have as their best is accepted in any order of work, so each
-    round takes all such pairs and drops the others of their keys, until none is left.
+    round takes all such pairs and drops the others of their keys. After every few rounds
+    the components left are settled one by one, each by a task, where they have at most
+    ``SETTLED`` pairs; rounds go on with larger ones. Pairs with a null key are left out.
     With stores (sku, stores), pairs whose keys share a store are out.
     """
     if stores is not None:
         pairs = without_store_overlap(pairs, stores)
     left = checkpointed(pairs.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")).withColumn("o", _order("a", "b")))
-    taken = left.limit(0)
-    while not left.isEmpty():
+
+    def step(left: DataFrame) -> tuple[DataFrame, DataFrame]:
         best = left.select(F.col("a").alias("k"), "o").union(left.select("b", "o")).groupBy("k").agg(F.min("o").alias("m"))
-        chosen = left.join(best.toDF("a", "ma"), "a").join(best.toDF("b", "mb"), "b").where("o = ma and o = mb").select("a", "b", "score", "o")
-        chosen = checkpointed(chosen)
-        used = checkpointed(chosen.select(F.col("a").alias("k")).union(chosen.select("b")).distinct())
-        left = checkpointed(left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti").select("a", "b", "score", "o"))
-        taken = taken.unionByName(chosen)
-    out = taken.select("a", "b", "score")
+        chosen = checkpointed(left.join(best.toDF("a", "ma"), "a").join(best.toDF("b", "mb"), "b").where("o = ma and o = mb").select("a", "b", "score"))
+        used = chosen.select(F.col("a").alias("k")).union(chosen.select("b")).distinct()
+        return chosen, left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti").select("a", "b", "score", "o")
+
+    out = _rounds(left, step, lambda left: _settled(left, "a", "b", _one_to_one, ["a", "b"])).select("a", "b", "score")
     return out if limit is None else out.orderBy(F.desc("score"), "a", "b").limit(limit)
 
 
@@ -171,18 +241,20 @@ def capped_pairs(pairs: DataFrame, uses: int = 6) -> DataFrame:
 
     A partner whose best anchor is full goes to the next. A pair is sure where it is its
     partner's best one left and no more pairs of its anchor that come before it are left
-    than the anchor has room for; each round takes these.
+    than the anchor has room for; each round takes these. After every few rounds small
+    components are settled, as in ``greedy_match``. Pairs with a null key are left out.
     """
-    left = checkpointed(pairs.groupBy("anchor", "sku").agg(F.max("score").alias("score")).withColumn("o", _order("anchor", "sku")).withColumn("room", F.lit(uses).cast("long")))
-    taken = left.limit(0)
-    while not left.isEmpty():
+    known = pairs.where("anchor is not null and sku is not null")
+    left = checkpointed(known.groupBy("anchor", "sku").agg(F.max("score").alias("score")).withColumn("o", _order("anchor", "sku")).withColumn("room", F.lit(uses).cast("long")))
+
+    def step(left: DataFrame) -> tuple[DataFrame, DataFrame]:
         ranked = left.withColumn("first", F.row_number().over(Window.partitionBy("sku").orderBy("o"))).withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("o")))
-        chosen = checkpointed(ranked.where("first = 1 and place <= room").drop("first", "place"))
+        chosen = checkpointed(ranked.where("first = 1 and place <= room").select("anchor", "sku", "score"))
         full = chosen.groupBy("anchor").agg(F.count("*").alias("n"))
         rest = left.join(chosen.select("sku"), "sku", "left_anti").join(full, "anchor", "left").withColumn("room", F.col("room") - F.coalesce("n", F.lit(0)))
-        left = checkpointed(rest.where("room > 0").select(*left.columns))
-        taken = taken.unionByName(chosen)
-    return taken.select("anchor", "sku", "score")
+        return chosen, rest.where("room > 0").select(*left.columns)
+
+    return _rounds(left, step, lambda left: _settled(left, "anchor", "sku", _with_room, ["anchor", "sku", "room"])).select("anchor", "sku", "score")
 
 
 def item_rank(stores: Column, priced: Column, name: Column, sku: Column) -> Column:

@@ -44,6 +44,38 @@ def test_capped_pairs_against_brute_force(spark):
     assert sorted(map(tuple, linkage.capped_pairs(table, 2).collect())) == sorted(want)
 
 
+def greedy(rows):
+    used, want = set(), []
+    for s, a, b in sorted((-s, a, b) for a, b, s in rows):
+        if not {a, b} & used:
+            used |= {a, b}
+            want.append((a, b, -s))
+    return want
+
+
+def test_a_long_chain_of_falling_scores(spark):
+    """10,000 pairs that wait for each other end in a few rounds: beside it a star, and pairs in components of their own."""
+    rows = [(f"k{i:05}", f"k{i + 1:05}", float(20_000 - i)) for i in range(10_000)] + [("hub", f"s{i}", float(i % 7)) for i in range(300)] + [(f"x{i}", f"y{i}", 1.0) for i in range(2_000)]
+    table = spark.createDataFrame(rows, "a string, b string, score double")
+    assert sorted(map(tuple, linkage.greedy_match(table).collect())) == sorted(greedy(rows))
+    caps = [(f"a{i:04}", f"p{j:04}", float(9_000 - 2 * i - (j == i))) for i in range(4_000) for j in (i, i + 1)] + [(None, "p", 1.0), ("a", None, 1.0)]
+    used, count, want = set(), {}, []
+    for s, a, b in sorted((-s, a, b) for a, b, s in caps[:-2]):
+        if b not in used and not count.get(a):
+            used.add(b)
+            count[a] = 1
+            want.append((a, b, -s))
+    table = spark.createDataFrame(caps, "anchor string, sku string, score double")
+    assert sorted(map(tuple, linkage.capped_pairs(table, 1).collect())) == sorted(want)
+
+
+def test_components_too_large_to_settle_go_on_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "SETTLED", 3)
+    rows = [(f"k{i:02}", f"k{i + 1:02}", float(99 - i)) for i in range(16)] + [("x", "y", 1.0)]
+    table = spark.createDataFrame(rows, "a string, b string, score double")
+    assert sorted(map(tuple, linkage.greedy_match(table).collect())) == sorted(greedy(rows))
+
+
 def test_regions_and_preferred_keys(spark):
     labels = ["Alberta Wine", "Store AB", "cab", "Strath", "BCL Calgary", None, "Kensington"]
     rows = spark.createDataFrame([(x,) for x in labels], "label string")
