@@ -142,7 +142,7 @@ def _order(*names: str) -> Column:
 
 
 #: Rounds between looks at components, and pairs up to which a component is settled by one task.
-ROUNDS, SETTLED = 4, 100_000
+ROUNDS, SETTLED = 8, 100_000
 
 
 def _settled(left: DataFrame, a: str, b: str, choose: Callable[[list, list, list], list[bool]], columns: list[str]) -> tuple[DataFrame, DataFrame]:

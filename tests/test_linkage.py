@@ -71,6 +71,7 @@ def test_a_long_chain_of_falling_scores(spark):
 
 def test_components_too_large_to_settle_go_on_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(linkage, "SETTLED", 3)
+    monkeypatch.setattr(linkage, "ROUNDS", 2)
     rows = [(f"k{i:02}", f"k{i + 1:02}", float(99 - i)) for i in range(16)] + [("x", "y", 1.0)]
     table = spark.createDataFrame(rows, "a string, b string, score double")
     assert sorted(map(tuple, linkage.greedy_match(table).collect())) == sorted(greedy(rows))
