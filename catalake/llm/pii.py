@@ -14,6 +14,10 @@ pieces between matches and the matches alternate. Patterns use possessive
 quantifiers, which take what the plain ones would and don't recurse, and start only
 at a run's first character or where the last match ended.
 
+What may be discovered is limited by definition: identifiers have 6 to 40 characters and
+at least four digits, and a context is two words of 2 to 30 letters each, which with
+what may stand between them take 67 characters at most. Others are left alone.
+
 Defined results: null and empty texts have no spans. Offsets are code points, ends
 exclusive. Repeated rows are searched alike; rows may repeat an id or have none. Spans
 of one start go by kind. An empty table gives no row. ``find_personal_data`` reads doc_id
