@@ -12,10 +12,18 @@ an article (or main) element are the main text; without one, those outside menus
 headers, footers, sidebars, notices, adverts, forms and comments are. Words of a class or id skip no element that holds a main
 element, and nothing where they would skip all the text.
 
+Classes nest: an element is on every page that has what it holds, at least as often, so
+the class of the element around a class's outermost one is valid too and is its parent.
+A class that repeats on a page in a parent that doesn't, holds wording of its own and no
+heading, is a list of records (reader comments with their "Reply", teasers). On a page
+without a main element the slots in such records are not the main text, unless more than
+half of the text of all slots is in them.
+
 Defined results: null and empty pages give empty text. Unclosed elements end with
 their parent; stray end tags are ignored. A self-closed svg or math is empty; of elements without an end tag only
 those of ``TO_END`` run to the page's end. Repeated pages are extracted alike. A
-host with fewer than ``LEAST_PAGES`` pages with tokens has no template, so all its slots stay.
+host with fewer than ``least_pages`` pages with tokens (the support that a class needs,
+``LEAST_PAGES`` if not given) has no template, so all its slots stay: two pages don't tell a template from a copy.
 Pages without a host share the empty host. An empty table gives no row. Only page_id, url
 and html are read, so other columns may have any name.
 """
@@ -30,12 +38,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpointed
 
-LEAST_PAGES = 10
+LEAST_PAGES = 3
 #: Up to so many hosts with a template, their templates are broadcast; beyond, pages and templates meet by host in a shuffle.
 FRAME_HOSTS = 5000
 
@@ -53,6 +61,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menus?|nav\w*|breadcrumbs?|sidebars?|side|footers?|comments?|respond|replies|disqus|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|widgets?|pagination|pager|skip|toolbar|login|search)(?=$|[\s_-]|\d)", re.I)
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSERS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LIST_SCOPE = frozenset("ul ol dl table tbody thead tfoot select".split())
 
 _PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|textarea|title|svg|math|iframe|object)\b[^>]*>|</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
@@ -60,6 +69,9 @@ _NESTED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.
 _ATTRS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _tags: dict[str, tuple] = {}
+_paths: dict[tuple[int, str], int] = {}
+#: What a token is.
+ELEMENT, WORDING, HEADING = 0, 1, 2
 
 
 def _tag(raw: str) -> tuple[str, bool, str, int]:
@@ -89,11 +101,25 @@ def _tag(raw: str) -> tuple[str, bool, str, int]:
     return t
 
 
-def _raw_ends(page: str) -> dict[int, int]:
+def _key(token: str) -> int:
+    return int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _path(around: int, sign: str) -> int:
+    """Token of an element by that of the element around it (0 at the top)."""
+    at = _paths.get((around, sign))
+    if at is None:
+        if len(_paths) > 50_000:
+            _paths.clear()
+        at = _paths[around, sign] = _key(f"{around}/{sign}")
+    return at
+
+
+def _raw_ends(page: str, end: int) -> dict[int, int]:
     """By the place after the start tag of a RAW element that isn't in TO_END: the place after its own end tag, where it has one."""
     ends: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
-    for m in _NESTED.finditer(page):
+    for m in _NESTED.finditer(page, 0, end):
         if not m[3]:
             continue
         name = m[3].lower()
@@ -105,12 +131,13 @@ def _raw_ends(page: str) -> dict[int, int]:
     return ends
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, int, str]], list[str]]:
-    """Blocks (path, in main, skipped: 0 no, 1 by words of class or id only, 2 by an element or role; text), and the tokens of blocks and tags (path of each element), in page order."""
-    blocks: list[tuple[str, bool, int, tuple[int, ...], str]] = []
-    tokens: list[str] = []
-    stack: list[tuple[str, str, int, int, bool, tuple[int, ...]]] = []  # name, path, skipped depth, main depth, hinted elements
-    path, skipped, main = "", 0, 0
+def parse(page: str) -> tuple[list[tuple[int, bool, int, str]], list[int], dict[int, tuple[int, int]]]:
+    """Blocks (token, in main, skipped: 0 no, 1 by words of class or id only, 2 by an element or role; text), the tokens of blocks and tags in page order, and of each token the element around it (0 at the top) and what it is."""
+    blocks: list[tuple[int, bool, int, tuple[int, ...], str]] = []
+    tokens: list[int] = []
+    about: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int, int, int, bool, tuple[int, ...]]] = []  # name, path, skipped depth, main depth, hinted elements
+    path, skipped, main = 0, 0, 0
     hinted: tuple[int, ...] = ()
     wraps: set[int] = set()  # hinted elements that hold a main element, which their hint can't mean
     text: list[str] = []
@@ -122,33 +149,39 @@ def parse(page: str) -> tuple[list[tuple[str, bool, int, str]], list[str]]:
             clean = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if clean:
-                blocks.append((path, main > 0, skipped, hinted, clean))
-                tokens.append(f"{path}\0{clean}")
+                token = _key(f"{path}\0{clean}")
+                blocks.append((token, main > 0, skipped, hinted, clean))
+                tokens.append(token)
+                about[token] = (path, WORDING)
 
     def close(k: int) -> None:
         nonlocal path, skipped, main, hinted
         flush()
         del stack[k:]
-        path, skipped, main, hinted = (*stack[-1][1:4], stack[-1][5]) if stack else ("", 0, 0, ())
+        path, skipped, main, hinted = (*stack[-1][1:4], stack[-1][5]) if stack else (0, 0, 0, ())
 
-    find, n = _PARTS.search, len(page)
+    # Behind the last > nothing but an open comment can be a part; a search that ends there meets an end for each tag that it tries.
+    find, n, last = _PARTS.search, len(page), page.rfind(">") + 1
     while at < n:
-        m = find(page, at)
+        m = find(page, at, last) if at < last else None
         if m is None:
-            text.append(page[at:])
+            comment = page.find("<!--", at)
+            text.append(page[at:] if comment < 0 else page[at:comment])
             break
         if m.start() > at:
             text.append(page[at : m.start()])
         at, raw = m.end(), m[0]
         if raw[1] in "!?":
+            if raw.startswith("<!--") and at == last and (len(raw) < 7 or not raw.endswith("-->")):
+                break
             continue
         name, end, sign, kind = _tag(raw)
         if name in RAW and not end:
             if name in TO_END:
-                stop = re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?>", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?>", re.I).search(page, at, last)
                 at = stop.end() if stop else n
             elif not (name in FOREIGN and raw.endswith("/>")):
-                raw_ends = _raw_ends(page) if raw_ends is None else raw_ends
+                raw_ends = _raw_ends(page, last) if raw_ends is None else raw_ends
                 at = raw_ends.get(at, at)
             if name != "textarea":
                 flush()
@@ -192,7 +225,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, int, str]], list[str]]:
             flush()
         if raw.endswith("/>"):
             continue
-        path = f"{path}/{sign}"
+        around, path = path, _path(path, sign)
         # A header inside the main element is its heading; elsewhere it is the site's.
         skipped += kind == 1 or (kind == 3 and not main)
         main += kind == 2
@@ -203,12 +236,9 @@ def parse(page: str) -> tuple[list[tuple[str, bool, int, str]], list[str]]:
             wraps.update(hinted)
         stack.append((name, path, skipped, main, True, hinted))
         tokens.append(path)
+        about[path] = (around, HEADING if name in HEADINGS else ELEMENT)
     flush()
-    return [(where, is_main, 2 if deep else int(any(h not in wraps for h in hints)), clean) for where, is_main, deep, hints, clean in blocks], tokens
-
-
-def _key(token: str) -> int:
-    return int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return [(token, is_main, 2 if deep else int(any(h not in wraps for h in hints)), clean) for token, is_main, deep, hints, clean in blocks], tokens, about
 
 
 def _host(url: str | None) -> str:
@@ -217,17 +247,18 @@ def _host(url: str | None) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, token, pages, hits, mark1, mark2, rank: partial sums over the pages of a batch. The token 0 stands once on each page that has tokens."""
+    """host, token, around, kind, pages, hits, mark1, mark2, rank: partial sums over the pages of a batch. The token 0 stands once on each page that has tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple[str, int], list[int]] = {}
+            known: dict[int, tuple[int, int]] = {0: (0, ELEMENT)}
             for page, url, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html")], strict=True):
                 host = _host(url)
-                _, tokens = parse(html or "")
+                _, tokens, about = parse(html or "")
+                known |= about
                 seen: dict[int, list[int]] = {0: [1, 0]} if tokens else {}
-                for k, token in enumerate(tokens):
-                    key = _key(token)
+                for k, key in enumerate(tokens):
                     if key in seen:
                         seen[key][0] += 1
                     else:
@@ -243,40 +274,50 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     s[4] += rank
             keys = list(sums)
             cols = list(zip(*sums.values(), strict=True)) if sums else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array(c, pa.int64()) for c in cols]], names=["host", "token", "pages", "hits", "mark1", "mark2", "rank"])
+            whole = [[k[1] for k in keys], [known[k[1]][0] for k in keys], [known[k[1]][1] for k in keys], *cols]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *[pa.array(c, pa.int64()) for c in whole]], names=["host", "token", "around", "kind", "pages", "hits", "mark1", "mark2", "rank"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, pages long, hits long, mark1 long, mark2 long, rank long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, around long, kind long, pages long, hits long, mark1 long, mark2 long, rank long")
 
 
 def deduce_classes(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Valid equivalence classes: host, class tokens in page order, pages, and frame (every page of the host has its tokens once).
+    """Valid equivalence classes: host, class (its fingerprint sums), tokens in page order, pages, frame (every page of the host has its tokens once), repeats (some page has them more than once), labelled (has wording), headed (has a heading), tops (its outermost elements) and arounds (the elements around those).
 
     Tokens that fewer than half of a host's pages have are slots' own and no template,
     so a class is bounded by twice the longest page.
     """
-    totals = page_tokens(pages).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "hits", "mark1", "mark2", "rank")])
+    sums = [F.sum(c).alias(c) for c in ("pages", "hits", "mark1", "mark2", "rank")]
+    totals = page_tokens(pages).groupBy("host", "token").agg(*sums, F.max("around").alias("around"), F.max("kind").alias("kind"))
     # The page count of a host travels with its tokens by a window-free join on one row a host.
     hosts = totals.where("token = 0").select("host", F.col("pages").alias("of"), F.col("mark1").alias("frame1"), F.col("mark2").alias("frame2"))
     common = totals.where((F.col("token") != 0) & (F.col("pages") >= least_pages)).join(hosts.where(F.col("of") >= least_pages), "host").where("2 * pages >= of")
     classes = common.groupBy("host", "mark1", "mark2").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("rank") / F.col("pages")).alias("at"), "token"))).alias("members"),
+        F.array_sort(F.collect_list(F.struct((F.col("rank") / F.col("pages")).alias("at"), "token", "around", "kind"))).alias("members"),
         F.max("pages").alias("pages"), F.max((F.col("mark1") == F.col("frame1")) & (F.col("mark2") == F.col("frame2"))).alias("frame"),
+        F.max(F.col("hits") > F.col("pages")).alias("repeats"), F.max(F.col("kind") == WORDING).alias("labelled"), F.max(F.col("kind") == HEADING).alias("headed"),
+    ).withColumn("own", F.col("members.token"))
+    outer = F.filter("members", lambda m: (m["kind"] != WORDING) & ~F.array_contains(F.col("own"), m["around"]))
+    return classes.withColumn("outer", outer).select(
+        "host", F.struct("mark1", "mark2").alias("class"), F.col("own").alias("tokens"), "pages", "frame", "repeats", "labelled", "headed",
+        F.col("outer.token").alias("tops"), F.array_distinct("outer.around").alias("arounds"), F.col("members.at")[0].alias("first"),
     )
-    return classes.select("host", F.col("members.token").alias("tokens"), "pages", "frame", F.col("members.at")[0].alias("first"), F.element_at("members.at", -1).alias("last"))
 
 
 def nest_classes(classes: DataFrame) -> DataFrame:
-    """Classes with parent_first: where the closest enclosing class of the host begins, by the span of mean positions; null for the outermost."""
-    wider = Window.partitionBy("host").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
-    spans = F.collect_list(F.struct("first", "last")).over(wider)
-    return classes.withColumn("around", F.filter(spans, lambda s: s["last"] >= F.col("last"))).withColumn("parent_first", F.try_element_at(F.transform("around", lambda s: s["first"]), F.lit(-1))).drop("around")
+    """Classes with parents (the classes of the elements around their outermost ones, without those at the top) and records: whether each instance is a record of a list that a page has once."""
+    owners = classes.select("host", F.col("class").alias("parent"), F.col("repeats").alias("again"), F.explode("tokens").alias("around"))
+    places = classes.select("host", "class", F.explode("arounds").alias("around"))
+    parents = places.join(owners, ["host", "around"]).groupBy("host", "class").agg(F.collect_set("parent").alias("parents"), F.max("again").alias("in_repeats"))
+    records = F.col("repeats") & F.col("labelled") & ~F.col("headed") & ~F.coalesce("in_repeats", F.lit(False)) & (F.size("tops") > 0)
+    return classes.join(parents, ["host", "class"], "left").withColumn("records", records).drop("in_repeats")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """One row a host with valid classes: host, their tokens class by class, and how many each class has."""
-    each = F.array_sort(F.collect_list(F.struct("first", (-F.col("last")).alias("back"), "tokens")))
-    classes = deduce_classes(pages, least_pages).groupBy("host").agg(each.alias("c"))
-    return classes.select("host", F.flatten("c.tokens").alias("template"), F.transform("c", lambda c: F.size(c["tokens"])).alias("sizes"))
+    """One row a host with valid classes: host, their tokens class by class, how many each class has, and the elements that are records."""
+    nested = nest_classes(checkpointed(deduce_classes(pages, least_pages)))
+    each = F.array_sort(F.collect_list(F.struct("first", F.col("tokens")[0].alias("tie"), "tokens", F.when(F.col("records"), F.col("tops")).otherwise(F.array().cast("array<bigint>")).alias("tops"))))
+    hosts = nested.groupBy("host").agg(each.alias("c"))
+    return hosts.select("host", F.flatten("c.tokens").alias("template"), F.transform("c", lambda c: F.size(c["tokens"])).alias("sizes"), F.flatten("c.tops").alias("records"))
 
 
 def _in_order(places: list[int]) -> set[int]:
@@ -318,16 +359,34 @@ def boilerplate(tokens: list[int], template: dict[int, tuple[int, int]]) -> set[
     return out
 
 
-def main_text(page: str | None, template: dict[int, tuple[int, int]]) -> str:
-    blocks, tokens = parse(page or "")
-    if any(b[1] for b in blocks):
+def in_records(block: int, about: dict[int, tuple[int, int]], records: frozenset[int], known: dict[int, bool]) -> bool:
+    """Whether an element around a block is a record; ``known`` keeps what was found for elements of the page."""
+    seen = []
+    at = about[block][0]
+    while at and at not in known and at not in records:
+        seen.append(at)
+        at = about[at][0]
+    found = at in records or known.get(at, False)
+    known.update(dict.fromkeys(seen, found))
+    return found
+
+
+def main_text(page: str | None, template: dict[int, tuple[int, int]], records: frozenset[int] = frozenset()) -> str:
+    blocks, tokens, about = parse(page or "")
+    has_main = any(b[1] for b in blocks)
+    if has_main:
         blocks = [b for b in blocks if b[1]]
     # Where words of class or id skip all there is, they don't count.
     slots = [b for b in blocks if not b[2]] or [b for b in blocks if b[2] == 1]
     own = slots
     if template:
-        common = boilerplate([_key(t) for t in tokens], template)
-        own = [b for b in slots if _key(f"{b[0]}\0{b[3]}") not in common]
+        common = boilerplate(tokens, template)
+        own = [b for b in slots if b[0] not in common]
+    if records and not has_main:
+        known: dict[int, bool] = {}
+        rest = [b for b in own if not in_records(b[0], about, records, known)]
+        if 2 * sum(len(b[3]) for b in rest) >= sum(len(b[3]) for b in own):
+            own = rest
     # Pages that are all one copy have a template that is the article itself.
     return " ".join(b[3] for b in (own or slots))
 
@@ -340,19 +399,18 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     joined = pages.withColumn("host", host).join(broadcast_if_small(templates(pages, least_pages), FRAME_HOSTS), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, dict[int, tuple[int, int]]] = {}
+        known: dict[bytes, tuple[dict[int, tuple[int, int]], frozenset[int]]] = {}
         for batch in batches:
             texts = []
-            for page, tokens, sizes in zip(batch.column("html").to_pylist(), batch.column("template"), batch.column("sizes"), strict=True):
-                flat, counts = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in (tokens, sizes))
-                key = flat.tobytes() + b"|" + counts.tobytes()
-                template = known.get(key)
-                if template is None:
+            for page, *parts in zip(batch.column("html").to_pylist(), *[batch.column(c) for c in ("template", "sizes", "records")], strict=True):
+                flat, counts, lists = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in parts)
+                key = b"|".join([flat.tobytes(), counts.tobytes(), lists.tobytes()])
+                if key not in known:
                     if len(known) > 200:
                         known.clear()
                     spots = [(c, k) for c, n in enumerate(counts.tolist()) for k in range(n)]
-                    template = known[key] = dict(zip(flat.tolist(), spots, strict=True))
-                texts.append(main_text(page, template))
+                    known[key] = (dict(zip(flat.tolist(), spots, strict=True)), frozenset(lists.tolist()))
+                texts.append(main_text(page, *known[key]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "template", "sizes").mapInArrow(run, f"page_id {id_type}, url string, text string")
+    return joined.select("page_id", "url", "html", "template", "sizes", "records").mapInArrow(run, f"page_id {id_type}, url string, text string")

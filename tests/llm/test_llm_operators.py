@@ -520,6 +520,86 @@ def test_html_templates_without_an_article(spark):
     assert {r["host"] for r in nested} == {"one.example"} and any(r["frame"] for r in nested)
 
 
+def test_html_lists_of_records_are_told_by_the_nesting_alone(spark):
+    """No word, element or role tells the readers' replies here: only the class of a reply repeats, with its own wording, in a slot that a page has once."""
+
+    def page(k, record, section):
+        replies = "".join(record.format(f"reader {k}.{i}") for i in range(k % 4 + 2))
+        parts = "".join(section.format(f"Part {i} of story {k}", f"with many words of its own {k * 31 + i}") for i in range(k % 3 + 2))
+        return f'<body><div class="t1">Site</div><div class="b1"><p>Story {k} begins</p>{parts}</div><div class="z1">{replies}</div></body>'
+
+    reply, bare = '<div class="q"><p>{}</p><div>Answer this</div></div>', '<div class="q"><p>{}</p></div>'
+    headed, noted = '<div class="s"><h2>{}</h2><p>{}</p><div>To the top</div></div>', '<div class="s"><p>{} {}</p></div>'
+    hosts = {"replies": (reply, noted), "bare": (bare, noted), "headed": (reply, headed), "long": (reply.replace("{}", "{} " + "says " * 60), noted)}
+    table = spark.createDataFrame([(k, f"http://{h}.example/{k}", page(k, *f)) for h, f in hosts.items() for k in range(24)], "page_id long, url string, html string")
+    got = {(r["url"].split("/")[2][:-8], r["page_id"]): r["text"] for r in html.extract(table).collect()}
+    for k in range(24):
+        story = " ".join([f"Story {k} begins", *[f"Part {i} of story {k} with many words of its own {k * 31 + i}" for i in range(k % 3 + 2)]])
+        readers = [f"reader {k}.{i}" for i in range(k % 4 + 2)]
+        assert got["replies", k] == story  # a record's own wording is the host's, what else it holds is the readers'
+        assert got["bare", k] == f"{story} {' '.join(readers)}"  # no wording: nothing tells it from a story's paragraphs
+        assert got["headed", k] == story  # sections with a heading are the story's
+        assert all(r in got["long", k] for r in readers)  # most of the page's text is in records, which then stay
+    nested = {tuple(r["class"]): r for r in html.nest_classes(html.deduce_classes(table.where("url like '%replies%'"))).collect()}
+    record = next(r for r in nested.values() if r["records"])
+    assert sum(r["records"] for r in nested.values()) == 1 and record["labelled"] and record["repeats"] and not record["frame"]
+    around = [nested[tuple(p)] for p in record["parents"]]
+    assert len(around) == 1 and around[0]["frame"] and not around[0]["parents"]
+
+
+def test_html_records_say_nothing_of_a_main_element():
+    body = '<body><div class="a">{}</div><p>three words here</p></body>'
+    _, tokens, about = html.parse(body.format("<p>one</p>"))
+    record = frozenset([next(t for t in tokens if about[t][1] == html.ELEMENT and about[t][0] and any(about[u][0] == t for u in tokens))])
+    assert html.main_text(body.format("<p>one</p>"), {}, record) == "three words here"
+    assert html.main_text(body.format("<p>one</p>"), {}) == "one three words here"
+    assert html.main_text(body.format("<p>more text than elsewhere</p>"), {}, record) == "more text than elsewhere three words here"
+    assert html.main_text(body.format("<article><p>one</p></article>"), {}, record) == "one"
+
+
+def test_html_a_list_within_repeated_parts_is_no_list_of_records(spark):
+    """The same class of notes is a list of records where a page has its slot once, and the story's own where the slot repeats."""
+    note = '<div class="n"><b></b><p>note {}</p><div>Mark</div></div>'
+
+    def page(k, parts):
+        notes = ["".join(note.format(f"{k}.{j}.{i}") for i in range((k + j) % 3 + 1)) for j in range(k % 2 + 2)]
+        inner = "".join(f'<div class="s"><p>long part {k}.{j} of the story with words</p>{n}</div>' for j, n in enumerate(notes)) if parts else f'<p>long part {k} of the story with words and yet more words to read here</p><div class="l">{"".join(notes)}</div>'
+        return f'<body><div class="t1">Site</div><div class="b1">{inner}</div></body>'
+
+    table = spark.createDataFrame([(k, f"http://{h}.example/{k}", page(k, h == "parts")) for h in ("parts", "once") for k in range(24)], "page_id long, url string, html string")
+    got = {(r["url"][7:9], r["page_id"]): r["text"] for r in html.extract(table).collect()}
+    for k in range(24):
+        assert all(f"note {k}.{j}.{i}" in got["pa", k] for j in range(k % 2 + 2) for i in range((k + j) % 3 + 1))
+        assert got["on", k] == f"long part {k} of the story with words and yet more words to read here"
+
+
+@pytest.mark.parametrize("n", [2, 3, 9, 10, 11])
+def test_html_template_is_alike_for_small_hosts(spark, n):
+    pages = [(k, "http://a.org/1", f"<body><div>Site name</div><div><p>Own text {k}</p></div><div><p>Read our terms</p></div></body>") for k in range(n)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Own text {k}" if n >= html.LEAST_PAGES else f"Site name Own text {k} Read our terms" for k in range(n)}
+
+
+@pytest.mark.parametrize("tail,text", [("x <b", "one x <b"), ("<!-- open", "one"), ("x <!-- <b> open > y", "one x"), ("<!-- a --> b", "one b"), ("<!-->x", "one"), ("<script>a", "one"), ("<script>a</script >b", "one b"), ("<p", "one <p"), ("<!--", "one")])
+def test_html_page_ends(tail, text):
+    assert html.main_text(f"<p>one {tail}", {}) == text
+
+
+def test_html_open_tags_and_depth_cost_in_proportion():
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    assert html.main_text("<p>a</p>" + "<b " * 400_000, {}).startswith("a <b")
+    assert html.main_text("<p>a</p><script>" + "</script " * 100_000, {}) == "a"
+    assert time.process_time() - began < 20
+    tracemalloc.start()
+    assert html.main_text("<div>" * 20_000 + "deep", {}) == "deep"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 @pytest.mark.parametrize("raw", ["<svg viewBox='0'/>", "<math/>", "<object data='x'>", "<svg>", "<template>", "<svg><svg>x</svg>y</svg>", "<svg><!-- </svg> -->x</svg>", "<script>'<svg>'</script >", "<object><object></object>x</object>"])
 def test_html_raw_elements_cut_no_text(raw):
     page = f"<article><p>one</p>{raw}<p>two</p><svg>x</svg><object>x</object><template>x</template><p>three</p></article>"
