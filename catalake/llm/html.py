@@ -287,10 +287,11 @@ def deduce_classes(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFram
     so a class is bounded by twice the longest page.
     """
     sums = [F.sum(c).alias(c) for c in ("pages", "hits", "mark1", "mark2", "rank")]
-    totals = page_tokens(pages).groupBy("host", "token").agg(*sums, F.max("around").alias("around"), F.max("kind").alias("kind"))
+    # Stored without what too few pages have, which is nearly all of it, as hosts and tokens are both read from it.
+    totals = checkpointed(page_tokens(pages).groupBy("host", "token").agg(*sums, F.max("around").alias("around"), F.max("kind").alias("kind")).where(F.col("pages") >= least_pages))
     # The page count of a host travels with its tokens by a window-free join on one row a host.
     hosts = totals.where("token = 0").select("host", F.col("pages").alias("of"), F.col("mark1").alias("frame1"), F.col("mark2").alias("frame2"))
-    common = totals.where((F.col("token") != 0) & (F.col("pages") >= least_pages)).join(hosts.where(F.col("of") >= least_pages), "host").where("2 * pages >= of")
+    common = totals.where("token != 0").join(hosts, "host").where("2 * pages >= of")
     classes = common.groupBy("host", "mark1", "mark2").agg(
         F.array_sort(F.collect_list(F.struct((F.col("rank") / F.col("pages")).alias("at"), "token", "around", "kind"))).alias("members"),
         F.max("pages").alias("pages"), F.max((F.col("mark1") == F.col("frame1")) & (F.col("mark2") == F.col("frame2"))).alias("frame"),
