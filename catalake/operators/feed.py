@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import price as P
 from ..functions.time import in_window
+from . import index
 
 
 def history_events(history: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,6 +65,23 @@ def big_sales(changes: DataFrame, available: DataFrame, least: int = 20) -> Data
     return joined.where(P.near(P.to_number(F.col("new_price")), F.col("min_price"), 0.005) & F.array_contains("cheapest_stores", F.col("store_label")))
 
 
+def with_current(changes: DataFrame, rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Changes with ``fields`` of the live row that their key has now, and ``is_current``.
+
+    A key's row now is its last one by time (``index.latest``); where that is removed, or
+    there is none, the change's own fields stay, null where it has none. A current row
+    counts as a whole: its nulls aren't filled from the change. Keys are compared null
+    safe. Changes are kept as they are, repeated ones too.
+    """
+    now = index.live(index.latest(rows, keys)).select(*[F.col(k).alias(f"key_{i}_") for i, k in enumerate(keys)], F.struct(*fields).alias("current_"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"key_{i}_")) for i, k in enumerate(keys)])
+    joined = changes.join(now, same, "left")
+    is_current = F.col("current_").isNotNull()
+    types = {f.name: f.dataType for f in rows.schema}
+    own = {f: F.col(f) if f in changes.columns else F.lit(None).cast(types[f]) for f in fields}
+    return joined.select(*[c for c in changes.columns if c not in fields], *[F.when(is_current, F.col("current_")[f]).otherwise(own[f]).alias(f) for f in fields], is_current.alias("is_current"))
+
+
 def by_percent(changes: DataFrame) -> DataFrame:
     """Drops by falling percentage, then price, item and store, each with its place.
 

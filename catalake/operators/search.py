@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +34,15 @@ def society_codes(spark: SparkSession) -> DataFrame:
 
 
 def search_with_codes(catalog: DataFrame, dimension: DataFrame, query: str, code: str = "code", name: str = "label") -> DataFrame:
-    """Token matches first, then rows whose name has a code that the query's prefix expands to; each row once."""
-    direct = search(catalog, query, None).withColumn("priority", F.lit(0))
-    codes = expand_prefix(dimension, query, name).select(code).distinct()
-    by_code = catalog.withColumn(code, F.regexp_extract("name", r"([0-9]{1,3})\.[0-9]{1,4}", 1)).join(codes, code, "left_semi").drop(code).withColumn("priority", F.lit(1))
-    rest = [c for c in catalog.columns if c != "sku"]
-    both = direct.unionByName(by_code)
-    return both.groupBy("sku").agg(F.min_by(F.struct(*rest, "priority"), "priority").alias("r")).select("sku", "r.*").select(*catalog.columns, "priority")
-
-
-def any_token(catalog: DataFrame, tokens: list[str], text: str = "search_text") -> DataFrame:
-    return catalog.where(reduce(lambda a, t: a | F.contains(X.search_norm(F.col(text)), F.lit(t)), tokens, F.lit(False)))
+    """Rows that have every token of the query (priority 0), and those whose name has a code that the query's prefix expands to (priority 1); each row once, by its first reason.
+
+    One scan without a shuffle: the dimension's codes are matched by a join whose right
+    side is reduced to the query's codes. A query without tokens finds nothing.
+    """
+    tokens = query_tokens(query)
+    codes = expand_prefix(dimension, query, name).select(F.col(code).alias("code_")).where("code_ is not null").distinct().withColumn("by_code_", F.lit(True))
+    # A name without a code gives an empty one, which no row of the dimension may stand for.
+    coded = catalog.withColumn("code_", F.nullif(F.regexp_extract("name", r"([0-9]{1,3})\.[0-9]{1,4}", 1), F.lit("")))
+    direct = X.matches_all(X.search_norm(F.col("search_text")), tokens) if tokens else F.lit(False)
+    found = coded.join(codes, "code_", "left").withColumn("priority", F.when(direct, 0).when(F.col("by_code_"), 1))
+    return found.where("priority is not null").select(*catalog.columns, "priority")

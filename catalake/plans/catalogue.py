@@ -197,6 +197,17 @@ def big_sales(spark, sf_dir):
     return feed.big_sales(diff.drops(prev, now, ["sku", "store_label"]), index.availability(now)).select("sku", "store_label", "pct")
 
 
+_CURRENT = "cur AS (SELECT * FROM (SELECT * FROM listings QUALIFY row_number() OVER (PARTITION BY sku, store_label ORDER BY ts DESC, NOT removed DESC, url DESC) = 1) WHERE NOT removed)"
+
+
+@query(f"""WITH {_DROPS}, {_CURRENT} SELECT a.sku, a.store_label, change, old_price, new_price, coalesce(pct, -1) AS pct, CASE WHEN cur.sku IS NULL THEN a.url ELSE cur.url END AS url, cur.name AS name, cur.category AS category, cur.sku IS NOT NULL AS is_current
+FROM a LEFT JOIN cur ON a.sku = cur.sku AND a.store_label = cur.store_label""")
+def alerts_with_current(spark, sf_dir):
+    prev, now = _versions(spark, sf_dir)
+    changes = diff.drops(prev, now, ["sku", "store_label"]).fillna(-1, ["pct"])
+    return feed.with_current(changes, listings(spark, sf_dir), ["sku", "store_label"], ["url", "name", "category"])
+
+
 _CHEAPEST = "best AS (SELECT sku, store_label AS best_store, price_num AS best_price FROM now WHERE NOT removed AND price_num > 0 QUALIFY row_number() OVER (PARTITION BY sku ORDER BY price_num, ts, url) = 1)"
 
 

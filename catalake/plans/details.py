@@ -142,6 +142,18 @@ def society_prefix_items(spark, sf_dir):
     return coded.join(F.broadcast(search.expand_prefix(search.society_codes(spark), "Glen", "label")), "code").select("sku", "name", "code", "label")
 
 
+@query(f"""WITH c(code, label) AS (VALUES {_CODES}), n AS (SELECT code, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS norm FROM c),
+i AS (SELECT 'k' || p_partkey AS sku, p_name || ' ' || CASE WHEN p_size % 2 = 0 THEN code || '.' || p_size ELSE label END AS name FROM part JOIN n ON code = CAST(p_partkey % 165 + 1 AS VARCHAR)),
+r AS (SELECT sku, name, CASE WHEN contains(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), 'glen') THEN 0 WHEN regexp_extract(name, '([0-9]{{1,3}})[.][0-9]{{1,4}}', 1) IN (SELECT code FROM n WHERE starts_with(norm, 'glen')) THEN 1 END AS priority FROM i)
+SELECT sku, name, priority FROM r WHERE priority IS NOT NULL""")
+def search_with_codes(spark, sf_dir):
+    codes = search.society_codes(spark)
+    named = F.when(F.col("p_size") % 2 == 0, F.concat_ws(".", "code", F.col("p_size").cast("string"))).otherwise(F.col("label"))
+    items = _read(spark, sf_dir, "part").withColumn("code", (F.col("p_partkey") % 165 + 1).cast("string")).join(F.broadcast(codes), "code")
+    items = items.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("sku"), F.concat_ws(" ", "p_name", named).alias("name")).withColumn("search_text", F.col("name"))
+    return search.search_with_codes(items, codes, "Glen").select("sku", "name", "priority")
+
+
 # -- the difference report ------------------------------------------------------------------------------------
 
 _OFF = "CAST(floor((o - w) / o * 100 + 0.5) AS INTEGER)"

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from catalake.operators import diff, index, linkage, merge, rules, series
+from catalake.operators import diff, feed, index, linkage, merge, rules, search, series
 from catalake.operators.components import connected_components
 from catalake.plans import catalogue
 from catalake.sources import connectors as C
@@ -271,3 +271,35 @@ def test_whole_rows(spark, tmp_path):
     assert {tuple(r) for r in queries["name_sanitize_whole"](spark, str(tmp_path)).collect()} == {(1, "Salt & Rye"), (2, "Gin")}
     asked = {r["a"] for r in queries["similarity_topk_whole"](spark, sf).select("a").distinct().collect()}
     assert asked == {f"k{i}" for i in range(0, 200, 20)}
+
+
+def test_changes_with_the_current_row(spark):
+    changes = spark.createDataFrame(
+        [("S", "1", "new", "u1"), ("S", "1", "new", "u1"), ("S", "2", "drop", "u2"), ("S", "3", "drop", None), ("T", "1", "new", "t1"), (None, "9", "new", "n9"), ("S", None, "new", "x")],
+        "store_label string, sku string, change string, url string",
+    )
+    rows = spark.createDataFrame(
+        [("S", "1", 1, False, "old", "a"), ("S", "1", 2, False, "now", None), ("S", "2", 1, False, "live", "b"), ("S", "2", 2, True, "gone", "b"), (None, "9", 1, False, "found", "c"), ("S", "1", 2, True, "zz", "tie")],
+        "store_label string, sku string, ts int, removed boolean, url string, name string",
+    )
+    got = feed.with_current(changes, rows, ["store_label", "sku"], ["url", "name"])
+    assert got.columns == ["store_label", "sku", "change", "url", "name", "is_current"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [("S", "1", "new", "now", None, True)] * 2  # repeated changes stay, a null of the current row too, and of equal times the live row counts
+        + [("S", "2", "drop", "u2", None, False), ("S", "3", "drop", None, None, False), ("T", "1", "new", "t1", None, False), (None, "9", "new", "found", "c", True), ("S", None, "new", "x", None, False)],
+        key=str,
+    )
+    assert feed.with_current(changes.limit(0), rows, ["store_label", "sku"], ["url"]).count() == 0
+    assert feed.with_current(changes, rows.limit(0), ["store_label", "sku"], ["name"]).where("is_current or name is not null").count() == 0
+
+
+def test_search_takes_tokens_before_codes(spark):
+    codes = spark.createDataFrame([("12", "Glen One"), ("12", "Glen One again"), ("7", "Glenother"), ("8", "Ardglen"), (None, "Glen Null"), ("", "Glen Empty")], "code string, label string")
+    names = ["Glen 12.5", "Cask 12.5", "Cask 7.100", "Cask 8.1", "my glen", "plain", None, "Cask 112.5", "Cask 12.5"]
+    items = spark.createDataFrame([(i, n, n) for i, n in enumerate(names)], "sku int, name string, search_text string")
+    found = search.search_with_codes(items, codes, " GLEN ")
+    assert found.columns == ["sku", "name", "search_text", "priority"]
+    assert {(r["sku"], r["priority"]) for r in found.collect()} == {(0, 0), (4, 0), (1, 1), (8, 1), (2, 1)} and found.count() == 5
+    assert search.search_with_codes(items, codes, "g").where("priority = 1").count() == 0  # too short a prefix for codes
+    assert search.search_with_codes(items, codes, " - ").count() == 0 and search.search_with_codes(items.limit(0), codes, "glen").count() == 0
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # the items are read once
