@@ -18,8 +18,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     finish raises.
     """
     clean = edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s is not null and d is not null")
-    loops = clean.where("s = d").select(F.col("s").alias("node"), F.col("s").alias("component"))
-    now = checkpointed(clean.where("s <> d").select(F.greatest("s", "d").alias("x"), F.least("s", "d").alias("y")).distinct())
+    # Loops are stored with the edges, so that what the edges come from is worked out once.
+    stored = checkpointed(clean.select(F.greatest("s", "d").alias("x"), F.least("s", "d").alias("y")).distinct())
+    loops = stored.where("x = y").toDF("node", "component")
+    now = stored.where("x <> y")
     mark = None
     for _ in range(rounds):
         both = now.union(now.select("y", "x")).toDF("u", "v")
