@@ -17,6 +17,14 @@ from .components import connected_components
 
 #: Blocks of items and parts of a pinned set that is too large to broadcast.
 CELLS = 32
+#: Keys of a group that are put beside its members in one part.
+EXPANDED = 1000
+
+
+def _tasks(frame: DataFrame) -> int:
+    """Tasks for work that is much larger than its input, so that the engine doesn't join them into few."""
+    spark = frame.sparkSession
+    return max(CELLS, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def canonical_map(links: DataFrame) -> DataFrame:
@@ -84,9 +92,7 @@ def _beside(mine: DataFrame, right: DataFrame, small: bool, on: list[str]) -> Da
     """
     if small:
         # Each item costs as many scores as there are pinned ones beside it, so the items are dealt out even if one small file holds them.
-        spark = right.sparkSession
-        tasks = max(CELLS, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = right.repartition(tasks, "b")
+        dealt = right.repartition(_tasks(right), "b")
         return dealt.join(F.broadcast(mine), on) if on else dealt.withColumn("cell", F.lit(0)).join(F.broadcast(mine.withColumn("cell", F.lit(0))), "cell").drop("cell")
     every = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
     block = F.pmod(F.xxhash64("b"), F.lit(CELLS)).cast("int")
@@ -104,30 +110,49 @@ def similar_to(pinned: DataFrame, items: DataFrame, k: int = 60, mapped: DataFra
     k items of its first token or code has its k best among them, and only the others are
     scored against every item. The pinned names are a query set: they are stored and their
     size is checked (see ``_beside``). A synthetic key on either side raises the score.
+
+    A score depends on the names and on whether the keys are synthetic, so items that agree
+    on both are one class and are scored once. Of a class only the first k + 1 items can be
+    among a name's k best (one of them may be the name's own), and of the classes, by score
+    and first item, only the first k + 1.
     """
-    toks = items.select("sku", "name", X.similarity_tokens(F.col("name")).alias("t"), X.code_key(F.col("name")).alias("code")).withColumn("first", F.get("t", F.lit(0)))
-    mine = toks.join(pinned.select("sku").distinct(), "sku", "left_semi").toDF("a", "name_a", "ta", "code_a", "first_a")
-    right = toks.toDF("b", "name_b", "tb", "code_b", "first_b")
+    kind = F.concat(F.when(F.col("sku").startswith("u:"), "u").otherwise("k"), F.coalesce(F.concat(F.lit("n"), "name"), F.lit("")))
+    rows = items.select("sku", "name", kind.alias("class"))
+    asked = checkpointed(rows.join(pinned.select("sku").distinct(), "sku", "left_semi").select("class", F.col("sku").alias("a"), "name"))
     if mapped is not None:
-        right = right.join(mapped.select(F.col("sku").alias("b")), "b", "left_anti")
-    mine, small = measured(mine)
+        rows = rows.join(mapped.select("sku"), "sku", "left_anti")
+    firsts = rows.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("sku"))).where(F.col("place") <= k + 1)
+    firsts = checkpointed(firsts.select(F.col("class").alias("b"), "place", "sku", "name"))
+
+    def tokens(classes: DataFrame, side: str) -> DataFrame:
+        name = F.col("name")
+        toks = classes.select(F.col("class").alias(side), name.alias(f"name_{side}"), X.similarity_tokens(name).alias(f"t{side}"), X.code_key(name).alias(f"code_{side}"))
+        return toks.withColumn(f"first_{side}", F.get(f"t{side}", F.lit(0)))
+
+    mine, small = measured(tokens(asked.select("class", "name").distinct(), "a"))
+    right = tokens(firsts.where("place = 1").select(F.col("b").alias("class"), "name"), "b")
+    least = firsts.where("place = 1").select("b", F.col("sku").alias("least"))
+
+    def best(scores: DataFrame, by: str, item: str, n: int) -> DataFrame:
+        return scores.withColumn("r_", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), item))).where(F.col("r_") <= n).drop("r_")
 
     def scores(both: DataFrame) -> DataFrame:
-        unknown = F.col("a").startswith("u:") | F.col("b").startswith("u:")
+        unknown = F.col("a").startswith("u") | F.col("b").startswith("u")
         score = X.similarity(F.col("name_a"), F.col("name_b"), F.col("ta"), F.col("tb")) * F.when(unknown, 1.12).otherwise(1.0)
         score = F.when((F.col("code_a") != "") & (F.col("code_a") == F.col("code_b")), 1e9).otherwise(F.round(score, 6))
-        out = both.where("a <> b").select("a", "b", score.alias("score")).where("score > 0")
-        return out.withColumn("r_", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("r_") <= k).drop("r_")
+        classes = best(both.select("a", "b", score.alias("score")).where("score > 0").join(least, "b"), "a", "least", k + 1)
+        return best(classes.join(firsts, "b").select("a", "sku", "score"), "a", "sku", k + 1)
 
     same_first = _beside(mine.withColumn("first", F.col("first_a")), right.withColumn("first", F.col("first_b")), small, ["first"])
     same_code = _beside(mine.where("code_a <> ''").withColumn("code", F.col("code_a")), right.where("code_b <> ''").withColumn("code", F.col("code_b")), small, ["code"]).where("not (first_a <=> first_b)")
     columns = ["a", "name_a", "ta", "code_a", "b", "name_b", "tb", "code_b"]
     near = checkpointed(scores(same_first.select(*columns).unionByName(same_code.select(*columns))))
-    full = near.groupBy("a").count().where(F.col("count") >= k).select("a")
+    full = near.groupBy("a").count().where(F.col("count") > k).select("a")
     short = checkpointed(mine.join(full, "a", "left_anti"))
-    if short.isEmpty():
-        return near
-    return near.join(full, "a", "left_semi").unionByName(scores(_beside(short, right, small, [])))
+    if not short.isEmpty():
+        near = near.join(full, "a", "left_semi").unionByName(scores(_beside(short, right, small, [])))
+    found = near.select(F.col("a").alias("class"), F.col("sku").alias("b"), "score").join(asked.select("class", "a"), "class").where("a <> b")
+    return best(found.select("a", "b", "score"), "a", "b", k)
 
 
 def same_code(items: DataFrame, rank: Column) -> DataFrame:
@@ -275,10 +300,18 @@ def group_members(mapping: DataFrame) -> DataFrame:
 
 
 def expanded(keys: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Every key (sku) with each member of its group, itself included: sku, member."""
-    named = canonicalise(keys.select("sku"), mapping)
+    """Every key (sku) with each member of its group, itself included: sku, member. The mapping has each key once.
+
+    Keys and members are distinct before they meet, so the pairs are, and are written as
+    they come. The keys of a group are dealt out in parts of about ``EXPANDED``, each with
+    all members, so that a large group is no single task.
+    """
     members = mapping.select("canonical", F.col("sku").alias("member")).union(mapping.select("canonical", "canonical")).distinct()
-    return named.join(members, "canonical", "left").select("sku", F.coalesce("member", "sku").alias("member")).distinct()
+    parts = members.groupBy("canonical").agg(F.ceil(F.count("*") / EXPANDED).alias("parts"))
+    copies = members.join(parts, "canonical").select("canonical", "member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    named = canonicalise(keys.select("sku").distinct(), mapping).join(parts, "canonical", "left")
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("sku"), F.coalesce("parts", F.lit(1)))).repartition(_tasks(keys), "canonical", "part")
+    return dealt.join(copies, ["canonical", "part"], "left").select("sku", F.coalesce("member", "sku").alias("member"))
 
 
 def without_same_group(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
