@@ -60,9 +60,9 @@ def live_counts(rows: DataFrame) -> DataFrame:
 
 
 def name_mode(rows: DataFrame, key: str = "sku", value: str = "name") -> DataFrame:
-    """The most frequent value of each key, among live rows if there are any; ties go to the first seen."""
+    """The most frequent value of each key, among live rows if there are any; ties go to the first seen, of equal times to the greatest value."""
     counted = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.count_if(~F.col("removed")).alias("n_live"), F.min(order()).alias("first"), F.min(F.when(~F.col("removed"), order())).alias("first_live"))
-    best = lambda n, first: F.max_by(value, F.struct(n, -F.unix_micros(first["ts"].cast("timestamp")).alias("t")))
+    best = lambda n, first: F.max_by(value, F.struct(n, -F.unix_micros(first["ts"].cast("timestamp")).alias("t"), value))
     picked = counted.groupBy(key).agg(F.max("n_live").alias("any_live"), best("n_live", F.coalesce("first_live", "first")).alias("live_mode"), best("n", F.col("first")).alias("all_mode"))
     return picked.select(key, F.when(F.col("any_live") > 0, F.col("live_mode")).otherwise(F.col("all_mode")).alias(value))
 
