@@ -27,16 +27,20 @@ def _tagged(prev: DataFrame, now: DataFrame, keys: list[str], columns: list[str]
     )
 
 
-def by_url(prev: DataFrame, now: DataFrame, keys: list[str] = ("url",), order: list[str] = ("ts",)) -> DataFrame:
-    """new, restored, removed and updated rows by URL; of rows with one URL the last counts, and prices are compared without white space."""
+def by_url(prev: DataFrame, now: DataFrame, keys: list[str] = ("url",), order: list[str] = ("ts",), also: list[str] = ()) -> DataFrame:
+    """new, restored, removed and updated rows by URL; of rows with one URL the last counts, and prices are compared without white space.
+
+    ``also`` names further columns of a listing, given as its newer row has them, else its older one.
+    """
     keys = list(keys)
-    d = _tagged(prev, now, keys, ["name", "price"], list(order))
+    d = _tagged(prev, now, keys, ["name", "price", *also], list(order))
+    newest = lambda c: F.coalesce(f"new_any.{c}", f"old_any.{c}").alias(c)
     old_live, new_live = F.coalesce(~F.col("old_removed"), F.lit(False)), F.coalesce(~F.col("new_removed"), F.lit(False))
     changed = P.normalize(F.col("old_any.price")) != P.normalize(F.col("new_any.price"))
     kind = (
         F.when(F.col("old_any").isNull() & new_live, "new").when(F.col("old_removed") & new_live, "restored").when(old_live & ~new_live, "removed").when(old_live & new_live & changed, "updated")
     )
-    return d.withColumn("change", kind).where("change is not null").select(*keys, "change", F.coalesce("new_any.name", "old_any.name").alias("name"), F.col("old_any.price").alias("old_price"), F.col("new_any.price").alias("new_price"))
+    return d.withColumn("change", kind).where("change is not null").select(*keys, "change", newest("name"), F.col("old_any.price").alias("old_price"), F.col("new_any.price").alias("new_price"), *map(newest, also))
 
 
 def by_key(prev: DataFrame, now: DataFrame, keys: list[str], order: list[str] = ("ts", "url")) -> DataFrame:

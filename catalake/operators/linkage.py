@@ -289,7 +289,7 @@ def item_rank(stores: Column, priced: Column, name: Column, sku: Column) -> Colu
 
 
 def directed(links: DataFrame, order: str) -> DataFrame:
-    """from_sku with the target of its last link."""
+    """from_sku with the target of its last link; a link to itself is none."""
     own = links.where(S.pair_key(F.col("from_sku"), F.col("to_sku"), True) != "")
     return own.groupBy("from_sku").agg(F.max_by("to_sku", F.struct(order, "to_sku")).alias("to_sku"))
 

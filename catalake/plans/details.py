@@ -12,7 +12,7 @@ from ..functions.codes import SOCIETY_CODES
 from ..operators import diff, index, linkage, report, search, series
 from ..sources import snapshots as snap
 from ..sources.snapshots import listings
-from .catalogue import _FNV, _LINKS, VERSIONS, L, _links, _read, _versions, query
+from .catalogue import _FNV, _LINKS, _LINKS_WHOLE, VERSIONS, L, _links, _read, _versions, query
 
 # -- item pages ---------------------------------------------------------------------------------------------
 
@@ -72,9 +72,9 @@ def store_overlap_whole(spark, sf_dir):
     return linkage.store_overlap(_links(spark, sf_dir).toDF("a", "b"), index.availability(listings(spark, sf_dir)).select("sku", "stores"))
 
 
-@query(f"WITH {_LINKS} SELECT from_sku, max(to_sku) AS to_sku FROM links GROUP BY 1")
+@query(f"WITH {_LINKS_WHOLE} SELECT from_sku, max(to_sku) AS to_sku FROM links GROUP BY 1")
 def directed_links(spark, sf_dir):
-    return linkage.directed(_links(spark, sf_dir), "to_sku")
+    return linkage.directed(_links(spark, sf_dir, snap.part_key), "to_sku")
 
 
 @query(f"WITH {L} SELECT sku, store_label, url, price FROM listings QUALIFY row_number() OVER (PARTITION BY sku, store_label ORDER BY ts, url) = 1")
@@ -171,6 +171,5 @@ SELECT CAST(section AS INTEGER), label, name, url, 1, ['+', 'R', '-', '~'][secti
 SELECT CAST(section AS INTEGER), label, name, url, 2, '  ' || url FROM x""")
 def diff_report(spark, sf_dir):
     prev, now = _versions(spark, sf_dir)
-    category = listings(spark, sf_dir).groupBy("sku").agg(F.min("category").alias("category"))
-    changes = diff.by_url(prev, now, ["sku", "store_label"]).join(category, "sku").withColumn("url", F.concat(F.lit("http://"), "sku"))
+    changes = diff.by_url(prev, now, ["sku", "store_label"], also=["category"]).withColumn("url", F.concat(F.lit("http://"), "sku"))
     return report.diff_lines(changes)

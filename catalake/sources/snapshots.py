@@ -6,7 +6,7 @@ A snapshot table has one row a listing, version and file: snapshot_id, db_file,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,12 @@ def shape(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def part_key(number: Column) -> Column:
+    """A part's number as a key of six digits, or of more where it has more."""
+    text = number.cast("string")
+    return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables as listings: a line item is a listing of a part at a supplier's store."""
     line, part, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "supplier"))
