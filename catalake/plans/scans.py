@@ -17,7 +17,7 @@ from ..sources import connectors as C
 from ..sources.snapshots import listings
 from ..sources.versions import KeptIndex, VersionStore
 from .catalogue import L, _read, query
-from .shops import _CENTS, _KEY, _PRICE, _parts, _text
+from .shops import _CENTS, _KEY, _PRICE, _WHOLE, _cut, _parts, _text
 
 #: Listings of a page, here.
 _SIZE = 24
@@ -80,10 +80,10 @@ def _scanned(spark, sf_dir):
 _SHELF = f"""shelf AS (
   SELECT *, b + CAST(b > 2 AS INTEGER) AS page FROM (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 + 1 AS b FROM part WHERE p_partkey % 17 <> 0)
 ), scanned AS (
-  SELECT p_brand AS category, 'https://sierraspringsliquor.ca/p/' || {_KEY} AS url, p_name AS name, {_PRICE} AS price FROM shelf WHERE p_brand NOT LIKE '%5' OR page < 2
+  SELECT p_brand AS category, 'https://sierraspringsliquor.ca/p/' || {_WHOLE} AS url, p_name AS name, {_PRICE} AS price FROM shelf WHERE p_brand NOT LIKE '%5' OR page < 2
 ), prev AS (
-  SELECT p_brand AS category, 'https://sierraspringsliquor.ca/p/' || {_KEY} AS url, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN {_PRICE} ELSE '$1.00' END AS price FROM part WHERE p_partkey % 3 = 0
-  UNION ALL SELECT p_brand, 'https://sierraspringsliquor.ca/old/' || {_KEY}, p_name, '$2.00' FROM part WHERE p_partkey % 4 = 0
+  SELECT p_brand AS category, 'https://sierraspringsliquor.ca/p/' || {_WHOLE} AS url, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN {_PRICE} ELSE '$1.00' END AS price FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT p_brand, 'https://sierraspringsliquor.ca/old/' || {_WHOLE}, p_name, '$2.00' FROM part WHERE p_partkey % 4 = 0
 )"""
 
 
@@ -111,7 +111,7 @@ def search_scan_pages(spark, sf_dir):
     """All pages of a search by the number of hits that the first one names (here five too few); pages behind them don't count."""
     w = Window.partitionBy("p_brand")
     place = F.row_number().over(w.orderBy("p_partkey"))
-    parts = _parts(spark, sf_dir).withColumn("page", F.floor((place - 1) / _SIZE) + 1).withColumn("n", F.count("*").over(w))
+    parts = _parts(spark, sf_dir, _cut).withColumn("page", F.floor((place - 1) / _SIZE) + 1).withColumn("n", F.count("*").over(w))
     hit = F.struct(F.struct(F.col("key").alias("sku"), F.col("p_name").alias("name"), F.col("amount").alias("currentPrice")).alias("_source"))
     total = F.when(F.col("category").endswith("1"), F.to_json(F.struct(F.struct((F.col("n") - 5).alias("value")).alias("total")))).otherwise(F.to_json(F.struct((F.col("n") - 5).alias("total"))))
     made = parts.groupBy(F.col("p_brand").alias("category"), "page", "n").agg(F.to_json(F.sort_array(F.collect_list(hit))).alias("hits"))

@@ -1,11 +1,16 @@
 """Work that must not grow faster than its input, and results where keys, names and days are shared by many."""
 
 import itertools
+from pathlib import Path
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from catalake.operators import components, linkage, series
-from catalake.plans import catalogue
+from catalake.plans import catalogue, details, scans, shops  # noqa: F401
+
+from test_catalogue import plain
 
 
 def test_links_meet_by_ranges(spark, tmp_path):
@@ -71,3 +76,28 @@ def test_equal_names_are_scored_once(spark, monkeypatch):
         rows = both.select("a", "b", F.round(linkage.X.similarity(*args) * F.when(unknown, 1.12).otherwise(1.0), 6).alias("s")).where("s > 0").collect()
         want = {(a, r["b"], r["s"]) for a, g in itertools.groupby(sorted(rows, key=lambda r: (r["a"], -r["s"], r["b"])), lambda r: r["a"]) for r in itertools.islice(g, k)}
         assert got == want
+
+
+@pytest.fixture(scope="module")
+def long_keys(tmp_path_factory):
+    """The smallest tables with half of their parts beyond six digits, where ten numbers share their first six."""
+    folder, con = tmp_path_factory.mktemp("long"), duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        shift = {"part": " REPLACE (p_partkey + 999900 AS p_partkey)", "lineitem": " REPLACE (l_partkey + 999900 AS l_partkey)"}.get(p.stem, "")
+        con.execute(f"COPY (SELECT *{shift} FROM '{p}') TO '{folder}/{p.stem}.parquet'")
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{folder}/{p.stem}.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", [
+    "diff_report", "directed_links", "merge_moves", "name_mode", "paged_scan_merge", "paged_scan_report", "search_scan_pages", "shop_article_pages", "shop_card_blocks", "shop_card_pages",
+    "shop_enrichment", "shop_list_pages", "shop_matched_pages", "shop_search_hits", "shop_stacked_pages", "shop_stock_pages", "shop_store_api",
+])
+def test_keys_of_more_than_six_digits(spark, long_keys, name):
+    folder, con = long_keys
+    out = catalogue.QUERIES[name](spark, str(folder))
+    result = con.execute(catalogue.SQL[name])
+    columns = [d[0] for d in result.description]
+    want = sorted(tuple(map(plain, r)) for r in result.fetchall())
+    assert want and sorted(tuple(plain(r[c]) for c in columns) for r in out.collect()) == want
