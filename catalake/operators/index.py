@@ -86,8 +86,10 @@ def price_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], prefer_live: bool = True) -> DataFrame:
     """The last row of each key by time; of equal times a live one, then the one with the last URL."""
     rest = [c for c in rows.columns if c not in keys]
-    rank = F.struct("ts", *([(~F.col("removed")).alias("live")] if prefer_live else []), "url")
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("r")).select(*keys, "r.*").select(*rows.columns)
+    # The order is the row's first fields, so that a row is carried once.
+    rank = ["ts", *([(~F.col("removed")).alias("live_")] if prefer_live else []), "url"]
+    row = F.struct(*rank, *[c for c in rest if c not in ("ts", "url")])
+    return rows.groupBy(*keys).agg(F.max(row).alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
 def duplicates(rows: DataFrame, key: str = "url") -> DataFrame:

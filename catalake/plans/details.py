@@ -79,8 +79,8 @@ def directed_links(spark, sf_dir):
 
 @query(f"WITH {L} SELECT sku, store_label, url, price FROM listings QUALIFY row_number() OVER (PARTITION BY sku, store_label ORDER BY ts, url) = 1")
 def first_wins(spark, sf_dir):
-    rows = listings(spark, sf_dir).withColumn("at", F.struct("ts", "url"))
-    return snap.first_wins(rows, ["sku", "store_label"], "at").select("sku", "store_label", "url", "price")
+    rows = listings(spark, sf_dir).select("sku", "store_label", "price", F.struct("ts", "url").alias("at"))
+    return snap.first_wins(rows, ["sku", "store_label"], "at").select("sku", "store_label", "at.url", "price")
 
 
 # -- keys, prices, texts and addresses ------------------------------------------------------------------------

@@ -43,7 +43,7 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row")).select(*keys, "row.*").select(*rows.columns)
+    return rows.groupBy(*keys).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("row")).select(*keys, "row.*").select(*rows.columns)
 
 
 def at_version(table: DataFrame, snapshot_id) -> DataFrame:

@@ -101,3 +101,19 @@ def test_keys_of_more_than_six_digits(spark, long_keys, name):
     columns = [d[0] for d in result.description]
     want = sorted(tuple(map(plain, r)) for r in result.fetchall())
     assert want and sorted(tuple(plain(r[c]) for c in columns) for r in out.collect()) == want
+
+
+def test_prices_become_numbers_before_rows_meet(spark):
+    rows = spark.createDataFrame([("a", "u", "$9", False, 1), ("b", "u", "$3", False, 1)], "sku string, url string, price string, removed boolean, ts long")
+    now = rows.withColumn("price", F.lit("$4.50"))
+    out = catalogue.diff.drops(rows, now, ["sku"])
+    assert [(r["sku"], r["change"], r["pct"]) for r in out.collect()] == [("a", "drop", 50)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan[:plan.index("Union")]
+
+
+def test_rows_are_carried_once_to_their_key(spark):
+    rows = spark.createDataFrame([("a", "u", 1, False, "x"), ("a", "v", 1, True, "y"), ("b", "u", 2, True, "z")], "sku string, url string, ts long, removed boolean, name string")
+    last = catalogue.index.latest(rows, ["sku"])
+    assert sorted(map(tuple, last.collect())) == [("a", "u", 1, False, "x"), ("b", "u", 2, True, "z")]
+    assert "max_by" not in last._jdf.queryExecution().optimizedPlan().toString()
