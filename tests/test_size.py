@@ -117,3 +117,15 @@ def test_rows_are_carried_once_to_their_key(spark):
     last = catalogue.index.latest(rows, ["sku"])
     assert sorted(map(tuple, last.collect())) == [("a", "u", 1, False, "x"), ("b", "u", 2, True, "z")]
     assert "max_by" not in last._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ties_of_names_go_to_the_greatest(spark):
+    rows = spark.createDataFrame([(f"{k}", v, False, 0, "u") for k in range(40) for v in "caebd"], "sku string, name string, removed boolean, ts long, url string").withColumn("ts", F.timestamp_seconds("ts"))
+    assert {r["name"] for r in catalogue.index.name_mode(rows).collect()} == {"e"}
+
+
+def test_links_of_long_keys_are_not_their_own_ends(spark, tmp_path):
+    spark.createDataFrame([(1000001, "B", 1), (1000002, "B", 1), (1000003, "B", 1)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(map(tuple, details.directed_links(spark, str(tmp_path)).select("from_sku", "to_sku").collect()))
+    sql = catalogue.SQL["directed_links"].replace(" part a", f" '{tmp_path}/part.parquet/*.parquet' a").replace(" part b", f" '{tmp_path}/part.parquet/*.parquet' b")
+    assert got == [("1000001", "1000003"), ("1000002", "1000003")] == sorted(duckdb.execute(sql).fetchall())
