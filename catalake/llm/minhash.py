@@ -31,11 +31,11 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import broadcast_if_small, checkpointed
+from ..session import among, checkpointed
 from . import kernels as K
 
 BANDS, ROWS, BITS = 32, 4, 8
@@ -144,9 +144,10 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (both - common)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted with the text of its node (all of them, where rows repeat an id)."""
-    return docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_if_small(wanted), "node")
+def _texts(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """wanted with the text of its node (all of them, where rows repeat an id); nodes has every node of it. Other documents' texts are not shuffled."""
+    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    return among(texts, "node", nodes).join(wanted, "node")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -160,7 +161,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     salted = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), "cuts").cast("int").alias("salt"))
     spokes = salted.select(F.col("a").alias("node"), F.col("b").alias("hub"), "salt", F.lit(1).alias("side"))
     held = hubs.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"), F.lit(0).alias("side"))
-    rows = _texts(docs, spokes.unionByName(held)).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "side")
+    rows = _texts(docs, spokes.unionByName(held), pairs.select("a").union(pairs.select("b"))).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
@@ -277,7 +278,7 @@ def confirm_in_buckets(rows: DataFrame, docs: DataFrame, shingle: int, percent:
     size = rows.where("side = 0").groupBy("key", "part").agg(F.ceil(F.sum("n") / HELD_SHINGLES).cast("int").alias("cuts"))
     cut = rows.join(size, ["key", "part"])
     mine = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("node"), "cuts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
-    dealt = _texts(docs, cut.withColumn("cut", F.explode(mine)).drop("cuts")).repartition(parts, "key", "part", "cut").sortWithinPartitions("key", "part", "cut", "side")
+    dealt = _texts(docs, cut.withColumn("cut", F.explode(mine)).drop("cuts"), rows.select("node")).repartition(parts, "key", "part", "cut").sortWithinPartitions("key", "part", "cut", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, _Part()
@@ -319,13 +320,16 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
     docs = docs.select("doc_id", "text")
     all_rows = checkpointed(sketches(docs, shingle))
     have = all_rows.where("n_shingles > 0 and doc_id is not null")
-    classes = have.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"))
-    placed = have.join(classes, ["set1", "set2"])
-    members = placed.select("doc_id", "n_shingles", "node")
-    nodes = checkpointed(placed.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["node", "sketch"]))
-
-    rows = nodes.select("node", F.explode("bands").alias("key")).distinct()
-    shared = checkpointed(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("key", "node"))
+    # The rows of a class have one set, so they have one sketch.
+    classes = have.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "sketch", "bands"), "doc_id").alias("of"))
+    nodes = checkpointed(classes.select("set1", "set2", "node", F.col("of.n_shingles").alias("n"), "of.sketch", "of.bands"))
+    members = have.select("set1", "set2", "doc_id", "n_shingles").join(nodes.select("set1", "set2", "node"), ["set1", "set2"]).select("doc_id", "n_shingles", "node")
+    nodes = nodes.select("node", "n", "sketch", "bands")
+
+    # One shuffle of all bands: a bucket with one node goes where it is read.
+    bucket = Window.partitionBy("key")
+    rows = nodes.select("node", F.explode("bands").alias("key")).withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket))
+    shared = checkpointed(rows.where("low <> high").select("key", "node").distinct())
     least = percent / 100 - SLACK
     sketch = nodes.select("node", "sketch")
 
@@ -381,5 +385,6 @@ def mark_kept(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Data
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """docs without rows of which a near-duplicate with a smaller id stays; all columns stay. Of rows that repeat an id, those that are kept all stay."""
-    gone = components(docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = checkpointed(components(docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct())
+    rest = among(docs, "doc_id", gone).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return among(docs, "doc_id", gone, "left_anti").union(rest)

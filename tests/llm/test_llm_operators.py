@@ -13,6 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from catalake import session
 from catalake.llm import chat, decontaminate, html, kernels, minhash, packing, pii, quality, queries, secrets, spans, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +110,41 @@ def test_near_duplicates_of_repeated_missing_and_no_rows(spark):
     assert sorted((r["doc_id"] or 0, r["extra"]) for r in kept.collect()) == [(0, "z"), (1, "z"), (2, "z")]
 
 
+def shuffled_mb(spark):
+    """MB that all finished stages of the session have written to shuffles."""
+    done = spark.sparkContext._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(done, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), done)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_only_texts_of_candidates_are_shuffled(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 60, 600)) for _ in range(400)]
+    near = [t.rsplit(" ", 3)[0] for t in texts[:8]]
+    frame(spark, texts + near).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)  # as with more candidates than a broadcast may have
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0, 0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_mb(spark)
+        kept = minhash.drop_near_duplicates(docs)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+        assert shuffled_mb(spark) - before < 2 + 0.5 * sum(map(len, texts)) / 1e6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_filter_of_keys_holds_no_key_back(spark, monkeypatch):
+    for words in (session.FILTER_WORDS, 4):
+        monkeypatch.setattr(session, "FILTER_WORDS", words)
+        rows = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("a b"), "id").union(spark.createDataFrame([(None, -1)], "a string, b long"))
+        keys = rows.where("id % 50 = 0").select(F.col("a b").alias("k"))
+        through, back = ({r["id"] for r in session.among(rows, "a b", keys, how).collect()} for how in ("left_semi", "left_anti"))
+        assert through | back == {-1, *range(3000)} and not through & back
+        assert through >= set(range(0, 3000, 50)) and len(through) < (70 if words > 4 else 1500)
+
+
 def test_estimate_is_close_and_bands_meet():
     rng = np.random.default_rng(0)
     error, met = [], []
