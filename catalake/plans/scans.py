@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import random32
 from ..operators import edits, index, linkage, scan
-from ..session import shared_folder
+from ..session import broadcast_if_small, shared_folder
 from ..sources import connectors as C
 from ..sources.snapshots import listings
 from ..sources.versions import KeptIndex, VersionStore
@@ -133,15 +133,19 @@ def _at(rows, day: str, version: int):
     """A version's rows: each brand's listings up to a day; the first version lacks brands that end in 2, later ones those that end in 4, and a brand that ends in 3 never changes."""
     still = F.when(F.col("category").endswith("3"), F.lit(_DAYS[0])).otherwise(F.lit(day)).cast("timestamp")
     lacks = "2" if version == 1 else "4"
-    return rows.where((F.col("ts") < still) & ~F.col("category").endswith(lacks)).select(*_COLUMNS, F.col("category").alias("db_file"))
+    # No row is later than the day, which is known before the listings are joined.
+    return rows.where((F.col("ts") < F.lit(day).cast("timestamp")) & (F.col("ts") < still) & ~F.col("category").endswith(lacks)).select(*_COLUMNS, F.col("category").alias("db_file"))
 
 
 def _store(spark, sf_dir, versions: int) -> VersionStore:
     """The first versions of the listings, each with the files that differ from the one before."""
     store, rows = VersionStore(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"), listings(spark, sf_dir)
     for n, day in enumerate(_DAYS[:versions], 1):
-        now = _at(rows, day, n)
-        different = store.changed(n - 1, now)
+        # A scan is stored, so that the comparison and the commit don't join the listings each for itself.
+        scan = _at(rows, day, n)
+        scan.write.parquet(f"{store.root}-scans/{n}")
+        now = spark.read.schema(scan.schema).parquet(f"{store.root}-scans/{n}")
+        different = broadcast_if_small(store.changed(n - 1, now))
         store.commit(now.join(different.where("status <> 'deleted'"), "db_file", "left_semi"), different.where("status = 'deleted'"), n - 1)
     return store
 

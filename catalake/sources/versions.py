@@ -189,10 +189,10 @@ class KeptIndex:
     def changed_keys(self, old: int, new: int) -> DataFrame:
         """Keys whose rows differ between two versions."""
         files = self.store.changed(old, new)
-        side = lambda v, n: self.store.read(v, files).select(self.key, F.lit(n).alias("side"), F.xxhash64(*sorted(self.store.read(v).columns)).cast("decimal(38,0)").alias("mark"))
-        both = side(old, 0).union(side(new, 1))
-        sums = [f.alias(f"{a}{n}") for n in (0, 1) for f, a in ((F.coalesce(F.sum(F.when(F.col("side") == n, F.col("mark"))), F.lit(0)), "s"), (F.count_if(F.col("side") == n), "n"))]
-        return both.groupBy(self.key).agg(*sums).where("s0 <> s1 or n0 <> n1").select(self.key)
+        # Rows of the older version count against those of the newer one: one sum a key is shuffled, not one for each side.
+        side = lambda v, n: self.store.read(v, files).select(self.key, F.lit(n).cast("long").alias("n"), (n * F.xxhash64(*sorted(self.store.read(v).columns)).cast("decimal(20,0)")).cast("decimal(38,0)").alias("mark"))
+        sums = side(old, -1).union(side(new, 1)).groupBy(self.key).agg(F.sum("mark").alias("mark"), F.sum("n").alias("n"))
+        return sums.where("mark <> 0 or n <> 0").select(self.key)
 
     def load(self, version: int | None = None) -> DataFrame:
         """The index of a version (the newest by default), made and kept if it isn't there yet."""

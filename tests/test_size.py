@@ -129,3 +129,23 @@ def test_links_of_long_keys_are_not_their_own_ends(spark, tmp_path):
     got = sorted(map(tuple, details.directed_links(spark, str(tmp_path)).select("from_sku", "to_sku").collect()))
     sql = catalogue.SQL["directed_links"].replace(" part a", f" '{tmp_path}/part.parquet/*.parquet' a").replace(" part b", f" '{tmp_path}/part.parquet/*.parquet' b")
     assert got == [("1000001", "1000003"), ("1000002", "1000003")] == sorted(duckdb.execute(sql).fetchall())
+
+
+def test_a_version_works_its_listings_out_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def looked(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    days = ["1996-01-01", "1998-01-01", "1999-06-01", "2001-01-01"]
+    made = [("n", "$1.00", f"{k % 7}", f"u{k}", "s", False, float(k), days[k % 4], f"b{k % 5}") for k in range(60)]
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(made, 2).mapPartitions(looked), "name string, price string, sku string, url string, store_label string, removed boolean, price_num double, ts string, category string")
+    monkeypatch.setattr(scans, "listings", lambda *_: rows.withColumn("ts", F.col("ts").cast("timestamp")))
+    monkeypatch.setattr(scans, "shared_folder", lambda _: str(tmp_path))
+    store = scans._store(spark, "", 3)
+    assert seen.value == 3 * len(made)
+    for version, lacks, day in ((1, "b2", "1997-01-01"), (2, "b4", "1999-01-01"), (3, "b4", "2000-01-01")):
+        want = {r[3] for r in made if r[8] != lacks and r[7] < ("1997-01-01" if r[8] == "b3" else day)}
+        assert {r["url"] for r in store.read(version).collect()} == want
