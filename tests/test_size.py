@@ -1,12 +1,15 @@
 """Work that must not grow faster than its input, and results where keys, names and days are shared by many."""
 
 import itertools
+import random
+import time
 from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from catalake import session
 from catalake.operators import components, linkage, series
 from catalake.plans import catalogue, details, scans, shops  # noqa: F401
 
@@ -38,6 +41,51 @@ def test_components_work_their_edges_out_once(spark):
     assert seen.value == 4
 
 
+def test_a_stored_frame_leaves_no_shuffle(spark):
+    folders = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def kept():
+        return {f.name for d in folders for f in d.glob("*/shuffle_*")}
+
+    before = kept()
+    frame = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    stored = session.checkpointed(frame)
+    until = time.time() + 20  # executors remove files a moment later
+    while kept() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not kept() - before
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, frame.collect())) == [(k, 100) for k in range(10)]
+    assert spark.conf.get(session.CLEANUP, None) in (None, "false")
+
+
+def test_components_shuffle_twice_a_round(spark, monkeypatch):
+    def shuffling_stages():
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        every = spark._jvm.java.util.ArrayList()
+        stages = store.stageList(every, False, False, gateway.new_array(spark._jvm.double, 0), every)
+        return {stages.apply(i).stageId() for i in range(stages.size()) if stages.apply(i).shuffleWriteBytes()}
+
+    stored = []
+    monkeypatch.setattr(components, "checkpointed", lambda frame: stored.append(1) or session.checkpointed(frame))
+    before = shuffling_stages()
+    found = components.connected_components(spark.createDataFrame([(k, k + 1) for k in range(40)] + [(50, 60 + k) for k in range(9)], "src long, dst long")).collect()
+    assert sorted(map(tuple, found)) == [(k, 0) for k in range(41)] + [(k, 50) for k in (50, *range(60, 69))]
+    rounds = len(stored) - 1
+    assert len(shuffling_stages() - before) <= 2 * rounds + 3  # the edges made distinct, the nodes of stars and of loops
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    for n, m in ((40, 15), (40, 60), (60, 45)):
+        edges = [(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(m)]
+        want = {x: x for e in edges for x in e}
+        for _ in range(n):
+            for a, b in edges:
+                want[a] = want[b] = min(want[a], want[b])
+        got = components.connected_components(spark.createDataFrame(edges + edges[:5], "src string, dst string")).collect()
+        assert len(got) == len(want) and dict(map(tuple, got)) == want
+
+
 def test_large_group_is_expanded_in_parts(spark, monkeypatch):
     monkeypatch.setattr(linkage, "EXPANDED", 5)
     mapping = spark.createDataFrame([(f"{i:02d}", "00") for i in range(40)] + [("x", "y"), ("y", "y")], "sku string, canonical string")
