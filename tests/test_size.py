@@ -217,3 +217,22 @@ def test_pages_have_each_address_once(spark, tmp_path):
     want = duckdb.sql(catalogue.SQL["shop_wrapped_pages"].replace("FROM part", f"FROM '{path}/*.parquet'")).fetchall()
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert len({r[0] for r in want}) < len(want)
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_dense_series_of_any_length(spark, monkeypatch, few):
+    monkeypatch.setattr(series, "FEW", few)
+    points = [("g", "a", "d1", 1.0), ("g", "a", "d2", 2.0), ("g", "a", "d3", None), ("g", "b", "d4", 4.0), ("g", "b", "d4", 5.0), ("g", "c", None, 6.0), ("g", None, "d5", 7.0), ("h", "a", "d1", 8.0), (None, "a", "d6", 9.0)]
+    frame = spark.createDataFrame(points, "g string, s string, day string, price double")
+    got = sorted(map(tuple, series.dense(frame, "g", "s").collect()), key=repr)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE gp (g VARCHAR, s VARCHAR, day VARCHAR, price DOUBLE)")
+    con.executemany("INSERT INTO gp VALUES (?, ?, ?, ?)", points)
+    want = con.execute("SELECT d.g, s.s, d.day, gp.price FROM (SELECT DISTINCT g, day FROM gp) d JOIN (SELECT DISTINCT g, s FROM gp) s ON d.g = s.g LEFT JOIN gp ON gp.g = d.g AND gp.s = s.s AND gp.day = d.day").fetchall()
+    assert got == sorted(want, key=repr) and len(got) == 26
+
+
+def test_days_are_spread_out_without_a_row_for_each_before(spark):
+    points = [("g", f"s{k}", f"d{k}", float(k)) for k in range(5)]
+    plan = series.dense(spark.createDataFrame(points, "g string, s string, day string, price double"), "g", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(days#" in plan and "transform(" not in plan
